@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
 
 def slices(batch: pa.RecordBatch, text: int = 1, most_chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts add up to about most_chars bytes, so that long texts don't pile up as Python objects."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > most_chars:

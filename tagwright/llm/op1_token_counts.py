@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import slices
@@ -122,7 +123,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             for batch in slices(whole):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 n = counter.counts(texts, chunk_chars, overlap_chars)
-                size = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).cast(pa.int64())
+                size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
