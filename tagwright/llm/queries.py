@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .op1_token_counts import token_counts
 from .op4_byte_bpe import byte_bpe
+from .op7_simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,8 +23,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
