@@ -11,6 +11,7 @@ from .common import table
 from .op1_token_counts import token_counts
 from .op4_byte_bpe import byte_bpe
 from .op7_simhash import near_duplicates
+from .op9_toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +28,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op7_simhash)}
+    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op7_simhash, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
