@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op10_snapshots as snapshots
 from .common import table
 from .op1_token_counts import token_counts
 from .op4_byte_bpe import byte_bpe
@@ -32,9 +33,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.digest(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op7_simhash, op9_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op7_simhash, op9_toxicity, op10_snapshots)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_snapshots": snapshots.ORACLE_SQL}
