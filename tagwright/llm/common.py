@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,9 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: anything but the space and the five ASCII control spaces.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {i: i + 32 for i in range(65, 91)}
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _UPPER_AZ, _LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,9 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lower_az(text: str) -> str:
-    """Lower-case A-Z and nothing else."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+def words_az(text: bytes) -> list[bytes]:
+    """The words of a UTF-8 text, A-Z lower-cased: runs of anything but the space and the five ASCII control spaces."""
+    return text.translate(_LOWER).split()
+
+
+def utf8(column: pa.Array) -> list[bytes]:
+    """The texts of an Arrow column as UTF-8; null is empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
 def lower_az_column(column: Column) -> Column:

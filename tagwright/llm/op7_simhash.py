@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import WORD, cut, lower_az, slices
+from .common import cut, slices, utf8, words_az
 from .components import components
 
 SHINGLE_WORDS, LINK_BITS, HASH_SEED = 3, 3, 42
@@ -30,11 +30,11 @@ SHINGLE_WORDS, LINK_BITS, HASH_SEED = 3, 3, 42
 CHOICES = [(i, j) for i in range(4) for j in range(2)]
 
 
-def shingles(words: list[str], size: int) -> list[str]:
+def shingles(words: list[bytes], size: int) -> list[bytes]:
     """Space-joined runs of words, repeats included; fewer words: all of them as one; none: nothing."""
     if len(words) <= size:
-        return [" ".join(words)] if words else []
-    return list(map(" ".join, zip(*(words[k:] for k in range(size)), strict=False)))
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -47,9 +47,9 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def fingerprint(text: str, size: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> int:
+def fingerprint(text: bytes, size: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> int:
     """64-bit SimHash of a text's word shingles."""
-    some = shingles(WORD.findall(lower_az(text)), size)
+    some = shingles(words_az(text), size)
     digest = xxhash.xxh64_intdigest
     return majority(np.fromiter((digest(s, seed) for s in some), np.uint64, len(some)))
 
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                found = np.array([fingerprint(t or "", size) for t in batch.column(1).to_pylist()], np.uint64)
+                found = np.array([fingerprint(t, size) for t in utf8(batch.column(1))], np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], [id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, crc_mod, cut, lower_az, slices
+from .common import crc_mod, cut, slices, utf8, words_az
 
 #: Bounds of the labelled sample: toxic documents, and half the ordinary ones.
 MOST_PER_CLASS = 2000
@@ -82,7 +82,7 @@ class Ratios:
         self.seen = {k: math.log(of(k, *classes[0]) / of(k, *classes[1])) for k in set(toxic) | set(ordinary)}
         weight = lambda c, g, total, types, d: d * types[c] / total[c] if c in total else 1.0
         self.backoff = {c: r for c in set(classes[0][1]) | set(classes[1][1]) if (r := math.log(weight(c, *classes[0]) / weight(c, *classes[1])))}
-        self.known: dict[str, float] = {}
+        self.known: dict[bytes, float] = {}
 
     @staticmethod
     def _contexts(counts: dict[str, int]) -> tuple[dict[str, int], dict[str, int]]:
@@ -100,14 +100,14 @@ class Ratios:
             ratio += backoff.get(k[:-1], 0.0) if r is None else r
         return ratio
 
-    def features(self, text: str) -> list[float]:
+    def features(self, text: bytes) -> list[float]:
         """The length-normalised ratio of the whole text, of its best windows, of its best three words, and the log of its length."""
-        words = WORD.findall(lower_az(text))
+        words = words_az(text)
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = self.word(w)
+            known[w] = self.word(w.decode())
         r = np.fromiter(map(known.__getitem__, words), np.float64, len(words)) if words else np.zeros(1)
         sums = np.concatenate([[0.0], np.cumsum(r)])
         best = [float(((sums[k:] - sums[:-k]) / k).max()) for k in (min(w, len(r)) for w in WINDOWS)]
@@ -149,7 +149,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (fold, toxic), of in words.items():
             n: Counter = Counter()
             for w, k in of.items():
-                for g in grams(w):
+                for g in grams(w.decode()):
                     n[g] += k
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array([fold] * len(n), pa.int32()), pa.array([toxic] * len(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["gram", "fold", "toxic", "n"])
@@ -157,8 +157,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for whole in batches:
         for batch in slices(whole, 0):
-            for text, fold, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words.setdefault((fold, toxic), Counter()).update(WORD.findall(lower_az(text or "")))
+            for text, fold, toxic in zip(utf8(batch.column(0)), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                words.setdefault((fold, toxic), Counter()).update(words_az(text))
             if sum(map(len, words.values())) > REMEMBERED:
                 yield from out()
     yield from out()
@@ -200,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         def features(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in slices(whole, 0):
-                    yield pa.RecordBatch.from_arrays([pa.array([model.value.features(t or "") for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
+                    yield pa.RecordBatch.from_arrays([pa.array([model.value.features(t) for t in utf8(batch.column(0))], pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
         for r in sample.filter(F.col("fold") == f).select("text", "toxic").mapInArrow(features, "x array<double>, toxic int").collect():
             x.append(r["x"])
@@ -223,7 +223,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 if ratios is None:
                     score = np.full(batch.num_rows, calibration)
                 else:
-                    score = calibration(np.array([ratios.features(t or "") for t in batch.column(len(carried)).to_pylist()]))
+                    score = calibration(np.array([ratios.features(t) for t in utf8(batch.column(len(carried)))]))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*names, "__score"])
 
     names = [f"__c{k}" for k in range(len(carried))]

@@ -12,6 +12,7 @@ from .common import table
 from .op1_token_counts import token_counts
 from .op4_byte_bpe import byte_bpe
 from .op7_simhash import near_duplicates
+from .op8_decontamination import leaks
 from .op9_toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,7 +43,7 @@ def op10_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op7_simhash, op9_toxicity, op10_snapshots)}
+    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op7_simhash, op8_decontamination, op9_toxicity, op10_snapshots)}
 
 
 def oracle_sql() -> dict[str, str]:
