@@ -11,6 +11,7 @@ from . import op10_snapshots as snapshots
 from .common import table
 from .op1_token_counts import token_counts
 from .op4_byte_bpe import byte_bpe
+from .op6_secrets import secrets
 from .op7_simhash import near_duplicates
 from .op8_decontamination import leaks
 from .op9_toxicity import toxicity
@@ -26,6 +27,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op10_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op7_simhash, op8_decontamination, op9_toxicity, op10_snapshots)}
+    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op6_secrets, op7_simhash, op8_decontamination, op9_toxicity, op10_snapshots)}
 
 
 def oracle_sql() -> dict[str, str]:
