@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import op10_snapshots as snapshots
 from .common import table
 from .op1_token_counts import token_counts
+from .op3_pii import pii
 from .op4_byte_bpe import byte_bpe
 from .op6_secrets import secrets
 from .op7_simhash import near_duplicates
@@ -23,6 +24,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -48,7 +53,7 @@ def op10_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op6_secrets, op7_simhash, op8_decontamination, op9_toxicity, op10_snapshots)}
+    return {f.__name__: f for f in (op1_token_counts, op3_pii, op4_byte_bpe, op6_secrets, op7_simhash, op8_decontamination, op9_toxicity, op10_snapshots)}
 
 
 def oracle_sql() -> dict[str, str]:
