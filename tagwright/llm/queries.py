@@ -12,6 +12,7 @@ from .common import table
 from .op1_token_counts import token_counts
 from .op3_pii import pii
 from .op4_byte_bpe import byte_bpe
+from .op5_multi_index import nearest
 from .op6_secrets import secrets
 from .op7_simhash import near_duplicates
 from .op8_decontamination import leaks
@@ -32,6 +33,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op3_pii, op4_byte_bpe, op6_secrets, op7_simhash, op8_decontamination, op9_toxicity, op10_snapshots)}
+    return {f.__name__: f for f in (op1_token_counts, op3_pii, op4_byte_bpe, op5_multi_index, op6_secrets, op7_simhash, op8_decontamination, op9_toxicity, op10_snapshots)}
 
 
 def oracle_sql() -> dict[str, str]:
