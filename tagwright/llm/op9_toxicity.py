@@ -211,10 +211,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_PER_CLASS, keep: list[str] | None = None) -> DataFrame:
-    """One row per document: id, held_out, score, predicted; or, with keep, the named columns and score."""
+    """One row per document: id, held_out, score, predicted; or, with keep, the named columns (the text among them) and __score."""
     ratios, calibration = learn(docs, labels, id_col, text_col, most)
     model = docs.sparkSession.sparkContext.broadcast((ratios, calibration))
-    carried = keep if keep is not None else [id_col]
+    carried = [c for c in (keep if keep is not None else [id_col]) if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios, calibration = model.value
@@ -224,11 +224,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                     score = np.full(batch.num_rows, calibration)
                 else:
                     score = calibration(np.array([ratios.features(t) for t in utf8(batch.column(len(carried)))]))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*names, "__score"])
+                yield pa.RecordBatch.from_arrays([*(batch.columns if keep else batch.columns[:-1]), pa.array(score, pa.float64())], [*names, *["__text"] * bool(keep), "__score"])
 
     names = [f"__c{k}" for k in range(len(carried))]
-    schema = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carried, strict=True)), "__score double"])
+    schema = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carried, strict=True)), *["__text string"] * bool(keep), "__score double"])
     scored = docs.select(*(F.col(c).alias(n) for n, c in zip(names, carried, strict=True)), F.col(text_col).alias("__text")).mapInArrow(run, schema)
-    if keep is not None:
-        return scored.select(*(F.col(n).alias(c) for n, c in zip(names, carried, strict=True)), F.col("__score"))
+    if keep:
+        of = dict(zip([*carried, text_col], [*names, "__text"], strict=True))
+        return scored.select(*(F.col(of[c]).alias(c) for c in keep), F.col("__score"))
     return scored.select(F.col(names[0]).alias(id_col), (crc_mod(F.col(names[0]), 5) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))

@@ -57,8 +57,14 @@ def op10_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.digest(table(spark, sf_dir, "conversations"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op3_pii, op4_byte_bpe, op5_multi_index, op6_secrets, op7_simhash, op8_decontamination, op9_toxicity, op10_snapshots)}
+    return {f.__name__: f for f in (op1_token_counts, op3_pii, op4_byte_bpe, op5_multi_index, op6_secrets, op7_simhash, op8_decontamination, op9_toxicity, op10_snapshots, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
