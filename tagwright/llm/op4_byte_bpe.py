@@ -36,9 +36,10 @@ _NONE = np.int64(1) << 40
 class SegmentTreeBpe:
     """Encodes and decodes with the ranks of a file whose lines are a base64 token and its rank."""
 
-    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED, most: int | None = None):
+        """most: only so many of the first ranks, which are a vocabulary by themselves if they hold all bytes."""
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if most is None or int(b) < most}
         self.pieces = regex.compile(pattern).findall
         self.bytes_of = {str(i): t for t, i in self.ranks.items()}
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)

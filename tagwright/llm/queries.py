@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import op10_snapshots as snapshots
 from .common import table
 from .op1_token_counts import token_counts
+from .op2_attention import attention_scores
 from .op3_pii import pii
 from .op4_byte_bpe import byte_bpe
 from .op5_multi_index import nearest
@@ -25,6 +26,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
 
@@ -64,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op3_pii, op4_byte_bpe, op5_multi_index, op6_secrets, op7_simhash, op8_decontamination, op9_toxicity, op10_snapshots, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_attention, op3_pii, op4_byte_bpe, op5_multi_index, op6_secrets, op7_simhash, op8_decontamination, op9_toxicity, op10_snapshots, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
