@@ -19,11 +19,14 @@ empty result.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,6 +118,27 @@ class Ratios:
         return [float(r.mean()), *best, float(top.mean()), math.log(len(r))]
 
 
+_KNOWN: dict[int, Ratios] = {}
+
+
+def _unpacked(packed: bytes) -> Ratios:
+    """The ratios of packed tables; a worker keeps those it used last, with the words it remembers."""
+    key = xxhash.xxh3_64_intdigest(packed)
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = pickle.loads(packed)
+    return _KNOWN[key]
+
+
+def _build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    toxic: dict[str, int] = {}
+    ordinary: dict[str, int] = {}
+    for f in frames:
+        for of, name in ((toxic, "toxic"), (ordinary, "ordinary")):
+            of.update((g, n) for g, n in zip(f["gram"], f[name].tolist(), strict=True) if n)
+    yield pd.DataFrame({"model": [pickle.dumps(Ratios(toxic, ordinary))]})
+
+
 class Logistic:
     """Ridge logistic regression by Newton's method on standardised features."""
 
@@ -173,41 +197,41 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(ids), id_col).select("text", "fold", "toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_PER_CLASS) -> tuple[Ratios | None, Logistic | float]:
-    """The ratios and the calibration; without examples of both classes a constant score."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_PER_CLASS) -> tuple[bytes | None, Logistic | float]:
+    """The packed ratios and the calibration; without examples of both classes a constant score."""
     spark = docs.sparkSession
     sample = cut(labelled_sample(docs, labels, id_col, text_col, most))
     sizes = {(r["fold"], r["toxic"]): r["n"] for r in sample.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_ordinary = (sum(n for (_, t), n in sizes.items() if t == k) for k in (1, 0))
     if not n_toxic or not n_ordinary:
         return None, float(n_toxic > 0)
-    counted = sample.mapInArrow(_count, "gram string, fold int, toxic int, n long").groupBy("gram", "toxic").agg(*(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"f{f}") for f in range(FOLDS)))
-    frame = counted.toPandas()
-    all_of = {t: frame[frame["toxic"] == t] for t in (1, 0)}
+    counted = cut(sample.mapInArrow(_count, "gram string, fold int, toxic int, n long").groupBy("gram", "fold", "toxic").agg(F.sum("n").alias("n")))
 
-    def ratios(without: int | None) -> Ratios:
-        kept = [f"f{f}" for f in range(FOLDS) if f != without]
-        return Ratios(*({g: n for g, n in zip(of["gram"], of[kept].sum(axis=1).tolist(), strict=True) if n} for of in (all_of[1], all_of[0])))
+    def ratios(without: int) -> bytes:
+        """Built in one task from the bounded sample's grams; the driver sees the finished tables only, as bytes."""
+        of = lambda toxic: F.sum(F.when(F.col("toxic") == toxic, F.col("n")).otherwise(0))
+        kept = counted.filter(F.col("fold") != without).groupBy("gram").agg(of(1).alias("toxic"), of(0).alias("ordinary"))
+        return bytes(kept.coalesce(1).mapInPandas(_build, "model binary").first()[0])
 
-    folds = [f for f in (range(FOLDS) if n_toxic < FEW else range(1)) if any(sizes.get((g, t)) for g in range(FOLDS) if g != f for t in (0, 1))]
     final, x, y = None, [], []
-    for f in folds:
+    for f in range(FOLDS) if n_toxic < FEW else range(1):
         if not all(any(sizes.get((g, t)) for g in range(FOLDS) if g != f) for t in (0, 1)):
             continue
         final = ratios(f)
         model = spark.sparkContext.broadcast(final)
 
         def features(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            held = _unpacked(model.value)
             for whole in batches:
                 for batch in slices(whole, 0):
-                    yield pa.RecordBatch.from_arrays([pa.array([model.value.features(t) for t in utf8(batch.column(0))], pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
+                    yield pa.RecordBatch.from_arrays([pa.array([held.features(t) for t in utf8(batch.column(0))], pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
         for r in sample.filter(F.col("fold") == f).select("text", "toxic").mapInArrow(features, "x array<double>, toxic int").collect():
             x.append(r["x"])
             y.append(r["toxic"])
     if len(set(y)) < 2:
         return None, float(n_toxic > n_ordinary)
-    return (final if n_toxic >= FEW else ratios(None)), Logistic(np.array(x), np.array(y, float))
+    return (final if n_toxic >= FEW else ratios(-1)), Logistic(np.array(x), np.array(y, float))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_PER_CLASS, keep: list[str] | None = None) -> DataFrame:
@@ -217,7 +241,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     carried = [c for c in (keep if keep is not None else [id_col]) if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios, calibration = model.value
+        packed, calibration = model.value
+        ratios = packed and _unpacked(packed)
         for whole in batches:
             for batch in slices(whole, len(carried)):
                 if ratios is None:
