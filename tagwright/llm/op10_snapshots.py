@@ -16,9 +16,9 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,46 +35,58 @@ def _turn_hash(role: str | None, text: str | None) -> int:
     return int.from_bytes(hashlib.blake2b(parts[0] + b"\0" + parts[1], digest_size=15).digest(), "big")
 
 
-def _roll(block: pd.DataFrame) -> pd.DataFrame:
-    """Prefix hashes within a block, and the powers of the bases by which an earlier hash is carried past them."""
-    block = block.sort_values(["turn", "role", "text"], na_position="first", kind="stable")
-    h, power, out = [0, 0], [1, 1], []
-    for role, text in zip(block["role"], block["text"], strict=True):
-        x = _turn_hash(None if pd.isna(role) else role, None if pd.isna(text) else text)
-        for k, (m, b) in enumerate(zip(MODULI, BASES, strict=True)):
-            h[k], power[k] = (h[k] * b + x) % m, power[k] * b % m
-        out.append((*h, *power))
-    a = np.array(out, np.int64).reshape(-1, 4)
-    return pd.DataFrame({"conv_id": block["conv_id"].to_numpy(), "block": block["block"].to_numpy(), "pos": np.arange(1, len(a) + 1), "h0": a[:, 0], "h1": a[:, 1], "p0": a[:, 2], "p1": a[:, 3]})
-
-
-def _carry(totals: pd.DataFrame) -> pd.DataFrame:
-    """For each block of a conversation, the hash and the number of turns before it."""
-    totals = totals.sort_values("block", na_position="first")
-    h, n, out = [0, 0], 0, []
-    for pos, *rest in totals[["pos", "h0", "h1", "p0", "p1"]].itertuples(index=False):
-        out.append((*h, n))
-        h = [(h[k] * int(rest[2 + k]) + int(rest[k])) % MODULI[k] for k in (0, 1)]
-        n += pos
-    a = np.array(out, np.int64).reshape(-1, 3)
-    return pd.DataFrame({"conv_id": totals["conv_id"].to_numpy(), "block": totals["block"].to_numpy(), "c0": a[:, 0], "c1": a[:, 1], "before": a[:, 2]})
-
-
-def _carried(rows: pd.DataFrame) -> pd.DataFrame:
-    for k, m in enumerate(MODULI):
-        rows[f"h{k}"] = np.array([(int(c) * int(p) + int(h)) % m for c, p, h in zip(rows[f"c{k}"], rows[f"p{k}"], rows[f"h{k}"], strict=True)], np.int64)
-    rows["pos"] += rows["before"]
-    return rows[["conv_id", "pos", "h0", "h1"]]
+def _roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prefix hashes within blocks, from rows sorted by conversation, block and turn, and the powers of the bases by which an earlier hash
+    is carried past them. What is kept from row to row is one block's state."""
+    (m0, m1), (b0, b1) = MODULI, BASES
+    last, pos, h0, h1, p0, p1 = None, 0, 0, 0, 1, 1
+    for batch in batches:
+        out = []
+        for conv, block, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (conv, block) != last:
+                last, pos, h0, h1, p0, p1 = (conv, block), 0, 0, 0, 1, 1
+            x = _turn_hash(role, text)
+            pos += 1
+            h0, h1, p0, p1 = (h0 * b0 + x) % m0, (h1 * b1 + x) % m1, p0 * b0 % m0, p1 * b1 % m1
+            out.append((pos, h0, h1, p0, p1))
+        yield _columns(batch, 2, out, ["conv_id", "block", "pos", "h0", "h1", "p0", "p1"])
+
+
+def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block, from rows sorted by conversation and block, the hash and the number of turns before it."""
+    (m0, m1), last, h0, h1, n = MODULI, None, 0, 0, 0
+    for batch in batches:
+        out = []
+        for conv, _, pos, x0, x1, p0, p1 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if conv != last:
+                last, h0, h1, n = conv, 0, 0, 0
+            out.append((h0, h1, n))
+            h0, h1, n = (h0 * p0 + x0) % m0, (h1 * p1 + x1) % m1, n + pos
+        yield _columns(batch, 2, out, ["conv_id", "block", "c0", "c1", "before"])
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    m0, m1 = MODULI
+    for batch in batches:
+        rows = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
+        yield _columns(batch, 1, [(pos + n, (c0 * p0 + h0) % m0, (c1 * p1 + h1) % m1) for pos, h0, h1, p0, p1, c0, c1, n in rows], ["conv_id", "pos", "h0", "h1"])
+
+
+def _columns(batch: pa.RecordBatch, kept: int, rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    made = list(zip(*rows, strict=True)) if rows else [()] * (len(names) - kept)
+    return pa.RecordBatch.from_arrays([*batch.columns[:kept], *(pa.array(c, pa.int64()) for c in made)], names)
 
 
 def prefix_hashes(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """(conv_id, pos, h0, h1): for each position the hash of the conversation up to it. turns: conv_id, turn, role, text, distinct."""
     kind = turns.schema["conv_id"].dataType.simpleString()
     dealt = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / block).cast("long"), F.lit(-(1 << 62))))
-    rolled = cut(dealt.groupBy("conv_id", "block").applyInPandas(_roll, f"conv_id {kind}, block long, pos long, h0 long, h1 long, p0 long, p1 long"))
+    in_order = dealt.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
+    rolled = cut(in_order.select("conv_id", "block", "role", "text").mapInArrow(_roll, f"conv_id {kind}, block long, pos long, h0 long, h1 long, p0 long, p1 long"))
     totals = rolled.groupBy("conv_id", "block").agg(F.max_by(F.struct("pos", "h0", "h1", "p0", "p1"), "pos").alias("t")).select("conv_id", "block", "t.*")
-    carry = totals.groupBy("conv_id").applyInPandas(_carry, f"conv_id {kind}, block long, c0 long, c1 long, before long")
-    return rolled.join(carry, ["conv_id", "block"]).mapInPandas(lambda frames: map(_carried, frames), f"conv_id {kind}, pos long, h0 long, h1 long")
+    carry = totals.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(_carry, f"conv_id {kind}, block long, c0 long, c1 long, before long")
+    joined = rolled.join(carry, ["conv_id", "block"]).select("conv_id", "pos", "h0", "h1", "p0", "p1", "c0", "c1", "before")
+    return joined.mapInArrow(_carried, f"conv_id {kind}, pos long, h0 long, h1 long")
 
 
 def maximal(turns: DataFrame, block: int = BLOCK) -> DataFrame:
