@@ -97,3 +97,31 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sco
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added")))
     return both.select(F.col("key").alias(id_col), *(number(k).alias(f"n_{n}") for k, (n, *_) in enumerate(KINDS[:BASE])), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(spans).alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_linked"))
+
+
+def _oracle() -> str:
+    """The same rows in SQL without Spark's functions: positions from the lengths of matches and of what lies between them."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    found = " UNION ALL ".join(
+        f"SELECT rid, {k} AS kind, regexp_extract_all(t, {quoted(p)}, 0) AS m, regexp_extract_all(t, {quoted(p)}, {group}) AS x, string_split_regex(t, {quoted(p)}) AS g FROM d"
+        for k, (_, p, _, group, _) in enumerate(KINDS)
+    )
+    name = "[" + ", ".join(f"'{n}'" for n, *_ in KINDS) + "][kind + 1]"
+    joined = f"string_agg({name} || ':' || st || ':' || en, ',' ORDER BY st, kind, en)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
+p AS (SELECT rid, kind, x[i] AS v, length(m[i]) AS size, CAST(coalesce(list_sum(list_transform(g[1:i], lambda z: length(z))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS BIGINT) AS st FROM e),
+q AS (SELECT rid, kind, st, st + size AS en FROM p WHERE CASE kind WHEN 0 THEN length(v) >= 6 WHEN 4 THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') ELSE true END),
+parts AS (SELECT *, CASE WHEN kind IN (1, 3) THEN 'id' WHEN kind = 5 THEN 'endpoint' ELSE 'secret' END AS role FROM q WHERE kind < {BASE} OR NOT EXISTS (SELECT 1 FROM q b WHERE b.rid = q.rid AND b.kind < {BASE} AND b.st < q.en AND q.st < b.en)),
+near AS (SELECT DISTINCT w.rid, w.kind, w.st, w.en, o.role FROM parts w JOIN parts o ON w.rid = o.rid AND w.kind >= {BASE} AND o.role <> w.role AND o.role <> 'endpoint' AND o.st < w.en + {SCOPE} AND o.en > w.st - {SCOPE}),
+linked AS (SELECT rid, kind, st, en FROM near GROUP BY rid, kind, st, en HAVING count(DISTINCT role) = CASE kind WHEN 5 THEN 2 ELSE 1 END),
+b AS (SELECT rid, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS c, count(*) FILTER (kind = 2) AS h, {joined} AS spans FROM q WHERE kind < {BASE} GROUP BY rid),
+al AS (SELECT rid, {joined} AS spans, count(*) FILTER (kind >= {BASE}) AS n FROM (SELECT rid, kind, st, en FROM q WHERE kind < {BASE} UNION ALL SELECT * FROM linked) GROUP BY rid)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(al.spans, '') AS spans, coalesce(al.n, 0) AS n_linked
+FROM d LEFT JOIN b ON d.rid = b.rid LEFT JOIN al ON d.rid = al.rid
+"""
+
+
+ORACLE_SQL = _oracle()

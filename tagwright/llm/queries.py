@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op6_secrets as secret_scan
 from . import op10_snapshots as snapshots
 from .common import table
 from .op1_token_counts import token_counts
@@ -14,7 +15,6 @@ from .op2_attention import attention_scores
 from .op3_pii import pii
 from .op4_byte_bpe import byte_bpe
 from .op5_multi_index import nearest
-from .op6_secrets import secrets
 from .op7_simhash import near_duplicates
 from .op8_decontamination import leaks
 from .op9_toxicity import toxicity
@@ -43,7 +43,7 @@ def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets(table(spark, sf_dir, "documents"))
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +73,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_snapshots": snapshots.ORACLE_SQL}
+    return {"op6_secrets": secret_scan.ORACLE_SQL, "op10_snapshots": snapshots.ORACLE_SQL}
