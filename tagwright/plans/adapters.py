@@ -36,9 +36,9 @@ SELECT o_custkey AS run_id, o_orderkey AS id, concat('JB-', CAST(o_custkey % 7 A
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_index FROM orders
 """
 RUN_LOG = "SELECT event_id AS id, user_id AS run_id, ts AS created, event_type AS level, value FROM events"
-WORKBOOK_A = "SELECT concat('TE-', CAST(p_partkey AS STRING)) AS tag, p_brand AS io_type, CASE WHEN p_size > 25 THEN p_type END AS safety FROM part WHERE p_partkey % 3 <> 0"
-WORKBOOK_B = "SELECT concat('TE-', CAST(p_partkey AS STRING)) AS tag, concat('JB-', CAST(p_size AS STRING)) AS jb, CASE WHEN p_size > 10 THEN p_type END AS safety FROM part WHERE p_partkey % 3 <> 1"
-WORKBOOK_C = "SELECT concat('TE-', CAST(p_partkey AS STRING)) AS tag, p_name AS cable, CASE WHEN p_size > 40 THEN 'JB-9' END AS jb FROM part WHERE p_partkey % 4 = 0"
+WORKBOOK_A = "SELECT concat('TE-', CAST(p_partkey AS STRING)) AS tag, p_brand AS io_type, CASE WHEN p_size > 25 THEN p_type END AS safety FROM part WHERE p_size > 15"
+WORKBOOK_B = "SELECT concat('TE-', CAST(p_partkey AS STRING)) AS tag, concat('JB-', CAST(p_size AS STRING)) AS jb, CASE WHEN p_size > 10 THEN p_type END AS safety FROM part WHERE p_size <= 35"
+WORKBOOK_C = "SELECT concat('TE-', CAST(p_partkey AS STRING)) AS tag, p_name AS cable, CASE WHEN p_size > 40 THEN 'JB-9' END AS jb FROM part WHERE p_retailprice > 1200"
 
 TABLES = ("lineitem", "orders", "customer", "part", "events", "supplier", "documents", "nation", "region")
 

@@ -162,10 +162,10 @@ def u05_run_level_sets(spark, sf):
     return _classified(spark, sf).filter("kind in ('JB', 'MC')").select("kind", "token").distinct()
 
 
-@query(f"WITH {SQL_KIND}, w AS (SELECT pdf, page, count(DISTINCT token) FILTER (kind = 'JB') AS b, count(*) FILTER (kind IN ('Tag', 'SPARE')) AS i FROM s GROUP BY pdf, page), v AS (SELECT CASE WHEN b > 1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, pdf, page FROM w WHERE b > 1 OR (b = 0 AND i > 0)), k AS (SELECT *, row_number() OVER (PARTITION BY pdf ORDER BY CASE severity WHEN 'HIGH' THEN 0 ELSE 1 END, page) AS place FROM v) SELECT * FROM k WHERE place <= 20")
+@query(f"WITH {SQL_KIND}, w AS (SELECT pdf, page, count(DISTINCT token) FILTER (kind = 'JB') AS b, count(*) FILTER (kind IN ('Tag', 'SPARE')) AS i FROM s GROUP BY pdf, page), v AS (SELECT CASE WHEN b > 1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, pdf, page FROM w WHERE b > 1 OR (b = 0 AND i > 0)), k AS (SELECT *, row_number() OVER (PARTITION BY pdf ORDER BY CASE severity WHEN 'HIGH' THEN 0 ELSE 1 END, page) AS place FROM v) SELECT * FROM k")
 def o09_severity_order(spark, sf):
     place = F.row_number().over(Window.partitionBy("pdf").orderBy(review.severity_rank(F.col("severity")), "page"))
-    return drawing.warnings(_classified(spark, sf)).select("severity", "pdf", "page").withColumn("place", place).filter("place <= 20")
+    return drawing.warnings(_classified(spark, sf)).select("severity", "pdf", "page").withColumn("place", place)
 
 
 # Scalars ----------------------------------------------------------------------------------------------------------------------------

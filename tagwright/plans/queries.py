@@ -106,10 +106,10 @@ def a10_signal_summary(spark, sf):
     return _clean(spark, sf).groupBy("io", "safety").agg(F.count("*").alias("n"), F.countDistinct("jb").alias("boxes"))
 
 
-@query(f"WITH {SQL_NORMAL}, x AS (SELECT tag, jb, rank_io, row_number() OVER (PARTITION BY safety ORDER BY rank_io, rank_safety, rank_location, jb, seq) AS place, safety FROM c) SELECT safety, place, tag, jb, rank_io FROM x WHERE place <= 100")
+@query(f"WITH {SQL_NORMAL}, x AS (SELECT tag, jb, rank_io, row_number() OVER (PARTITION BY safety ORDER BY rank_io, rank_safety, rank_location, jb, seq) AS place, safety FROM c) SELECT safety, place, tag, jb, rank_io FROM x")
 def o01_master_order(spark, sf):
     place = F.row_number().over(Window.partitionBy("safety").orderBy(*clean.MASTER_ORDER))
-    return _clean(spark, sf).withColumn("place", place).filter("place <= 100").select("safety", "place", "tag", "jb", "rank_io")
+    return _clean(spark, sf).withColumn("place", place).select("safety", "place", "tag", "jb", "rank_io")
 
 
 # Assignment -----------------------------------------------------------------------------------------------------------------------
@@ -163,10 +163,14 @@ def u01_union_with_spares(spark, sf):
     return signals.select("io", "jb").unionByName(assign.hot_spares(signals).select("io", "jb")).groupBy("io").agg(F.count("*").alias("rows_all"))
 
 
-@query(f"WITH {SQL_DEMAND} SELECT jb, rail_load + " + " + ".join(f'"{k}_{b}"' for k in ("Barrier", "Terminal") for b in assign.BASES) + " AS load FROM demand ORDER BY load DESC, jb LIMIT 200")
+SQL_LOAD = "rail_load + " + " + ".join(f'"{k}_{b}"' for k in ("Barrier", "Terminal") for b in assign.BASES)
+
+
+@query(f"WITH {SQL_DEMAND} SELECT jb, safety, {SQL_LOAD} AS load, row_number() OVER (PARTITION BY safety ORDER BY {SQL_LOAD} DESC, jb) AS place FROM demand")
 def o02_load_order(spark, sf):
     load = sum((F.col(c) for c in assign.COUNTERS[:8]), F.col("rail_load"))
-    return assign.demands(_clean(spark, sf)).select("jb", load.alias("load")).orderBy(F.desc("load"), "jb").limit(200)
+    d = assign.demands(_clean(spark, sf)).select("jb", "safety", load.alias("load"))
+    return d.withColumn("place", F.row_number().over(Window.partitionBy("safety").orderBy(F.desc("load"), "jb")))
 
 
 def _runs(spark, sf):
