@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..operators import assign, clean, dims, drawing, match, review, textmode
+from ..operators import assign, clean, dims, drawing, match, review, store, textmode
 from ..sources import workbooks
 from . import adapters as A
 from .queries import SQL_EXACT, SQL_INTER, SQL_KIND, SQL_NORMAL, SQL_REFS, _classified, _clean, _io, _refs, _rows, _spans, _tags, query
@@ -220,3 +220,47 @@ def c01_c03_maps(spark, sf):
 @query(f"WITH {SQL_KIND}, {SQL_EXACT}, u AS (SELECT tag FROM exact WHERE reference IS NULL AND upper(tag) NOT LIKE 'NC%') SELECT tag, 'FFF2CC' AS row_color FROM u")
 def k05_row_colours(spark, sf):
     return match.unmatched(_tags(spark, sf), _refs(spark, sf)).filter("source = 'PDF'").select("tag", F.lit("FFF2CC").alias("row_color"))
+
+
+# Store --------------------------------------------------------------------------------------------------------------------------
+@query("SELECT n_name AS name, sha256(n_name) AS hash FROM nation UNION ALL SELECT DISTINCT c_mktsegment AS name, sha256(c_mktsegment) AS hash FROM customer WHERE c_mktsegment NOT IN (SELECT n_name FROM nation)")
+def p01_get_or_create(spark, sf):
+    projects = A.view(spark, sf, "SELECT n_name AS name, sha2(n_name, 256) AS hash FROM nation")
+    return store.get_or_create(projects, A.view(spark, sf, "SELECT c_mktsegment AS name FROM customer"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'DONE' ELSE o_orderstatus END AS status, CAST(NULL AS TIMESTAMP) AS started_at, CASE WHEN o_orderstatus = 'O' THEN coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END, TIMESTAMP '2025-01-01 00:00:00') END AS finished_at FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, o_orderstatus, NULL, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END FROM orders WHERE o_orderstatus <> 'O'")
+def p02_run_status(spark, sf):
+    runs = A.view(spark, sf, "SELECT o_orderkey AS id, o_orderstatus AS status, CAST(NULL AS TIMESTAMP) AS started_at, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS finished_at FROM orders")
+    changes = runs.filter("status = 'O'").select("id", F.lit("DONE").alias("new_status"))
+    return store.with_status(runs, changes, F.lit("2025-01-01 00:00:00").cast("timestamp"))
+
+
+@query(f"WITH r AS ({A.IO_ROWS}), n AS (SELECT DISTINCT run_id, CAST(1 AS BIGINT) AS row_index, 'NEW' AS jb FROM r WHERE status = '1-URGENT') SELECT run_id, CAST(row_index AS BIGINT) AS row_index, jb FROM r WHERE run_id NOT IN (SELECT run_id FROM n) UNION ALL SELECT * FROM n")
+def k15_persist_run(spark, sf):
+    rows = _rows(spark, sf)
+    new = rows.filter("status = '1-URGENT'").select("run_id", F.lit(1).cast("bigint").alias("row_index"), F.lit("NEW").alias("jb")).distinct()
+    return store.persisted(rows.select("run_id", F.col("row_index").cast("bigint").alias("row_index"), "jb"), new)
+
+
+@query(f"WITH r AS ({A.IO_ROWS}), a AS (SELECT DISTINCT run_id, jb, 'detail' AS class FROM r WHERE status = '1-URGENT'), b AS (SELECT DISTINCT run_id, jb, 'candidate' AS class FROM r WHERE status = '2-HIGH') SELECT * FROM a UNION ALL SELECT * FROM b WHERE (run_id, jb) NOT IN (SELECT (run_id, jb) FROM a)")
+def u07_issue_classes(spark, sf):
+    of = lambda status, name: _rows(spark, sf).filter(F.col("status") == status).select("run_id", "jb", F.lit(name).alias("class")).distinct()
+    return store.issues([of("1-URGENT", "detail"), of("2-HIGH", "candidate")], ["run_id", "jb"])
+
+
+@query(f"WITH {SQL_KIND}, d AS (SELECT 'dup' AS warning, token AS item, pdf, page, row_number() OVER (PARTITION BY upper(token), upper(pdf) ORDER BY page, seq) AS k FROM s WHERE kind = 'JB') SELECT warning, item, pdf, page FROM d WHERE k = 1")
+def a09_warning_dedup(spark, sf):
+    return store.deduplicated_warnings(_classified(spark, sf).filter("kind = 'JB'").select(F.lit("dup").alias("warning"), F.col("token").alias("item"), "pdf", "page"))
+
+
+@query(f"WITH {SQL_KIND}, k AS (SELECT *, row_number() OVER (PARTITION BY pdf, page, kind = 'Cable' ORDER BY length(regexp_replace(token, '[^0-9]', '', 'g')) DESC, token, y, x, seq) AS k FROM s WHERE kind <> 'Unknown') SELECT pdf, page, kind, token, CASE kind WHEN 'JB' THEN '0000FF' WHEN 'MC' THEN '800080' WHEN 'SPARE' THEN 'FFA500' WHEN 'Tag' THEN '00AA00' ELSE 'A52A2A' END AS colour, x * CAST(72 AS DOUBLE) / 300 AS x0, (y + h) * CAST(72 AS DOUBLE) / 300 AS y1 FROM k WHERE kind <> 'Cable' OR k = 1")
+def k09_m14_annotation_plan(spark, sf):
+    return store.annotation_plan(_classified(spark, sf)).select("pdf", "page", "kind", "token", "colour", F.col("box.x0").alias("x0"), F.col("box.y1").alias("y1"))
+
+
+@query(f"WITH r AS ({A.IO_ROWS}) SELECT row_index, id, CASE WHEN row_index > 1 THEN jb ELSE 'X' END AS jb FROM r")
+def k17_export_backfill(spark, sf):
+    rows = _rows(spark, sf).withColumn("values", F.create_map(F.lit("id"), F.col("id").cast("string"), F.lit("jb"), F.when(F.col("row_index") > 1, "").otherwise("X")))
+    columns = store.composed_columns(["id"], ["jb"], ["id", "jb"], [])
+    return store.exported(rows, columns, {"jb": "jb"}).select("row_index", F.col("id").cast("bigint").alias("id"), "jb")
