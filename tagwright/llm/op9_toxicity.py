@@ -3,7 +3,7 @@
 Two interpolated Kneser-Ney models over the characters of words (n-grams up to six, words marked at both ends) are counted, one
 from toxic and one from ordinary training documents. Each class has its own counts at the highest order only; below it both share
 one model of continuation counts, so an expression too rare to have been seen in a class falls back on what is known of its parts.
-A word's log-likelihood ratio is remembered by a worker, so each distinct word is scored once. A document is compared by its
+A word's log-likelihood ratio is remembered by a task, so a repeated word is scored once. A document is compared by its
 length-normalised ratio, over the whole text and over its best windows of 1, 8 and 32 words; a logistic regression on
 cross-fitted documents turns these into a score between 0 and 1.
 
@@ -26,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +36,8 @@ MOST_PER_CLASS = 2000
 ORDER, WINDOWS, FOLDS = 6, (1, 8, 32), 5
 #: With fewer toxic documents every fold is cross-fitted in turn, else the first alone.
 FEW = 250
-#: Words remembered by a worker; when full it starts anew. Longer words are scored in pieces of this many characters.
-REMEMBERED, LONGEST = 500_000, 64
+#: Words remembered by a task; when full it starts anew. Longer words are scored in pieces of this many characters.
+REMEMBERED, LONGEST = 300_000, 64
 
 
 def grams(word: str) -> list[str]:
@@ -118,18 +117,6 @@ class Ratios:
         return [float(r.mean()), *best, float(top.mean()), math.log(len(r))]
 
 
-_KNOWN: dict[int, Ratios] = {}
-
-
-def _unpacked(packed: bytes) -> Ratios:
-    """The ratios of packed tables; a worker keeps those it used last, with the words it remembers."""
-    key = xxhash.xxh3_64_intdigest(packed)
-    if key not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[key] = pickle.loads(packed)
-    return _KNOWN[key]
-
-
 def _build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     toxic: dict[str, int] = {}
     ordinary: dict[str, int] = {}
@@ -221,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model = spark.sparkContext.broadcast(final)
 
         def features(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            held = _unpacked(model.value)
+            held = pickle.loads(model.value)
             for whole in batches:
                 for batch in slices(whole, 0):
                     yield pa.RecordBatch.from_arrays([pa.array([held.features(t) for t in utf8(batch.column(0))], pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
@@ -242,7 +229,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, calibration = model.value
-        ratios = packed and _unpacked(packed)
+        ratios = packed and pickle.loads(packed)  # for this task only: a worker goes on to other stages
         for whole in batches:
             for batch in slices(whole, len(carried)):
                 if ratios is None:
