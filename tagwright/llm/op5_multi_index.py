@@ -30,7 +30,7 @@ from .common import cut
 
 TOP, EVERY, RECALL = 20, 20, 0.95
 #: Vectors that codebooks and the share are fitted on, and queries among them; entries to a block; queries to a task.
-SAMPLE, SAMPLE_QUERIES, BLOCK, QUERIES = 20_000, 400, 2048, 8192
+SAMPLE, SAMPLE_QUERIES, BLOCK, QUERIES = 20_000, 400, 16_384, 8192
 MOST_CODEWORDS = 256
 
 
@@ -122,11 +122,11 @@ def _best(ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray, query_ids: np
     """Each query's best entries among those in its probed cells."""
     kinds, at = np.unique(cells, return_inverse=True)
     found = []
-    for k in range(0, len(queries), 512):
-        q = queries[k : k + 512]
-        visits = np.array([[c in p for c in kinds.tolist()] for p in probed[k : k + 512]], bool).reshape(len(q), len(kinds))
+    for k in range(0, len(queries), 128):
+        q = queries[k : k + 128]
+        visits = np.array([[c in p for c in kinds.tolist()] for p in probed[k : k + 128]], bool).reshape(len(q), len(kinds))
         scores = q @ vectors.T
-        scores[~visits[:, at] | (query_ids[k : k + 512, None] == ids[None])] = -np.inf
+        scores[~visits[:, at] | (query_ids[k : k + 128, None] == ids[None])] = -np.inf
         if len(ids) > top:
             least = -np.partition(-scores, top - 1, axis=1)[:, top - 1 : top]
             scores[scores < least - 1e-9 * np.maximum(1.0, np.abs(least))] = -np.inf
@@ -136,7 +136,7 @@ def _best(ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray, query_ids: np
         row, col, exact = row[order], col[order], exact[order]
         first = np.searchsorted(row, np.arange(len(q)))
         keep = np.arange(len(row)) - first[row] < top
-        found.append(pd.DataFrame({"query_id": query_ids[k : k + 512][row[keep]], "vec_id": ids[col[keep]], "score": exact[keep]}))
+        found.append(pd.DataFrame({"query_id": query_ids[k : k + 128][row[keep]], "vec_id": ids[col[keep]], "score": exact[keep]}))
     return pd.concat(found) if found else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
 
 
