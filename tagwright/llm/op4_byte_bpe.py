@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 #: Units of text remembered with their ids by a worker; when full it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Pieces up to this many bytes are encoded together.
 TOGETHER = 64
 #: The pattern's pieces always start anew before white space that follows other characters, so texts may be cut there.
@@ -225,7 +225,7 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most_chars=2_000_000):
                 joined = bpe.encode_joined([t or "" for t in batch.column(1).to_pylist()])
                 columns = [
                     batch.column(0),
