@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 from tagwright.llm.common import words_az
-from tagwright.llm.near_copies import one_of_each, similar
+from tagwright.llm.near_copies import leaders, one_of_each, similar
 from tagwright.llm.op7_simhash import shingles
 
 
@@ -76,3 +76,20 @@ def test_stages(spark, tmp_path):
     masked = {r["doc_id"]: (r["text"], r["n_chars"]) for r in spark.read.parquet(sf + "/pii").collect()}
     assert masked[9001] == ("write to [email] or not at all", 30)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == seen[-1]
+
+
+def test_leaders_of_all_chunks_meet(spark):
+    rng = random.Random(4)
+    own = {}
+    for g in range(30):
+        base = rng.sample(range(1000 * g, 1000 * g + 999), 24)
+        for c in range(3):
+            own[rng.getrandbits(40)] = set(base[:-1] if c == 1 else base + [1000 * g + 999] if c == 2 else base)
+    rows = [(n, 0, k, rng.getrandbits(3), 0, sorted(s)) for k, (n, s) in enumerate(own.items())]
+    members = spark.createDataFrame(rows, "node long, cluster long, place long, f0 long, f1 long, shingles array<long>").repartition(3)
+    for chunk in (700, 3000, 5000):
+        led = {r["node"]: r["leader"] for r in leaders(members, chunk).collect()}
+        assert led.keys() == own.keys()
+        kept = [n for n in led if led[n] == n]
+        assert not [(a, b) for a in kept for b in kept if a < b and similar(own[a], own[b])], chunk
+        assert len(kept) == 30
