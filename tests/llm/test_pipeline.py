@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 from tagwright.llm.common import words_az
-from tagwright.llm.near_copies import leaders, one_of_each, similar
+from tagwright.llm.near_copies import leaders, loose_links, one_of_each, similar
 from tagwright.llm.op7_simhash import shingles
 
 
@@ -93,3 +93,11 @@ def test_leaders_of_all_chunks_meet(spark):
         kept = [n for n in led if led[n] == n]
         assert not [(a, b) for a in kept for b in kept if a < b and similar(own[a], own[b])], chunk
         assert len(kept) == 30
+
+
+def test_all_texts_of_a_key_are_linked(spark):
+    nodes = random.Random(5).sample(range(-(2**40), 2**40), 300)
+    signed = spark.createDataFrame([(n, [7, 1000 + k, 5000 + k // 2]) for k, n in enumerate(nodes)] + [(1, [8]), (2, [])], "node long, keys array<long>")
+    links = {(r["a"], r["b"]) for r in loose_links(signed).collect()}
+    assert {(min(nodes), n) for n in nodes if n != min(nodes)} <= links and len(links) < 450
+    assert {n for link in links for n in link} == set(nodes)
