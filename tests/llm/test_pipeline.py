@@ -101,3 +101,13 @@ def test_all_texts_of_a_key_are_linked(spark):
     links = {(r["a"], r["b"]) for r in loose_links(signed).collect()}
     assert {(min(nodes), n) for n in nodes if n != min(nodes)} <= links and len(links) < 450
     assert {n for link in links for n in link} == set(nodes)
+
+
+def test_copies_with_a_passage_appended_go(spark):
+    rng = random.Random(6)
+    texts = [[f"w{rng.randrange(10**6):06d}" for _ in range(200)] for _ in range(100)]
+    texts += [t + [f"w{rng.randrange(10**6):06d}" for _ in range(47)] for t in texts]
+    own = [sets(" ".join(t)) for t in texts]
+    assert all(similar(own[k], own[100 + k]) for k in range(100))
+    kept = one_of_each(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == set(range(100))
