@@ -111,3 +111,36 @@ def test_copies_with_a_passage_appended_go(spark):
     assert all(similar(own[k], own[100 + k]) for k in range(100))
     kept = one_of_each(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"))
     assert {r["doc_id"] for r in kept.collect()} == set(range(100))
+
+
+def test_groups_are_joined_by_chains(spark):
+    texts = []
+    for k in range(20):
+        middle = [f"w{k}x{i}" for i in range(100)]
+        texts += [(k, middle[:20] + ["p", "q"] + middle[22:]), (20 + k, middle[:70] + ["r", "s"] + middle[72:]), (40 + k, middle)]
+    own = {d: sets(" ".join(w)) for d, w in texts}
+    assert all(similar(own[k], own[40 + k]) and similar(own[20 + k], own[40 + k]) and not similar(own[k], own[20 + k]) for k in range(20))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts], "doc_id long, text string")
+    for chunk in (600_000, 200):
+        assert {r["doc_id"] for r in one_of_each(docs, chunk=chunk).collect()} == set(range(20))
+
+
+def test_chunks_of_any_size_give_the_same_leaders(spark):
+    rng = random.Random(8)
+    own = {}
+    for g in range(40):
+        base = rng.sample(range(1000 * g, 1000 * g + 900), 30)
+        for c in range(rng.choice([1, 2, 3, 12])):
+            base = rng.sample(base, 29) + [1000 * g + 900 + c]
+            own[rng.getrandbits(40)] = set(base)
+    root = {n: n for n in own}
+    for a in own:
+        for b in own:
+            if root[a] != root[b] and similar(own[a], own[b]):
+                root |= {n: root[a] for n in root if root[n] == root[b]}
+    place = {n: rng.getrandbits(30) for n in own}
+    first = {r: min((n for n in own if root[n] == r), key=place.get) for r in root.values()}
+    rows = [(n, 0, place[n], sorted(s)) for n, s in own.items()]
+    members = spark.createDataFrame(rows, "node long, cluster long, place long, shingles array<long>").repartition(3)
+    for chunk in (300, 2000, 600_000):
+        assert {r["node"]: r["leader"] for r in leaders(members, chunk).collect()} == {n: first[root[n]] for n in own}
