@@ -144,3 +144,12 @@ def test_chunks_of_any_size_give_the_same_leaders(spark):
     members = spark.createDataFrame(rows, "node long, cluster long, place long, shingles array<long>").repartition(3)
     for chunk in (300, 2000, 600_000):
         assert {r["node"]: r["leader"] for r in leaders(members, chunk).collect()} == {n: first[root[n]] for n in own}
+
+
+def test_short_copies_with_a_long_word_more_go(spark):
+    rng = random.Random(7)
+    texts = [[f"x{rng.randrange(1000):03d}" for _ in range(23)] + [f"longer{rng.randrange(10**5)}" for _ in range(7)] for _ in range(20)]
+    texts += [t + [f"appended{k}"] for k, t in enumerate(texts)]
+    assert all(similar(sets(" ".join(texts[k])), sets(" ".join(texts[20 + k]))) for k in range(20))
+    kept = one_of_each(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == set(range(20))
