@@ -262,10 +262,7 @@ def h13_candidates(spark, sf):
 
 @query()
 def h16_match_verdicts(spark, sf):
-    # Every tag read, against the references of one plant unit: a hundred of them, as a fuzzy search compares all pairs of a prefix.
-    tags = A.view(spark, sf, "SELECT concat('TE-', CAST(s_suppkey * 7 AS STRING), CASE WHEN s_suppkey % 5 = 0 THEN 'A' ELSE '' END) AS tag FROM supplier")
-    refs = match.references(A.view(spark, sf, "SELECT s_suppkey AS ref_seq, concat('TE-', CAST(s_suppkey * 6 AS STRING)) AS reference FROM supplier"))
-    return match.verdicts(tags, refs)
+    return match.verdicts(_tags(spark, sf), _refs(spark, sf))
 
 
 @query(f"WITH {SQL_REFS}, d AS (SELECT reference, unnest(regexp_extract_all(reference, '[0-9]+')) AS run FROM r), p AS (SELECT min(length(reference)) AS shortest, max(length(reference)) AS longest, avg(CASE WHEN reference LIKE '%-%' THEN 1.0 ELSE 0.0 END) AS hyphens FROM r) SELECT CAST(shortest AS INT) AS shortest, CAST(longest AS INT) AS longest, hyphens, (SELECT avg(length(run)) FROM d) AS mean_run FROM p")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tagwright.functions import rules, text
 from tagwright.operators import assign, consolidate, dims, drawing, match, review, textmode
+from tagwright.plans import queries
 from tagwright.sources import workbooks
 
 
@@ -41,6 +42,27 @@ def test_verdicts(spark):
     assert match.exact(frame(spark, [("TE 1234",)], "tag string"), ambiguous).first()["reference"] is None
 
 
+def test_verdicts_of_all_tags_read(spark, monkeypatch):
+    refs = [(f"{p}-{n}", k) for k, (p, n) in enumerate((p, n) for p in ("TE", "PT", "PDT") for n in range(100, 400, 37))]
+    tags = [f"{p}{sep}{n}" for p in ("TE", "PDT", "XX") for sep in "-_" for n in range(100, 400, 23)] + ["NC-1-2-C"]
+    monkeypatch.setattr(queries, "_tags", lambda spark, sf: frame(spark, [(t,) for t in tags], "tag string"))
+    monkeypatch.setattr(queries, "_refs", lambda spark, sf: frame(spark, refs, "reference string, ref_seq int"))
+    got = {r["tag"]: r for r in queries.h16_match_verdicts(spark, "no tables").collect()}
+    assert got.keys() == set(tags)
+    of = {r.replace("-", ""): r for r, _ in refs}
+    for t in tags:
+        if (key := t.replace("-", "").replace("_", "")) in of:
+            assert (got[t]["match_type"], got[t]["closest"]) == ("exact", of[key])
+        elif t[:2] in ("XX", "NC"):
+            assert got[t]["match_type"] == "unmatched"
+        else:
+            same = lambda r: r.split("-")[0] == t.replace("_", "-").split("-")[0]  # noqa: B023, E731
+            near = [(match.pair_score(t, r, same(r)), -k, r) for r, k in refs if match.lev_ratio(match.parts(t)[0], match.parts(r)[0]) >= 0.7]
+            score, _, closest = max(near)
+            assert got[t]["score"] == pytest.approx(score) and got[t]["closest"] == closest
+            assert got[t]["match_type"] == ("similar" if score >= match.THRESHOLD else "unmatched_candidate")
+
+
 def test_candidates(spark):
     refs = match.references(frame(spark, [("LUSY-2474A", 0), ("USY-2482A", 1)], "reference string, ref_seq int"))
     patterns = match.compiled(match.families(refs))
