@@ -7,6 +7,9 @@ hosts with ports). An interval join within scopes (the same row, at most ``SCOPE
 near a secret, a weak secret only near an identifier, an endpoint only near both; base finds count as parts too. Intervals are joined
 by buckets of SCOPE positions, with a semi join, so neither a long text nor a crowded one yields pairs.
 
+Patterns run without recursion and in time linear in the text, whatever it holds: repeated groups are possessive, and an endpoint is only
+tried where one can start. Spans are laid end to end in blocks of ``BLOCK`` matches, so a text with many matches costs no more for each.
+
 Positions are code points, ends exclusive. n_assign, n_access and n_hex count the base spans; spans lists these and the added ones
 (kinds id, secret, endpoint, in this order after the base kinds), by start, then kind. Weak parts that touch a base span are not
 reported. Null texts count as empty. Rows are kept apart by a row number, so ids may be null or repeated. Other columns are ignored;
@@ -27,6 +30,8 @@ ACCESS, HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
 WEAK_ID = r"""(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{8,}|(?i:client_id|access_key_id|user_?name|user_?id|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@=-]{3,}"""
 WEAK_SECRET = "[A-Za-z0-9+/_=-]{20,}"
 ENDPOINT = r"""https?://[^\s"'<>]{4,}|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}"""
+#: The same matches for Spark: no step back, and a host starts after the last match (and a dot) or where no part of a host comes before.
+ENDPOINT_LINEAR = r"""https?://[^\s"'<>]{4,}+|(?:\G|(?<=\G\.)|(?<![A-Za-z0-9-])(?<![A-Za-z0-9-]\.))[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++:[0-9]{2,5}+"""
 #: Kind, pattern, a cheap test that a text must pass, group that a match's worth is judged by, SQL test of that group (x).
 KINDS = [
     ("assign", ASSIGN, "(?i)(?:passw(?:or)?d|secret|token|api_?key)", 2, "length(x) >= 6"),
@@ -37,48 +42,60 @@ KINDS = [
     ("endpoint", ENDPOINT, "://|[A-Za-z0-9]:[0-9]", 0, "true"),
 ]
 BASE = 3
+LINEAR = {"endpoint": ENDPOINT_LINEAR}
+#: Matches to a block of spans.
+BLOCK = 256
 _SPAN = "struct<start:int,kind:int,end:int>"
 
 
-def _spans(name: str, kind: int, test: str) -> Column:
-    """Spans of the matches m_<name>, whose worth is judged by x_<name>, from the lengths of what lies between them, g_<name>."""
-    return F.expr(f"""
-        case when size(m_{name}) = 0 then cast(array() as array<{_SPAN}>) else filter(aggregate(
-            arrays_zip(slice(g_{name}, 1, size(m_{name})), m_{name}, x_{name}),
-            named_struct('at', 0, 'out', cast(array() as array<{_SPAN}>)),
-            (a, v) -> named_struct('at', a.at + length(v['0']) + length(v.m_{name}),
-                'out', array_append(a.out, case when {test.replace("x ", f"v.x_{name} ").replace("(x)", f"(v.x_{name})")}
-                    then named_struct('start', a.at + length(v['0']), 'kind', {kind}, 'end', a.at + length(v['0']) + length(v.m_{name})) end)),
-            a -> a.out), s -> s is not null) end""")
+def _spans(name: str, kind: int, test: str) -> tuple[Column, Column]:
+    """Spans of the matches m_<name>, whose worth is judged by x_<name>, from the lengths of what lies between them, g_<name>. Blocks of
+    matches are laid out from 0 first, then moved by what the blocks before them take."""
+    worth = test.replace("x ", f"v.x_{name} ").replace("(x)", f"(v.x_{name})")
+    block = f"""aggregate(arrays_zip(slice(g_{name}, k * {BLOCK} + 1, {BLOCK}), slice(m_{name}, k * {BLOCK} + 1, {BLOCK}), slice(x_{name}, k * {BLOCK} + 1, {BLOCK})),
+        named_struct('at', 0, 'out', cast(array() as array<{_SPAN}>)),
+        (a, v) -> named_struct('at', a.at + length(v['0']) + coalesce(length(v['1']), 0), 'out', case when v['1'] is not null and ({worth.replace(f"v.x_{name}", "v['2']")})
+            then array_append(a.out, named_struct('start', a.at + length(v['0']), 'kind', {kind}, 'end', a.at + length(v['0']) + length(v['1']))) else a.out end))"""
+    blocks = f"transform(sequence(0, cast(floor((size(m_{name}) - 1) / {BLOCK}) as int)), k -> {block})"
+    offsets = f"aggregate(b_{name}, cast(array(0) as array<int>), (o, b) -> array_append(o, element_at(o, -1) + b.at))"
+    placed = f"flatten(transform(arrays_zip(b_{name}, {offsets}), z -> case when z['b_{name}'] is null then cast(array() as array<{_SPAN}>) else transform(z['b_{name}'].out, s -> named_struct('start', s.start + z['1'], 'kind', s.kind, 'end', s.end + z['1'])) end))"
+    return F.expr(f"case when size(m_{name}) = 0 then cast(array() as array<{_SPAN}>) else {placed} end"), F.expr(f"case when size(m_{name}) > 0 then {blocks} end")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs, written to the shared folder: rid, key, base (spans) and weak (spans clear of base ones)."""
+    """One row per row of docs, written to the shared folder: rid, key, base and weak (spans)."""
     found = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     nothing = F.array().cast("array<string>")
     found = found.select("*", *(F.col("t").rlike(test).alias(f"h_{n}") for n, _, test, _, _ in KINDS))
     got = lambda n, value: F.when(F.col(f"h_{n}"), value).otherwise(nothing)
     found = found.select("rid", "key", *(c for n, p, _, group, _ in KINDS for c in (
-        got(n, F.regexp_extract_all("t", F.lit(p), F.lit(0))).alias(f"m_{n}"),
-        got(n, F.regexp_extract_all("t", F.lit(p), F.lit(group))).alias(f"x_{n}"),
-        got(n, F.split("t", p, -1)).alias(f"g_{n}"))))
-    found = found.select("rid", "key", *(_spans(n, k, test).alias(n) for k, (n, _, _, _, test) in enumerate(KINDS)))
-    found = found.select("rid", "key", F.concat(*(n for n, *_ in KINDS[:BASE])).alias("base"), F.concat(*(n for n, *_ in KINDS[BASE:])).alias("weak"))
-    clear = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return cut(found.select("rid", "key", F.array_sort("base").alias("base"), F.when(F.size("weak") > 0, clear).otherwise(F.col("weak")).alias("weak")))
+        got(n, F.regexp_extract_all("t", F.lit(LINEAR.get(n, p)), F.lit(0))).alias(f"m_{n}"),
+        got(n, F.regexp_extract_all("t", F.lit(LINEAR.get(n, p)), F.lit(group))).alias(f"x_{n}"),
+        got(n, F.split("t", LINEAR.get(n, p), -1)).alias(f"g_{n}"))))
+    of = {n: _spans(n, k, test) for k, (n, _, _, _, test) in enumerate(KINDS)}
+    found = found.select("*", *(blocks.alias(f"b_{n}") for n, (_, blocks) in of.items()))
+    found = found.select("rid", "key", *(spans.alias(n) for n, (spans, _) in of.items()))
+    return cut(found.select("rid", "key", F.array_sort(F.concat(*(n for n, *_ in KINDS[:BASE]))).alias("base"), F.concat(*(n for n, *_ in KINDS[BASE:])).alias("weak")))
+
+
+def _buckets(low: Column, high: Column, width: int) -> Column:
+    return F.sequence(F.floor(low / width).cast("int"), F.floor(high / width).cast("int"))
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(rid, added): the weak spans that have the parts they need within scope."""
+    """(rid, added): the weak spans clear of base ones that have the parts they need within scope."""
     names = [n for n, *_ in KINDS]
-    parts = found.filter(F.size("weak") > 0).select("rid", F.inline(F.concat("base", "weak")))
+    all_parts = found.filter(F.size("weak") > 0).select("rid", F.inline(F.concat("base", "weak")))
+    cells = all_parts.withColumn("bucket", F.explode(_buckets(F.col("start"), F.col("end") - 1, scope)))
+    weak, base = cells.filter(F.col("kind") >= BASE).alias("w"), cells.filter(F.col("kind") < BASE).alias("b")
+    clash = weak.join(base, (F.col("w.rid") == F.col("b.rid")) & (F.col("w.bucket") == F.col("b.bucket")) & (F.col("b.start") < F.col("w.end")) & (F.col("w.start") < F.col("b.end")), "left_semi")
+    parts = all_parts.join(clash.select("rid", "start", "kind", "end").distinct(), ["rid", "start", "kind", "end"], "left_anti")
     role = F.when(F.col("kind").isin(names.index("access"), names.index("id")), "id").when(F.col("kind") == names.index("endpoint"), "endpoint").otherwise("secret")
-    parts = parts.select("rid", "start", "kind", "end", role.alias("role"))
+    parts = cut(parts.select("rid", "start", "kind", "end", role.alias("role")))
     needs = F.when(F.col("role") == "id", F.array(F.lit("secret"))).when(F.col("role") == "secret", F.array(F.lit("id"))).otherwise(F.array(F.lit("id"), F.lit("secret")))
-    buckets = lambda low, high: F.sequence(F.floor(low / scope).cast("int"), F.floor(high / scope).cast("int"))
     weak = parts.filter(F.col("kind") >= BASE).select("rid", "start", "kind", "end", F.size(needs).alias("n"), F.explode(needs).alias("need"))
-    weak = weak.select("*", F.explode(buckets(F.greatest(F.col("start") - scope, F.lit(0)), F.col("end") + scope)).alias("bucket")).alias("w")
-    other = parts.select("rid", "role", "start", "end", F.explode(buckets(F.col("start"), F.col("end") - 1)).alias("bucket")).alias("o")
+    weak = weak.select("*", F.explode(_buckets(F.greatest(F.col("start") - scope, F.lit(0)), F.col("end") + scope, scope)).alias("bucket")).alias("w")
+    other = parts.select("rid", "role", "start", "end", F.explode(_buckets(F.col("start"), F.col("end") - 1, scope)).alias("bucket")).alias("o")
     near = (F.col("o.start") < F.col("w.end") + scope) & (F.col("o.end") > F.col("w.start") - scope)
     met = weak.join(other, (F.col("w.rid") == F.col("o.rid")) & (F.col("w.bucket") == F.col("o.bucket")) & (F.col("w.need") == F.col("o.role")) & near, "left_semi")
     met = met.select("rid", "start", "kind", "end", "n", "need").distinct().groupBy("rid", "start", "kind", "end", "n").agg(F.count("*").alias("met")).filter("met = n")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tagwright.llm.op6_secrets import ENDPOINT, SCOPE, WEAK_ID, WEAK_SECRET, secrets
 
@@ -42,6 +43,23 @@ def test_spans_equal_brute_force(spark):
     assert secrets(df.limit(0)).collect() == []
 
 
+def test_long_texts_without_recursion_in_linear_time(spark):
+    n = 500_000
+    texts = ["x:1 " + "a." * n + "b:80", "a" * 2 * n + " A:1", "a." * n, "ab-" * n, "c.d:80" * (n // 100), "h.i:123456.j:99 " * 3000, "token=abcdef " * 20_000, "client_id=" * 1000 + "aB3" * 8, "aB3" * n, "password" + " " * n, "http://" * n]
+    small = ["x:1 " + "a." * 9 + "b:80", "c.d:80.e.f:90", "c.d:123456.e:77", "a.b:1234567.c:80", "c.d:80..e.f:90 https://x.y:80.z.w:90", "client_id=meme c.d:80c.d:80 " + "aB3" * 8]
+    df = spark.createDataFrame(list(enumerate(texts + small)), "doc_id long, text string")
+    start = time.time()
+    got = {r["doc_id"]: tuple(r)[1:] for r in secrets(df).collect()}
+    assert time.time() - start < 90
+    for i, t in enumerate(texts + small):
+        if len(t) < 60_000:
+            assert got[i] == brute(t), t[:80]
+    assert got[6][0] == 20_000 and got[6][4].endswith(f"assign:{19_999 * 13}:{19_999 * 13 + 12}")
+    # what links only near an identifier and a secret still does, far into a long text
+    far = spark.createDataFrame([(1, "a." * n + "b:80 client_id=meme " + "aB3" * 8)], "doc_id long, text string")
+    assert [x.split(":")[0] for x in secrets(far).first()["spans"].split(",")] == ["endpoint", "id", "secret"]
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "token=abcdef")], "doc_id long, text string")
     assert "Python" not in secrets(df)._jdf.queryExecution().toString()
