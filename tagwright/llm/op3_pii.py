@@ -1,11 +1,13 @@
 """Personal data: base patterns, and a skip-chain conditional random field that adds mentions which the patterns miss.
 
 Base kinds are email, ip, card (Luhn) and phone. The field's nodes are the base spans and weak candidates (tokens around '@', runs of six
-or more digits with separators). Neighbouring nodes of a document form a chain; a node is also linked to the last node before it of the
-same or a similar form (the same digits or the same last eight, the same part before '@'), however distant. Unary, chain and skip
-potentials are fitted by pseudo-likelihood on a bounded sample of documents, where base spans give the labels and decisive features are
-left out at random, so that the links learn to carry a label. Base nodes are held at their kind; loopy belief propagation over a whole
-batch of documents gives the others' beliefs. Weak candidates believed to be of a kind (over one half) are added, clear of base spans.
+or more digits with separators). Neighbouring nodes of a document form a chain. All nodes of one form (the same digits or the same last
+eight, the same part before '@'), however distant, share potentials: each has a skip edge to the form's hub, a hidden node without
+evidence of its own, so a label reaches every mention of a form in two steps and edges grow with the mentions, not with their pairs.
+Unary, chain and skip potentials are fitted by pseudo-likelihood on a bounded sample of documents, where base spans give the labels,
+decisive features are left out at random, and a hub stands at the commonest kind of the other mentions, so that the links learn to carry
+a label. Base nodes are held at their kind; loopy belief propagation over a whole batch of documents gives the others' beliefs. Weak
+candidates believed to be of a kind (over one half) are added, clear of base spans. Time is linear in the text, however long.
 
 Positions are code points, ends exclusive. n_email, n_ip, n_card and n_phone count base spans. Null texts count as empty. Null ids and
 repeated rows stay as they are; other columns are ignored; an empty table gives an empty result.
@@ -15,19 +17,21 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import cut, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-#: Documents, and nodes of them, that potentials are fitted on at most.
+#: Documents, and nodes of them, that potentials are fitted on at most; whole documents, those with more nodes than are left are passed over.
 SAMPLE_DOCS, SAMPLE_NODES = 2000, 40_000
 ROUNDS, DAMPING, BELIEF = 25, 0.5, 0.5
 
@@ -37,7 +41,7 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_AROUND_AT = re.compile(r"[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]*")
+_AFTER_AT = re.compile(r"@[A-Za-z0-9.-]*")
 _NUMBER = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9]){5,}")
 _QUAD = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _FOURS = re.compile(r"[0-9]{4}(?:[ -][0-9]{4}){2,}")
@@ -101,15 +105,28 @@ def forms(s: str) -> list[str]:
     return [d, *(["#" + d[-8:]] if len(d) > 8 else [])]
 
 
+def _around_at(text: str) -> list[tuple[int, int]]:
+    """Runs around each '@', leftmost and clear of one another; each character is looked at once."""
+    out, last = [], 0
+    at = text.find("@")
+    while at >= 0:
+        start, end = _left_run(text, at, last), _AFTER_AT.match(text, at).end()
+        out.append((start, end))
+        last = end
+        at = text.find("@", end)
+    return out
+
+
 def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, label) by start: base spans with their label, weak candidates clear of them with 0."""
     found = [(a, e, k + 1) for k, a, e in base]
-    weak = [m.span() for m in _AROUND_AT.finditer(text) if len(m[0]) > 3] if "@" in text else []
+    weak = [(a, e) for a, e in _around_at(text) if e - a > 3]
     weak += [(a - (a > 0 and text[a - 1] in "+("), e) for a, e in (m.span() for m in _NUMBER.finditer(text))]
     taken = sorted((a, e) for a, e, _ in found)
+    starts, furthest = [a for a, _ in taken], list(accumulate((e for _, e in taken), max))
     for a, e in sorted(weak):
-        k = int(np.searchsorted([t[0] for t in taken], e)) if len(taken) > 8 else len(taken)
-        if not any(x < e and a < y for x, y in taken[max(0, k - 64) : k]):
+        k = bisect_left(starts, e)
+        if not k or furthest[k - 1] <= a:
             found.append((a, e, 0))
     out: list[tuple[int, int, int]] = []
     for n in sorted(found, key=lambda x: (x[0], -x[2])):
@@ -119,13 +136,14 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
 
 
 class Graph:
-    """Nodes of a batch of documents with chain and skip edges."""
+    """Nodes of a batch of documents with chain edges, and skip edges (node, hub) for forms that occur more than once."""
 
     def __init__(self, docs: list[tuple[str, list[tuple[int, int, int]]]]):
         x, y, chain, skip = [], [], [], []
         self.where: list[tuple[int, int, int]] = []
+        self.hubs = 0
         for d, (text, found) in enumerate(docs):
-            seen: dict[str, int] = {}
+            of: dict[str, list[int]] = {}
             for k, (a, e, label) in enumerate(found):
                 i, s = len(x), text[a:e]
                 x.append(features(s))
@@ -133,12 +151,23 @@ class Graph:
                 self.where.append((d, a, e))
                 if k:
                     chain.append((i - 1, i))
-                own = forms(s)
-                skip += [(j, i) for j in sorted({seen[f] for f in own if f in seen})]
-                seen.update(dict.fromkeys(own, i))
+                for f in dict.fromkeys(forms(s)):
+                    of.setdefault(f, []).append(i)
+            for group in dict.fromkeys(tuple(g) for g in of.values() if len(g) > 1):
+                skip += [(i, self.hubs) for i in group]
+                self.hubs += 1
         self.x, self.y = np.array(x).reshape(-1, len(FEATURES)), np.array(y, np.int64)
         self.chain, self.skip = (np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip))
 
+    def others(self) -> np.ndarray:
+        """For each skip edge the commonest kind among the hub's other mentions; 0 if none has a kind."""
+        node, hub = self.skip.T
+        n = len(LABELS)
+        count = np.bincount(hub * n + self.y[node], minlength=self.hubs * n).reshape(-1, n)[hub]
+        count[np.arange(len(node)), self.y[node]] -= 1
+        kinds = count[:, 1:]
+        return np.where(kinds.sum(1) > 0, kinds.argmax(1) + 1, 0)
+
 
 class Field:
     """Potentials of the field: unary weights and bias, chain and skip tables (log scale)."""
@@ -155,20 +184,21 @@ class Field:
         one = np.eye(n)
         params = [self.w, self.b, self.chain, self.skip]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        left, right = g.chain.T
+        node, other = g.skip[:, 0], g.others()
         for t in range(1, steps + 1):
             x = g.x.copy()
             x[np.ix_(rng.random(len(x)) < 0.5, DECISIVE)] = 0
             z = x @ self.w + self.b
-            for table, e in ((self.chain, g.chain), (self.skip, g.skip)):
-                np.add.at(z, e[:, 1], table[g.y[e[:, 0]]])
-                np.add.at(z, e[:, 0], table[:, g.y[e[:, 1]]].T)
+            np.add.at(z, right, self.chain[g.y[left]])
+            np.add.at(z, left, self.chain[:, g.y[right]].T)
+            np.add.at(z, node, self.skip[other])
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             d = (p - one[g.y]) / len(x)
-            grads = [x.T @ d + ridge * self.w, d.sum(0)]
-            for table, e in ((self.chain, g.chain), (self.skip, g.skip)):
-                grad = one[g.y[e[:, 0]]].T @ d[e[:, 1]] + d[e[:, 0]].T @ one[g.y[e[:, 1]]]
-                grads.append((grad + grad.T) / 2 + ridge * table)
+            chain = one[g.y[left]].T @ d[right] + d[left].T @ one[g.y[right]]
+            skip = one[other].T @ d[node]
+            grads = [x.T @ d + ridge * self.w, d.sum(0), chain + ridge * self.chain, (skip + skip.T) / 2 + ridge * self.skip]
             for k, (q, grad) in enumerate(zip(params, grads, strict=True)):
                 m[k] = 0.9 * m[k] + 0.1 * grad
                 v[k] = 0.99 * v[k] + 0.01 * grad * grad
@@ -181,7 +211,9 @@ class Field:
         held = g.y > 0
         own[held] = -50.0
         own[held, g.y[held]] = 0.0
-        edges = np.concatenate([g.chain, g.skip])
+        real = len(own)
+        own = np.concatenate([own, np.zeros((g.hubs, len(LABELS)))])
+        edges = np.concatenate([g.chain, g.skip + np.array([0, real])])
         tables = np.concatenate([np.broadcast_to(t, (len(e), *t.shape)) for t, e in ((self.chain, g.chain), (self.skip, g.skip))])
         source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
@@ -201,7 +233,7 @@ class Field:
                 break
         total = own.copy()
         np.add.at(total, target, message)
-        p = np.exp(total - total.max(1, keepdims=True))
+        p = np.exp(total - total.max(1, keepdims=True))[:real]
         return p / p.sum(1, keepdims=True)
 
 
@@ -237,9 +269,14 @@ def fit(docs: DataFrame, text_col: str = "text", most_docs: int = SAMPLE_DOCS, m
                 found = [(h, k, t[a:e], label) for t, h in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, (a, e, label) in enumerate(nodes(t, base_spans(t)))]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*found, strict=True) if found else [()] * 4, (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["h", "k", "s", "label"])
 
-    rows = sample.select("t", "h").mapInArrow(run, "h long, k long, s string, label long").orderBy("h", "k").limit(most_nodes).collect()
+    found = cut(sample.select("t", "h").mapInArrow(run, "h long, k long, s string, label long"))
+    chosen, left = [], most_nodes
+    for r in found.groupBy("h").count().orderBy("h").collect():  # a row for each of the sample's documents
+        if r["count"] <= left:
+            chosen.append((r["h"],))
+            left -= r["count"]
     by_doc: dict[int, list] = {}
-    for r in rows:
+    for r in found.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "h long")), "h").orderBy("h", "k").collect():
         by_doc.setdefault(r["h"], []).append((r["s"], r["label"]))
     laid = []
     for found in by_doc.values():

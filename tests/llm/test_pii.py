@@ -4,10 +4,11 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 
-from tagwright.llm.op3_pii import KINDS, Field, Graph, base_spans, fit, find, joined, luhn, mask, masked, nodes, pii
+from tagwright.llm.op3_pii import KINDS, Field, Graph, _around_at, base_spans, fit, find, joined, luhn, mask, masked, nodes, pii
 
 
 def brute(text):
@@ -38,13 +39,13 @@ def test_base_spans():
 def test_beliefs_are_exact_on_a_tree():
     rng = np.random.default_rng(1)
     g = Graph([("a@b " * 3, [(0, 3, 0), (4, 7, 0), (8, 11, 2)])])
-    g.chain, g.skip = np.array([[0, 1]]), np.array([[1, 2]])
+    g.chain, g.skip, g.hubs = np.array([[0, 1]]), np.array([[1, 0], [2, 0]]), 1
     f = Field()
     f.w, f.b, f.chain, f.skip = rng.normal(size=f.w.shape), rng.normal(size=5), rng.normal(size=(5, 5)), rng.normal(size=(5, 5))
     unary = g.x @ f.w + f.b
     p = np.zeros((3, 5))
-    for y in itertools.product(range(5), range(5), [2]):
-        s = np.exp(unary[0, y[0]] + unary[1, y[1]] + f.chain[y[0], y[1]] + f.skip[y[1], y[2]])
+    for *y, hub in itertools.product(range(5), range(5), [2], range(5)):
+        s = np.exp(unary[0, y[0]] + unary[1, y[1]] + f.chain[y[0], y[1]] + f.skip[y[1], hub] + f.skip[y[2], hub])
         for i in range(3):
             p[i, y[i]] += s
     assert np.allclose(f.beliefs(g), p / p.sum(1, keepdims=True), atol=1e-4)
@@ -73,6 +74,27 @@ def test_repeats_take_the_label_of_what_they_repeat(spark):
     assert mask(text, base + added).count("[phone]") == 2
 
 
+def test_a_label_reaches_every_mention_however_many_stand_between(spark):
+    field = fit(spark.createDataFrame(corpus(), "doc_id long, text string, spans string"))
+    text = "call +1 555 010 9999 today " + " and 1 555 010 9999 or" * 300
+    (_, added), = find([text], field)
+    assert sum(k == 3 for k, _, _ in added) == 300
+
+
+def test_long_texts_in_linear_time():
+    n = 1_000_000
+    start = time.time()
+    for text in ("x @ " + "a" * n, "a" * n + "@", "@" * n, "a@" * (n // 2), "1 " * (n // 2) + "@", "1." * (n // 2), "+1" * (n // 2), "x@y.org " * (n // 80), "+1 " + "(" * n):
+        found = nodes(text, base_spans(text))
+        assert found == sorted(found)
+    assert time.time() - start < 60
+    around = re.compile(r"[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]*")
+    rng = random.Random(8)
+    for _ in range(2000):
+        text = "".join(rng.choice(["@", "a", "b.c", "-", " ", "%", "é", "@@"]) for _ in range(12))
+        assert _around_at(text) == [m.span() for m in around.finditer(text)]
+
+
 def test_query_on_odd_rows(spark):
     rows = corpus(40) + [(900, None, "x"), (901, "", "x"), (None, "a@b.org", "x"), (3, "twice a@b.org", "x"), (902, ("x@y.org " + "1" * 50) * 2000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
