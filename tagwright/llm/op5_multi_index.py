@@ -122,6 +122,7 @@ def _best(ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray, query_ids: np
     """Each query's best entries among those in its probed cells."""
     kinds, at = np.unique(cells, return_inverse=True)
     found = []
+    slack = 1e-13 * max(1, vectors.shape[1]) * np.sqrt((vectors * vectors).sum(1).max(initial=0.0))  # what sums in another order may differ by
     for k in range(0, len(queries), 128):
         q = queries[k : k + 128]
         visits = np.array([[c in p for c in kinds.tolist()] for p in probed[k : k + 128]], bool).reshape(len(q), len(kinds))
@@ -129,7 +130,8 @@ def _best(ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray, query_ids: np
         scores[~visits[:, at] | (query_ids[k : k + 128, None] == ids[None])] = -np.inf
         if len(ids) > top:
             least = -np.partition(-scores, top - 1, axis=1)[:, top - 1 : top]
-            scores[scores < least - 1e-9 * np.maximum(1.0, np.abs(least))] = -np.inf
+            with np.errstate(invalid="ignore"):
+                scores[scores < least - slack * np.sqrt((q * q).sum(1, keepdims=True))] = -np.inf
         row, col = np.nonzero(np.isfinite(scores))
         exact = inner_products(q[row], vectors[col])
         order = np.lexsort((ids[col], -exact, row))
