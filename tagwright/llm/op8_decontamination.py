@@ -1,14 +1,17 @@
 """Benchmark decontamination by a BM25 inverted index of the test items, searched with block-max WAND.
 
-Index terms are pairs of neighbouring words of the items, so that everyday words alone retrieve nothing. An item's impacts are BM25
-weights divided by the item's own score for itself, which makes one threshold fit all items. Every document is cut into passages of
-twice the longest item's words, each starting one such length after the last, so an item lies whole within some passage. Every
-passage is a query. Those whose terms cannot reach the threshold even at their largest impacts are dismissed by sums over the whole
-batch; for the others block-max WAND returns all items at or above it. What is retrieved is verified: by the share of the item's
-five-word shingles in the passage, or of those of its question (all but the last sentence) together with the share of the words of
-its answer (the last sentence).
+Index terms are pairs of neighbouring words of the items, so that everyday words alone retrieve nothing. Each different item text has an
+entry for its whole and one for its question (all but the last sentence), so an item is found by its question however its answer is put.
+An entry's impacts are BM25 weights divided by the entry's own score for itself, which makes one threshold fit all entries. Every document
+is cut into passages of twice the longest item's words, each starting one such length after the last, so an item lies whole within some
+passage. Every passage is a query. Those whose terms cannot reach the threshold even at their largest impacts are dismissed by sums over
+the whole batch; for the others block-max WAND returns all entries at or above it. What is retrieved is verified: by the share of the
+item's five-word shingles in the passage, or of those of its question together with the share of the words of its answer (the last
+sentence).
 
-The index is broadcast in parts of at most ``INDEX_BYTES`` of item text; more items make more passes, never fewer results.
+Items of the same text are one in the index, and all their ids are given. The index is broadcast in parts of at most ``INDEX_BYTES`` of
+item text; more items make more passes over the documents. The number of texts, their mean length and the document frequencies are taken
+over all items, whatever the parts, so scores and finds do not depend on them.
 
 Null or empty texts and items without words match nothing; items shorter than five words are one shingle. Repeated rows give repeated
 rows, equal items each their own row; null ids are kept. Other columns are ignored; an empty table on either side gives an empty result.
@@ -21,6 +24,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, words_az
+from .common import cut, slices, utf8, words_az
 from .op7_simhash import shingles
 
 TERM_WORDS, SHINGLE_WORDS = 2, 5
@@ -37,6 +41,8 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.5, 0.8
 #: Postings to a block; item text to a broadcast index.
 BLOCK, INDEX_BYTES = 64, 32_000_000
+#: Items' (hash, id) pairs that may be broadcast, 16 bytes each and a little more; a larger table is joined by a shuffle.
+BROADCAST_ITEMS = 500_000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -46,49 +52,72 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, text)
 
 
+def pairs(words: list[bytes]) -> Counter:
+    """Pairs of neighbouring words; a text of one word has that word paired with itself."""
+    return Counter(zip(words, words[1:], strict=False) if len(words) > 1 else [(w, w) for w in words])
+
+
+@dataclass
+class Statistics:
+    """Over the different texts of all items that have words: their number, mean number of pairs, longest in words, and the numbers of
+    texts that hold a pair, where that is not one."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[tuple[bytes, bytes], int]
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Statistics:
+        words = [w for t in texts if (w := words_az(t.encode()))]
+        sizes = [max(len(w) - 1, 1) for w in words]
+        df = Counter(p for w in words for p in set(pairs(w)))
+        return cls(len(words), sum(sizes) / max(len(words), 1), max(map(len, words), default=1), df)
+
+
 class Index:
-    """Items (id, text) as postings of word pairs with block maxima."""
+    """Different texts (key, text) as postings of word pairs with block maxima; two entries to a text, its whole and its question."""
 
-    def __init__(self, items: list[tuple[int | None, str]], block: int = BLOCK):
+    def __init__(self, items: list[tuple[int, str]], block: int = BLOCK, statistics: Statistics | None = None):
         self.block = block
+        stats = statistics or Statistics.of([t for _, t in items])
         self.items = [(i, w, t) for i, t in items if (w := words_az(t.encode()))]
+        self.longest = stats.longest
         self.vocabulary: dict[bytes, int] = {}
-        terms = []
-        for _, words, _ in self.items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            terms.append(self._terms(ids))
-        n = len(self.items)
-        self.longest = max((len(w) for _, w, _ in self.items), default=1)
-        df = Counter(t for of in terms for t in of)
-        mean = sum(sum(of.values()) for of in terms) / max(n, 1)
+        self.verify, self.item_of = [], []
         raw: dict[int, list[tuple[int, float]]] = {}
         own = []
-        for i, of in enumerate(terms):
-            size = sum(of.values())
-            weights = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for t, f in of.items()}
-            own.append(sum(weights.values()))
-            for t, w in weights.items():
-                raw.setdefault(t, []).append((i, w))
-        self.keys = np.array(sorted(raw), np.int64)
-        self.postings, self.impacts, self.block_max, most = [], [], [], []
-        for t in self.keys.tolist():
-            self.postings.append([i for i, _ in raw[t]])
-            self.impacts.append([w / own[i] for i, w in raw[t]])
-            self.block_max.append([max(self.impacts[-1][k : k + block]) for k in range(0, len(raw[t]), block)])
-            most.append(max(self.impacts[-1]))
-        self.most = np.array(most)
-        self.verify = []
-        for _, words, text in self.items:
+        self.single = False
+        for k, (_, words, text) in enumerate(self.items):
             question, answer = (words_az(x.encode()) for x in question_and_answer(text))
             self.verify.append((set(shingles(words, SHINGLE_WORDS)), set(shingles(question, SHINGLE_WORDS)), set(answer)))
+            for entry in [words] if question == words or not question else [words, question]:
+                weights = self._weights(pairs(entry), stats)
+                total = sum(weights.values())
+                for (a, b), w in weights.items():
+                    ids = [self.vocabulary.setdefault(x, len(self.vocabulary)) for x in (a, b)]
+                    raw.setdefault(ids[0] << 32 | ids[1], []).append((len(own), w / total))
+                self.single |= len(entry) == 1
+                own.append(total)
+                self.item_of.append(k)
+        self.keys = np.array(sorted(raw), np.int64)
+        self.postings = [[e for e, _ in raw[t]] for t in self.keys.tolist()]
+        self.impacts = [[w for _, w in raw[t]] for t in self.keys.tolist()]
+        self.block_max = [[max(w[k : k + block]) for k in range(0, len(w), block)] for w in self.impacts]
+        self.most = np.array([max(w) for w in self.block_max])
 
-    def _terms(self, ids: list[int]) -> Counter:
-        """Pairs of neighbouring words; an item of one word has that word paired with itself."""
-        pairs = zip(ids, ids[1:], strict=False) if len(ids) > 1 else [(ids[0], ids[0])]
-        return Counter(a << 32 | b for a, b in pairs)
+    @staticmethod
+    def _weights(terms: Counter, stats: Statistics) -> dict[tuple[bytes, bytes], float]:
+        """BM25 weights of an entry's pairs."""
+        size = sum(terms.values())
+        out = {}
+        for t, f in terms.items():
+            df = stats.df.get(t, 1)
+            out[t] = math.log(1 + (stats.n - df + 0.5) / (df + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / stats.mean))
+        return out
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All (item, score) at or above the threshold for the distinct terms, by positions in keys."""
+        """All (entry, score) at or above the threshold for the distinct terms, by positions in keys."""
         lists = [[0, t] for t in terms]  # cursor, term
         out = []
         while True:
@@ -113,7 +142,7 @@ class Index:
                     blocks += self.block_max[t][b]
                     ends.append(post[min(len(post), (b + 1) * self.block) - 1] + 1)
                 else:
-                    ends.append(len(self.items))
+                    ends.append(len(self.item_of))
             if blocks < threshold - 1e-9:  # no item before the nearest block end can reach it
                 ahead = [self.postings[t][c] for c, t in lists[pivot + 1 : pivot + 2]]
                 target = max(item + 1, min([*ends, *ahead]))
@@ -152,7 +181,7 @@ class Index:
         right = np.concatenate([ids[1:], [-1]])
         right[starts[1:][sizes > 0] - 1] = -1  # no pair reaches into the next text
         ok = (ids >= 0) & (right >= 0)
-        single = np.flatnonzero(ids >= 0) if any(len(w) == 1 for _, w, _ in self.items) else np.empty(0, np.int64)
+        single = np.flatnonzero(ids >= 0) if self.single else np.empty(0, np.int64)
         at = np.concatenate([np.flatnonzero(ok), single])
         pair = np.concatenate([ids[ok] << 32 | right[ok], ids[single] << 32 | ids[single]])
         slot = np.searchsorted(self.keys, pair)
@@ -176,7 +205,11 @@ class Index:
             if self.most[terms].sum() < threshold - 1e-9:
                 continue
             passage = cut[d][lo : lo + 2 * per]
-            for item, score in self.wand(terms.tolist(), threshold):
+            reached: dict[int, float] = {}
+            for entry, score in self.wand(terms.tolist(), threshold):
+                item = self.item_of[entry]
+                reached[item] = max(score, reached.get(item, 0.0))
+            for item, score in reached.items():
                 whole, question, answer = self.overlaps(item, passage)
                 if whole >= OVERLAP or (question >= OVERLAP and answer >= OVERLAP):
                     best = out[d].get(item)
@@ -185,17 +218,42 @@ class Index:
         return out
 
 
-def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", index_bytes: int = INDEX_BYTES, block: int = BLOCK) -> list:
-    """Broadcast indexes of parts of the items, each of about index_bytes of text at most."""
-    items = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter("t is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    parts = max(1, -(-total // index_bytes))
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, 0):
+            rows = [(a, b, part) for t, part in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True) for a, b in pairs(words_az(t))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.binary(), pa.binary(), pa.int64()), strict=True)], ["a", "b", "part"])
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, 0):
+            yield pa.RecordBatch.from_arrays([pa.array([len(words_az(t)) for t in utf8(batch.column(0))], pa.int64())], ["n"])
+
+
+def indexes(benchmark: DataFrame, text_col: str = "text", index_bytes: int = INDEX_BYTES, block: int = BLOCK) -> list:
+    """Broadcast indexes of parts of the items' different texts, each of about index_bytes of text at most; a text's key is its hash."""
     spark = benchmark.sparkSession
-    return [spark.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == k).orderBy("i", "t").collect()], block)) for k in range(parts)]
+    texts = benchmark.select(F.col(text_col).alias("t")).filter("t is not null").distinct()
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    parts = max(1, -(-total // index_bytes))
+    texts = cut(texts.select("t", F.xxhash64("t").alias("key"), F.pmod(F.xxhash64("t", F.lit(1)), F.lit(parts)).alias("part")))
+    items = lambda k: [(r["key"], r["t"]) for r in texts.filter(F.col("part") == k).orderBy("t").collect()]
+    if parts == 1:
+        return [spark.sparkContext.broadcast(Index(items(0), block))]
+    size = F.greatest(F.col("n") - 1, F.lit(1))
+    n, mean, longest = texts.select("t").mapInArrow(_sizes, "n long").filter("n > 0").agg(F.count("*"), F.avg(size), F.max("n")).first()
+    df = cut(texts.select("t", "part").mapInArrow(_pair_rows, "a binary, b binary, part long").groupBy("a", "b").agg(F.count("*").alias("n"), F.collect_set("part").alias("parts")).filter("n > 1"))
+    out = []
+    for k in range(parts):
+        own = df.filter(F.array_contains("parts", F.lit(k).cast("long"))).select("a", "b", "n").toArrow()
+        of = {(a, b): m for a, b, m in zip(*(c.to_pylist() for c in own.columns), strict=True)}
+        out.append(spark.sparkContext.broadcast(Index(items(k), block, Statistics(n, mean or 1.0, longest or 1, of))))
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """One row per document and verified item: id, item_id, score, item_overlap, question_overlap, answer_overlap. No shuffle."""
+    """One row per document and verified item: id, item_id, score, item_overlap, question_overlap, answer_overlap. Documents are not shuffled."""
     kind = docs.schema[id_col].dataType.simpleString()
     found = None
     for index in indexes(benchmark, index_bytes=index_bytes):
@@ -209,14 +267,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                         columns = list(zip(*rows, strict=True))
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[2:])], names)
 
-        names = [id_col, "item_id", "score", "item_overlap", "question_overlap", "answer_overlap"]
-        part = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, item_id long, score double, item_overlap double, question_overlap double, answer_overlap double")
+        names = ["id", "key", "score", "item_overlap", "question_overlap", "answer_overlap"]
+        part = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, key long, score double, item_overlap double, question_overlap double, answer_overlap double")
         found = part if found is None else found.unionByName(part)
-    return found
+    ids = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").alias("__item"), F.xxhash64("text").alias("key"))
+    small = ids.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS
+    return found.join(F.broadcast(ids) if small else ids, "key").select(F.col("id").alias(id_col), F.col("__item").alias("item_id"), *names[2:])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """The documents, with all their columns, that hold no verified item. No shuffle."""
+    """The documents, with all their columns, that hold no verified item. Documents are not shuffled."""
     for index in indexes(benchmark, index_bytes=index_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index=index, at=docs.columns.index(text_col)) -> Iterator[pa.RecordBatch]:

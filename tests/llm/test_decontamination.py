@@ -1,6 +1,8 @@
 """Block-max WAND and verification against scoring every passage with every item."""
 
+import math
 import random
+import re
 
 from tagwright.llm import op8_decontamination as op8
 from tagwright.llm.common import words_az
@@ -25,29 +27,45 @@ def corpus(seed=1):
     return docs + [(900, None, "x"), (901, "", "x"), (None, items[0][1], "x"), (902, "a word of it", "x")], items
 
 
-def brute(docs, items, parts):
-    """Scores from the postings, item by item, without any skipping."""
-    out = set()
-    for index in parts:
-        keys = index.keys.tolist()
-        for d, text, _ in docs:
-            words = words_az((text or "").encode())
-            for lo in range(0, max(len(words), 1), index.longest):
-                passage = words[lo : lo + 2 * index.longest]
-                ids = [index.vocabulary.get(w, -1) for w in passage]
-                have = {a << 32 | b for a, b in zip(ids, ids[1:]) if a >= 0 and b >= 0}
-                have |= {a << 32 | a for a in ids if a >= 0} if any(len(w) == 1 for _, w, _ in index.items) else set()
-                scores = {}
-                for k, t in enumerate(keys):
-                    if t in have:
-                        for i, w in zip(index.postings[k], index.impacts[k]):
-                            scores[i] = scores.get(i, 0) + w
-                for i, s in scores.items():
-                    if s >= op8.THRESHOLD - 1e-9:
-                        whole, question, answer = index.overlaps(i, passage)
-                        if whole >= 0.8 or (question >= 0.8 and answer >= 0.8):
-                            out.add((d, index.items[i][0]))
-    return out
+def brute(docs, items):
+    """BM25 over word pairs from its formula, every passage against the whole and the question of every item, nothing skipped."""
+    words = lambda t: words_az((t or "").encode())
+    bigrams = lambda w: [*zip(w, w[1:])] if len(w) > 1 else [(x, x) for x in w]
+    texts = sorted({t for _, t in items if words(t)})
+    n, sizes = len(texts), [len(bigrams(words(t))) for t in texts]
+    mean, longest = sum(sizes) / n, max(len(words(t)) for t in texts)
+    df = {}
+    for t in texts:
+        for p in set(bigrams(words(t))):
+            df[p] = df.get(p, 0) + 1
+
+    def weights(entry):
+        own = bigrams(entry)
+        f = {p: own.count(p) for p in own}
+        return {p: math.log(1 + (n - df[p] + 0.5) / (df[p] + 0.5)) * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * len(own) / mean)) for p, k in f.items()}
+
+    def five(w):
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    known = []
+    for t in texts:
+        parts = [x for x in re.split(r"(?<=[.!?])\s+|\n+", t) if x.strip()]
+        question, answer = (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (t, t)
+        known.append((words(t), words(question), set(words(answer)), [weights(words(t)), weights(words(question))], [i for i, x in items if x == t]))
+    single = any(len(w) == 1 or len(q) == 1 for w, q, *_ in known)
+    out = []
+    for d, text, _ in docs:
+        w, hits = words(text), set()
+        for lo in range(0, len(w), longest):
+            passage = w[lo : lo + 2 * longest]
+            have = set(zip(passage, passage[1:])) | ({(x, x) for x in passage} if single else set())
+            for k, (own, question, answer, entries, _) in enumerate(known):
+                if any(sum(x for p, x in e.items() if p in have) >= (op8.THRESHOLD - 1e-9) * sum(e.values()) for e in entries):
+                    held = lambda s: len([x for x in five(s) if any(tuple(passage[j : j + len(x)]) == x for j in range(len(passage)))]) / len(five(s))  # noqa: B023, E731
+                    if held(own) >= 0.8 or (held(question) >= 0.8 and len(answer & set(passage)) >= 0.8 * len(answer)):
+                        hits.add(k)
+        out += [(d, i) for k in hits for i in known[k][4]]
+    return sorted(out, key=str)
 
 
 def test_small_blocks_find_the_same():
@@ -57,16 +75,40 @@ def test_small_blocks_find_the_same():
     assert op8.Index(some, 2).search(texts, 0.3) == op8.Index(some).search(texts, 0.3) != [{}] * len(texts)
 
 
-def test_leaks_equal_brute_force(spark):
+def test_leaks_equal_brute_force_whatever_the_parts(spark):
     docs, items = corpus()
     d, b = spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string")
-    one = [x.value for x in op8.indexes(b)]
-    want = brute(docs, items, one)
-    got = [(r["doc_id"], r["item_id"]) for r in op8.leaks(d, b).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 30
-    assert {(i, i) for i in range(0, 150, 5)} <= want and (None, 0) in want and (15, 500) not in want and (902, 501) in want
-    many = [x.value for x in op8.indexes(b, index_bytes=2000)]
-    assert len(many) > 2 and {(r["doc_id"], r["item_id"]) for r in op8.leaks(d, b, index_bytes=2000).collect()} == brute(docs, items, many)
+    want = brute(docs, items)
+    got = {}
+    for parts, size in ((1, op8.INDEX_BYTES), (8, 2000)):
+        assert (len(op8.indexes(b, index_bytes=size)) > 4) == (parts > 1)
+        got[parts] = sorted(((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in op8.leaks(d, b, index_bytes=size).collect()), key=str)
+        assert sorted((x[:2] for x in got[parts]), key=str) == want
+    assert got[1] == got[8] and len(want) >= 30
+    assert {(i, i) for i in range(0, 150, 5)} <= set(want) and (None, 0) in want and (15, 500) not in want and (902, 501) in want
     kept = [r["doc_id"] for r in op8.clean(d, b).collect()]
     assert sorted(kept, key=str) == sorted((x[0] for x in docs if x[0] not in {w[0] for w in want}), key=str) and op8.clean(d, b).columns == d.columns
     assert op8.leaks(d.limit(0), b).collect() == [] == op8.leaks(d, b.limit(0)).collect()
+
+
+def test_an_item_is_found_by_its_question_however_the_answer_is_put(spark):
+    rng = random.Random(6)
+    _, items = corpus()
+    some = [(i, t) for i, t in items if t and t.count(". ") >= 1 and i is not None][:60]
+    docs = []
+    for i, t in some:
+        question, answer = op8.question_and_answer(t)
+        mixed = answer.split(" ")
+        rng.shuffle(mixed)
+        docs.append((i, question + " filler between " + " ".join(mixed)))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(some, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in op8.leaks(d, b).collect()}
+    assert {(i, i) for i, _ in docs} <= found
+
+
+def test_equal_items_each_have_their_row(spark):
+    items = [(i, "what is the name of this river and where does it end? in the sea") for i in range(40)] + [(None, "another text of some words here")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame([(1, "so " + items[0][1] + " indeed")], "doc_id long, text string")
+    assert sorted(r["item_id"] for r in op8.leaks(d, b).collect()) == list(range(40))
+    assert sorted(r["item_id"] for r in op8.leaks(d, b, index_bytes=20).collect()) == list(range(40))
