@@ -8,10 +8,12 @@ length-normalised ratio, over the whole text and over its best windows of 1, 8 a
 cross-fitted documents turns these into a score between 0 and 1.
 
 Labels are learned from at most ``MOST_PER_CLASS`` (toxic) and twice as many (ordinary) labelled documents, those with the least
-hashes of their ids; whole texts of them all. Every document is scored, over its whole text.
+hashes of their ids, and of each class from those that together with the ones before stay within ``MOST_BYTES`` of text (longer ones are
+passed over); whole texts of them all. The models that score are counted on all of the sample; only the regression is fitted on documents
+that the models it sees were not counted on. Every document is scored, over its whole text.
 
 Null texts count as empty and score like any text without words. A null id counts as the text '' when rows are dealt into training
-and held-out ones. Of several labels of one id the largest holds; null labels are no labels. Without a labelled example of a class the
+and held-out ones. Of several labels of one id the largest holds, of several texts the least is learned from; null labels are no labels. Without a labelled example of a class the
 score is the other class's: 0 without toxic examples, 1 without ordinary ones. Other columns are ignored; an empty table gives an
 empty result.
 """
@@ -22,6 +24,7 @@ import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, cut, slices, utf8, words_az
 
-#: Bounds of the labelled sample: toxic documents, and half the ordinary ones.
-MOST_PER_CLASS = 2000
+#: Bounds of the labelled sample: toxic documents, and half the ordinary ones; bytes of text of a class.
+MOST_PER_CLASS, MOST_BYTES = 2000, 64_000_000
 ORDER, WINDOWS, FOLDS = 6, (1, 8, 32), 5
 #: With fewer toxic documents every fold is cross-fitted in turn, else the first alone.
 FEW = 250
@@ -58,13 +61,13 @@ class Ratios:
     """Log-likelihood ratios, toxic to ordinary, from counts of grams by class."""
 
     def __init__(self, toxic: dict[str, int], ordinary: dict[str, int]):
-        lower: Counter = Counter()
-        level = set(toxic) | set(ordinary)
-        while level:  # continuation counts: how many different characters come before a shorter gram
-            below = Counter(k[1:] for k in level if len(k) > 1)
-            for k, n in below.items():
-                lower[k] = max(lower[k], n)
-            level = set(below)
+        parts: set[str] = set()
+        for k in chain(toxic, ordinary):
+            while k and k not in parts:  # the ends of a known part are known
+                parts.add(k)
+                k = k[1:]
+        lower = Counter(k[1:] for k in parts if len(k) > 1)  # continuation counts: how many different characters come before a shorter gram
+        del parts
         total, types = self._contexts(lower)
         d = _discount(lower.values())
         known: dict[str, float] = {"": 1 / max(1, types.get("", 1))}
@@ -175,13 +178,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(text, fold, toxic) of a bounded sample of the labelled training rows, dealt into folds."""
     fit = labels.filter(F.col("toxic").isNotNull() & (crc_mod(F.col(id_col), 5) != 0)).groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
     fit = fit.select(id_col, "toxic", F.floor(crc_mod(F.col(id_col), 5 * FOLDS) / 5).cast("int").alias("fold"))
     by_hash = [F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)]
     ids = fit.filter("toxic = 1").orderBy(*by_hash).limit(most).union(fit.filter("toxic = 0").orderBy(*by_hash).limit(2 * most))
-    return docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(ids), id_col).select("text", "fold", "toxic")
+    one = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), id_col).groupBy(id_col, "fold", "toxic").agg(F.min("text").alias("text"))
+    found = cut(one.withColumns({"size": F.octet_length("text"), "key": F.xxhash64(F.col(id_col).cast("string"))}))
+    left, keys = {0: most_bytes, 1: most_bytes}, []
+    for r in found.select("toxic", "key", "size").orderBy("key").collect():  # a row for each document of the bounded sample
+        if r["size"] <= left[r["toxic"]]:
+            left[r["toxic"]] -= r["size"]
+            keys.append((r["key"],))
+    return found.join(F.broadcast(docs.sparkSession.createDataFrame(keys, "key long")), "key").select("text", "fold", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_PER_CLASS) -> tuple[bytes | None, Logistic | float]:
@@ -200,12 +210,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         kept = counted.filter(F.col("fold") != without).groupBy("gram").agg(of(1).alias("toxic"), of(0).alias("ordinary"))
         return bytes(kept.coalesce(1).mapInPandas(_build, "model binary").first()[0])
 
-    final, x, y = None, [], []
+    x, y = [], []
     for f in range(FOLDS) if n_toxic < FEW else range(1):
         if not all(any(sizes.get((g, t)) for g in range(FOLDS) if g != f) for t in (0, 1)):
             continue
-        final = ratios(f)
-        model = spark.sparkContext.broadcast(final)
+        model = spark.sparkContext.broadcast(ratios(f))
 
         def features(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             held = pickle.loads(model.value)
@@ -216,9 +225,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for r in sample.filter(F.col("fold") == f).select("text", "toxic").mapInArrow(features, "x array<double>, toxic int").collect():
             x.append(r["x"])
             y.append(r["toxic"])
+        model.unpersist()
     if len(set(y)) < 2:
         return None, float(n_toxic > n_ordinary)
-    return (final if n_toxic >= FEW else ratios(-1)), Logistic(np.array(x), np.array(y, float))
+    return ratios(-1), Logistic(np.array(x), np.array(y, float))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_PER_CLASS, keep: list[str] | None = None) -> DataFrame:

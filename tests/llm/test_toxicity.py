@@ -1,12 +1,14 @@
 """Kneser-Ney ratios against direct probabilities, held-out accuracy, odd rows."""
 
 import math
+import pickle
 import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from tagwright.llm.op9_toxicity import Ratios, grams, toxicity
+from tagwright.llm.op9_toxicity import Ratios, grams, labelled_sample, learn, toxicity
 
 
 def test_class_models_are_distributions():
@@ -16,6 +18,55 @@ def test_class_models_are_distributions():
     assert r.word("b") > 0 > r.word("c")
 
 
+def kneser_ney(words, context, char, toxic):
+    """P(char | context) in a class by the formulas, from the words of both classes (word, class), counted anew for each value."""
+    marked = [("\x02" + w + "\x03", c) for w, c in words]
+    windows = [(w[max(0, i - 5) : i], w[i], c) for w, c in marked for i in range(1, len(w))]
+    kinds = {(h[k:], x) for h, x, _ in windows for k in range(len(h) + 1)}
+    before = {}  # different characters before a context and its character
+    for h, x in kinds:
+        if h:
+            before.setdefault((h[1:], x), set()).add(h[0])
+    lower = {k: len(v) for k, v in before.items()}
+
+    def discount(counts):
+        ones, twos = counts.count(1), counts.count(2)
+        return ones / (ones + 2 * twos) if ones else 0.5
+
+    d = discount(list(lower.values()))
+
+    def shared(h, x):
+        of = {y: n for (g, y), n in lower.items() if g == h}
+        down = shared(h[1:], x) if h else 1 / len(of)
+        return (max(of.get(x, 0) - d, 0) + d * len(of) * down) / sum(of.values()) if of else down
+
+    counts = {}
+    for h, x, c in windows:
+        if c == toxic:
+            counts[h, x] = counts.get((h, x), 0) + 1
+    own = discount(list(counts.values()))
+    of = {y: n for (g, y), n in counts.items() if g == context}
+    down = shared(context[1:], char)
+    return (max(of.get(char, 0) - own, 0) + own * len(of) * down) / sum(of.values()) if of else down
+
+
+def test_ratios_equal_the_formulas():
+    rng = random.Random(2)
+    words = [("".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))), rng.randrange(2)) for _ in range(60)]
+    counts = {0: {}, 1: {}}
+    for w, c in words:
+        for g in grams(w):
+            counts[c][g] = counts[c].get(g, 0) + 1
+    r = Ratios(counts[1], counts[0])
+    contexts = {g[:-1] for g in counts[0]}
+    for c in rng.sample(sorted(contexts), 8):
+        assert abs(sum(kneser_ney(words, c, x, 1) for x in "abc\x03") - 1) < 1e-9
+    for w in [words[0][0], words[1][0], "abcabcabc", "cccc", "a", "acbbca"]:
+        p = [(g[:-1], g[-1]) for g in grams(w)]
+        want = sum(math.log(kneser_ney(words, c, x, 1) / kneser_ney(words, c, x, 0)) for c, x in p)
+        assert abs(r.word(w) - want) < 1e-9, w
+
+
 def test_grams():
     assert grams("ab") == ["\x02a", "\x02ab", "\x02ab\x03"] and grams("") == ["\x02\x03"]
     assert len(grams("x" * 200)) == 200 + 4
@@ -49,6 +100,19 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert toxicity(d.limit(0), t).collect() == []
 
 
+def test_every_label_counts_and_bytes_are_bounded(spark):
+    docs, labels = corpus(2000)
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, score double")
+    t = spark.createDataFrame(labels, "doc_id long, toxic int, lang int")
+    packed, _ = learn(d, t)
+    train = {i: int(x) for i, x, _ in labels if x is not None and zlib.crc32(str(i).encode()) % 5}
+    seen = {g for i, text, *_ in docs if i in train for w in text.split() for g in grams(w)}
+    assert set(pickle.loads(packed).seen) == seen and sum(train.values()) > 250
+    sample = labelled_sample(d, t, "doc_id", "text", 2000, 20_000)
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    assert set(sizes) == {0, 1} and all(18_000 < n <= 20_000 for n in sizes.values())
+
+
 def test_without_labels_of_a_class(spark):
     d = spark.createDataFrame([(i, "a b") for i in range(20)], "doc_id long, text string")
     for toxic, score in ((0, 0.0), (1, 1.0)):
