@@ -19,10 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables that cut() has written and that nobody has removed, by path.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset a local run takes a temporary one; a cluster's
+    executors would not see each other's, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -33,9 +40,31 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that cut() wrote and that no DataFrame still in use reads."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+
+
+def written() -> list[str]:
+    return list(_WRITTEN)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as keep them apart from df's columns."""
+    taken, lead = {c.lower() for c in df.columns}, "__"
+    while any(f"{lead}{n}".lower() in taken for n in names):
+        lead += "_"
+    return [f"{lead}{n}" for n in names]
+
+
 def words_az(text: bytes) -> list[bytes]:
     """The words of a UTF-8 text, A-Z lower-cased: runs of anything but the space and the five ASCII control spaces."""
     return text.translate(_LOWER).split()
