@@ -35,13 +35,36 @@ def test_verdicts(spark):
     assert {got[t]["match_type"] for t in ("1234", "PORTION", "X.TE-5223", "PT-5223")} == {"unmatched"}
     strict = match.verdicts(frame(spark, [("TE-5224",)], "tag string"), refs, 0.99).first()
     assert strict["match_type"] == "unmatched_candidate" and strict["closest"] == "TE-5223"
-    members = ["TE-522", "TE-123456A", "12-FV-302", "123-FV-98765B", "22HS-002"]
-    patterns = match.families(refs)
-    assert all(r["m"] for r in frame(spark, [(t,) for t in members], "tag string").select(match.in_family(F.col("tag"), patterns).alias("m")).collect())
+    members = ["TE-522", "TE-123456A", "12-FV-302", "123-FV-98765B", "22HS-002", "te 5_2-AB12"]
+    others = ["T-E-522", "TE-522-ABCDEF", "TE-522AB", "12FV", "HS-002", "TEX-5"]
+    got = match.members(frame(spark, [(t,) for t in members + others], "tag string"), refs)
+    assert {r["tag"] for r in got.collect()} == {"TE-522", "TE-123456A", "12-FV-302", "123-FV-98765B", "22HS-002"}
     ambiguous = match.references(frame(spark, [("TE-1234", 0), ("TE1-234", 1)], "reference string, ref_seq int"))
     assert match.exact(frame(spark, [("TE 1234",)], "tag string"), ambiguous).first()["reference"] is None
 
 
+def test_parts_and_scores(spark):
+    rows = ["11-FV-301-2B", "21HS-001", "TE-5223", "TE-12-34A", "TE-12-X9", "TE5223A", "-te_52 23.", "A.B-7", ""]
+    got = [(r["p"]["prefix"], r["p"]["numbers"], r["p"]["suffix"]) for r in frame(spark, [(t,) for t in rows], "t string").select(match.parts(F.col("t")).alias("p")).collect()]
+    assert got == [("FV", ["11", "301", "2"], "B"), ("21HS", ["001"], "HS"), ("TE", ["5223"], ""), ("TE", ["12", "34"], "A"), ("TE", ["12", "9"], "X"), ("TE", ["5223"], "A"), ("TE", ["5223"], ""), ("A", ["7"], ""), ("", [], "")]
+    pairs = [("TE-5223", "TE-5223"), ("TE-5224", "TE-5223"), ("TE-5240", "TE-5223"), ("TE-5223", "XV-5223"), ("TE-12-34", "TE-12-40"), ("TE-5", "TE-500000"), ("TE-10", "TE-17")]
+    want = [1, 0.35 + 0.6 * 0.8 + 0.05, 0.35 + 0.6 * 0.1 + 0.05, 0, 0.35 + 0.35 + 0.25 * 0.4 * (1 - 6 / 40 * 0.5) + 0.05, (0.35 + 0.06 + 0.05) * (1 - 0.3 * 5 / 9), 0.35 + 0.6 * 0.4 * (1 - 7 / 17 * 0.5) + 0.05]
+    df = frame(spark, [(k, a, b, False) for k, (a, b) in enumerate(pairs)], "k int, tag string, reference string, same_family boolean")
+    assert [r["score"] for r in match.scored(df).orderBy("k").collect()] == pytest.approx(want)
+
+
+def test_indel_ratio_equals_the_table():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("AB-1") for _ in range(rng.randrange(0, 12))) for _ in range(2))
+        best = {(i, j): 0 for i in range(-1, len(a)) for j in range(-1, len(b))}
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i, j] = best[i - 1, j - 1] + 1 if a[i] == b[j] else max(best[i - 1, j], best[i, j - 1])
+        want = 2 * best[len(a) - 1, len(b) - 1] / (len(a) + len(b)) if a or b else 1
+        assert match.lev_ratio(a, b) == pytest.approx(want)
+
+
 def test_verdicts_of_all_tags_read(spark, monkeypatch):
     refs = [(f"{p}-{n}", k) for k, (p, n) in enumerate((p, n) for p in ("TE", "PT", "PDT") for n in range(100, 400, 37))]
     tags = [f"{p}{sep}{n}" for p in ("TE", "PDT", "XX") for sep in "-_" for n in range(100, 400, 23)] + ["NC-1-2-C"]
@@ -50,15 +73,15 @@ def test_verdicts_of_all_tags_read(spark, monkeypatch):
     got = {r["tag"]: r for r in queries.h16_match_verdicts(spark, "no tables").collect()}
     assert got.keys() == set(tags)
     of = {r.replace("-", ""): r for r, _ in refs}
+    pairs = frame(spark, [(t, r, r.split("-")[0] == t.replace("_", "-").split("-")[0]) for t in tags for r, _ in refs], "tag string, reference string, same_family boolean")
+    scores = {(r["tag"], r["reference"]): r["score"] for r in match.scored(pairs).collect()}
     for t in tags:
         if (key := t.replace("-", "").replace("_", "")) in of:
             assert (got[t]["match_type"], got[t]["closest"]) == ("exact", of[key])
         elif t[:2] in ("XX", "NC"):
             assert got[t]["match_type"] == "unmatched"
         else:
-            same = lambda r: r.split("-")[0] == t.replace("_", "-").split("-")[0]  # noqa: B023, E731
-            near = [(match.pair_score(t, r, same(r)), -k, r) for r, k in refs if match.lev_ratio(match.parts(t)[0], match.parts(r)[0]) >= 0.7]
-            score, _, closest = max(near)
+            score, _, closest = max((scores[t, r], -k, r) for r, k in refs)
             assert got[t]["score"] == pytest.approx(score) and got[t]["closest"] == closest
             assert got[t]["match_type"] == ("similar" if score >= match.THRESHOLD else "unmatched_candidate")
 
