@@ -105,9 +105,37 @@ def spare_slots(signals: DataFrame, config: Config | None = None) -> DataFrame:
     return dealt.select("io", "safety", "jb", (F.floor(F.col("needed") / F.col("boxes")) + F.when(F.col("k") <= F.col("needed") % F.col("boxes"), 1).otherwise(0)).cast("bigint").alias("spares"), "k").filter("spares > 0")
 
 
-def hot_spares(signals: DataFrame, config: Config | None = None) -> DataFrame:
-    """The spare rows: one per slot, with terminals that go on after the box's highest, two by two, groups in order."""
-    slots = spare_slots(signals, config)
+def capped_slots(signals: DataFrame, config: Config | None = None, run: Column | None = None) -> DataFrame:
+    """(run, io, safety, jb, spares): as spare_slots, but no box takes more spares than its largest spare_count, which all groups of a run,
+    in order, use up together. One task per run, over one row for each group and box."""
+    ratio = (config or Config()).spare_ratio
+    order = F.min(F.struct("rank_location", "jb"))
+    per = signals.withColumn("run", (F.lit(0) if run is None else run).cast("bigint")).groupBy("run", "io", "safety", "jb").agg(F.count("*").alias("n"), order["rank_location"].alias("place"), F.max(F.greatest(F.coalesce("spare_count", F.lit(0)), F.lit(0))).alias("cap"))
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["io", "safety", "place", "jb"], kind="stable")
+        groups = [(key, g["jb"].tolist(), math.ceil(g["n"].sum() * ratio)) for key, g in frame.groupby(["io", "safety"])]
+        rows = [(frame["run"].iloc[0], *key, jb, n) for key, jb, n in hot_spares_capped(frame.groupby("jb")["cap"].max().to_dict(), groups)]
+        return pd.DataFrame(rows, columns=["run", "io", "safety", "jb", "spares"])
+
+    return per.groupBy("run").applyInPandas(one, "run bigint, io string, safety string, jb string, spares bigint")
+
+
+#: Spare rows come after all signals of their box in the master order.
+AFTER_SIGNALS = 1 << 61
+
+
+def with_hot_spares(signals: DataFrame, config: Config | None = None, slots: DataFrame | None = None) -> DataFrame:
+    """The signals and their hot spares, with signal_type ACTIVE and HOT_SPARE; spares have a seq beyond all signals, by round."""
+    own = ["seq", "tag", "jb", "io", "safety", "location", "terminal_1", "terminal_2", "src", "rank_io", "rank_safety", "rank_location"]
+    spares = hot_spares(signals, config, slots).withColumn("seq", F.lit(AFTER_SIGNALS) + F.col("round"))
+    return signals.select(*own, F.lit("ACTIVE").alias("signal_type")).unionByName(spares.select(*own, "signal_type"))
+
+
+def hot_spares(signals: DataFrame, config: Config | None = None, slots: DataFrame | None = None) -> DataFrame:
+    """The spare rows: one per slot, with terminals that go on after the box's highest, two by two, groups in order. slots: those of
+    spare_slots, or of capped_slots."""
+    slots = spare_slots(signals, config) if slots is None else slots
     each = slots.withColumn("round", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("spares"))))
     nth = F.row_number().over(Window.partitionBy("jb").orderBy("io", "safety", "round"))
     first = signals.groupBy("io", "safety", "jb").agg(F.min_by(F.struct("location", "src", "rank_io", "rank_safety", "rank_location"), F.struct("rank_location", "seq")).alias("r"))
@@ -180,6 +208,7 @@ def pack(boxes: list[tuple[str, str, int, list[int]]], config: Config | None = N
     """First fit by falling load, over open cabinets, then the pool. boxes: (jb, safety, rail load, counters).
     Returns (jb, cabinet, place in the order of assignment, cabinet type, direction)."""
     config = config or Config()
+    counted = Config(channels=config.channels, max_boards=999)  # cabinets beyond the plan are limited by numbers of boards
     left, opened, numbers, out = pool(config), [], {"IS": 0, "NIS": 0}, []
     ranked = sorted(sorted(boxes, key=lambda b: b[0]), key=lambda b: -(b[2] + sum(b[3][:8])))
     for place, (jb, safety, load, channels) in enumerate(ranked):
@@ -191,12 +220,10 @@ def pack(boxes: list[tuple[str, str, int, list[int]]], config: Config | None = N
             at = next((k for k, p in enumerate(left) if trial(p).fits(safety, load, channels)), None)
             if at is not None:
                 cabinet = trial(left.pop(at))
-            elif left:  # nothing planned holds it: an overflow cabinet, not checked
-                cabinet = _Cabinet(f"{base}-OVERFLOW", safety, "OVERFLOW", "", 9999, (999.0,) * 12, config)
+            elif left:  # nothing planned holds it: an overflow cabinet, whose first box is not checked
+                cabinet = _Cabinet(f"{base}-OVERFLOW", safety, "OVERFLOW", "", 9999, (999.0,) * 12, counted)
             else:
-                cabinet = _Cabinet(base, safety, "DEFAULT", "", 1000, (999.0,) * 12, config)
-                free = Config(channels=config.channels, max_boards=math.inf)
-                cabinet.config = free
+                cabinet = _Cabinet(base, safety, "DEFAULT", "", 1000, (999.0,) * 12, counted)
                 if not cabinet.fits(safety, load, channels):
                     raise ValueError(f"{jb} fits no cabinet")
             opened.append(cabinet)
@@ -228,34 +255,72 @@ def even_split(i: Column, n: Column, capacity: Column) -> tuple[Column, Column]:
     return board.cast("bigint"), (i - start + 1).cast("bigint")
 
 
-def allocate(signals: DataFrame, packed: DataFrame, capacity: int = 16) -> DataFrame:
-    """Channels of every signal: cabinet, board, channel and relay flag. signals: as cleaned; packed: jb, cabinet, place."""
-    s = signals.join(packed.select("jb", "cabinet", "place"), "jb")
+def channel_limit(config: Config, board_type: Column, base: Column) -> Column:
+    """Channels to a board: by the board's full name if the configuration has it, else by its kind."""
+    out = F.lit(16)
+    for kind in ("Barrier", "Terminal"):
+        for b in BASES:
+            n = config.channels.get(f"{kind} Board ({b})", config.channels.get(kind, 16))
+            out = F.when((board_type == f"{kind} Board") & (base == b), n).otherwise(out)
+    return out.cast("bigint")
+
+
+def allocate(signals: DataFrame, packed: DataFrame, config: Config | None = None) -> DataFrame:
+    """Channels of every signal: cabinet, board, channel, capacity and relay flag. signals: as cleaned; packed: jb, cabinet. Signals of a
+    cabinet and kind go on in master order: by ranks, box, and their own order."""
+    s = signals.join(packed.select("jb", "cabinet"), "jb")
     s = s.withColumn("base", base_io(F.col("io"))).withColumn("board_type", F.concat(F.when(F.col("cabinet").startswith("IS"), "Barrier").otherwise("Terminal"), F.lit(" Board")))
-    order = Window.partitionBy("cabinet", "base").orderBy("rank_io", "rank_safety", "rank_location", "place", "seq")
+    order = Window.partitionBy("cabinet", "base").orderBy("rank_io", "rank_safety", "rank_location", "jb", "seq")
     group = Window.partitionBy("cabinet", "base")
-    s = s.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(group), "relay": F.first("location").over(order) == "MCC"})
-    board, channel = even_split(F.col("i"), F.col("n"), F.lit(capacity))
+    s = s.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(group), "relay": F.first("location").over(order) == "MCC", "capacity": channel_limit(config or Config(), F.col("board_type"), F.col("base"))})
+    board, channel = even_split(F.col("i"), F.col("n"), F.col("capacity"))
     s = s.withColumns({"board_no": board + 1, "channel": channel})
     return s.withColumn("board", F.concat("board_type", F.lit(" ("), "base", F.lit(")-"), F.lpad(F.col("board_no").cast("string"), 2, "0")))
 
 
-def backfill(allocated: DataFrame, capacity: int = 16) -> DataFrame:
+def backfill(allocated: DataFrame) -> DataFrame:
     """SPARE channels up to a board's capacity, each like the board's last row, without terminals."""
-    last = allocated.groupBy("cabinet", "board").agg(F.max("channel").alias("used"), F.max_by(F.struct("io", "safety", "location", "jb"), "channel").alias("r"))
-    free = last.filter(F.col("used") < capacity)
-    return free.select("cabinet", "board", F.explode(F.sequence(F.col("used") + 1, F.lit(capacity).cast("bigint"))).alias("channel"), "r.*", F.lit("SPARE").alias("tag"), F.lit("SPARE").alias("signal_type"))
+    last = allocated.groupBy("cabinet", "board").agg(F.max("channel").alias("used"), F.max("capacity").alias("capacity"), F.max_by(F.struct("io", "safety", "location", "jb"), "channel").alias("r"))
+    free = last.filter(F.col("used") < F.col("capacity"))
+    return free.select("cabinet", "board", F.explode(F.sequence(F.col("used") + 1, "capacity")).alias("channel"), "r.*", F.lit("SPARE").alias("tag"), F.lit("SPARE").alias("signal_type"))
 
 
-def cabinet_stats(allocated: DataFrame, capacity: int = 16) -> DataFrame:
-    """Boards, active signals and fill share of each cabinet and board type."""
-    per = allocated.groupBy("cabinet", "board_type", "base").agg(F.countDistinct("board").alias("boards"), F.count("*").alias("signals"))
-    return per.withColumn("fill", F.bround(100 * F.col("signals") / (F.col("boards") * capacity), 2))
+def cabinet_stats(allocated: DataFrame) -> DataFrame:
+    """Boards, signals, active ones and hot spares, backfilled channels and fill share of each cabinet and board type."""
+    hot = F.count_if(F.col("signal_type") == "HOT_SPARE")
+    per = allocated.groupBy("cabinet", "board_type", "base").agg(F.countDistinct("board").alias("boards"), F.count("*").alias("signals"), hot.alias("hot"), F.max("capacity").alias("capacity"))
+    room = F.col("boards") * F.col("capacity")
+    return per.select("cabinet", "board_type", "base", "boards", "signals", (F.col("signals") - F.col("hot")).alias("active"), "hot", (room - F.col("signals")).alias("spare"), F.bround(100 * F.col("signals") / room, 2).alias("fill"))
+
+
+def usage(demand: DataFrame, packed: DataFrame, config: Config | None = None) -> DataFrame:
+    """One row per cabinet: type, direction, boxes, rail terminals used and allowed, boards of each kind, share of the rail and of the pool
+    of boards in use, and the factor that limits it: the pool if its share is the larger. demand and packed: jb, and packed of one run."""
+    config = config or Config()
+    rail = {(k, d): limit for (k, d), (limit, _) in config.limits.items()} | {("OVERFLOW", ""): 9999, ("DEFAULT", ""): 1000}
+    sums = packed.join(demand, "jb").groupBy("cabinet", "cabinet_type", "direction").agg(F.count("*").alias("boxes"), F.min("safety").alias("safety"), F.sum("rail_load").alias("rail_used"), *(F.sum(c).alias(c) for c in COUNTERS))
+    kind = F.concat_ws("|", "cabinet_type", "direction")
+    single = {f"{k}|SINGLE": v for s in ("REAR", "FRONT") for (k, d), v in rail.items() if d == s}
+    lookup = F.create_map(*(F.lit(x) for key, v in {**single, **{f"{k}|{d}": v for (k, d), v in rail.items()}}.items() for x in (key, int(v))))
+    boards = lambda c: F.when(F.col(c) > 0, F.ceil(F.col(c) / config.channels[c.split("_")[0]])).otherwise(0)
+    out = sums.withColumn("rail_limit", F.element_at(lookup, kind)).withColumns({f"boards_{c}": boards(c) for c in COUNTERS})
+    own = [c for c in COUNTERS if not c.startswith("Relay")]
+    counts = F.col("cabinet_type").isin("OVERFLOW", "DEFAULT") | F.lit(config.max_boards != 100)
+    shares = F.lit(0.0)
+    for (k, d), (_, limits) in [*config.limits.items(), *(((k, "SINGLE"), config.limits.get((k, "FRONT"), v)) for (k, _), v in config.limits.items())]:
+        one = sum((F.col(f"boards_{c}") * float(limits[COUNTERS.index(c)]) for c in COUNTERS), F.lit(0.0))
+        shares = F.when((F.col("cabinet_type") == k) & (F.col("direction") == d), one).otherwise(shares)
+    number = sum((F.col(f"boards_{c}") for c in COUNTERS), F.lit(0))
+    most = F.when(F.col("cabinet_type").isin("OVERFLOW", "DEFAULT"), 999.0).otherwise(float(config.max_boards))
+    out = out.withColumns({"rail_share": F.when(F.col("rail_limit") > 0, F.col("rail_used") / F.col("rail_limit")).otherwise(0.0), "pool_share": F.when(counts, number / most).otherwise(shares / 100)})
+    label = F.when(F.col("pool_share") > F.col("rail_share"), F.concat(F.when(counts, "COUNT").otherwise("PERCENT_PER_BOARD"), F.format_string(" Pool (%.1f%%)", 100 * F.col("pool_share")))).otherwise(F.format_string("Rail (%.1f%%)", 100 * F.col("rail_share")))
+    return out.select("cabinet", "cabinet_type", "direction", "boxes", "rail_used", "rail_limit", *(f"boards_{c}" for c in [*own, *(c for c in COUNTERS if c not in own)]), "rail_share", "pool_share", label.alias("limiting_factor"))
 
 
 def run_all(io_clean: DataFrame, config: Config | None = None) -> Iterator[tuple[str, DataFrame]]:
-    """The whole run by name: demand, packing, channels and spare channels."""
-    demand = demands(io_clean, config)
+    """The whole run by name: signals with hot spares, demand, packing, channels, spare channels, and the cabinets' use."""
+    signals = with_hot_spares(io_clean, config)
+    demand = demands(signals, config)
     packed = cabinets(demand, config=config)
-    allocated = allocate(io_clean, packed)
-    yield from (("demand", demand), ("packed", packed), ("allocated", allocated), ("spare", backfill(allocated)))
+    allocated = allocate(signals, packed, config)
+    yield from (("signals", signals), ("demand", demand), ("packed", packed), ("allocated", allocated), ("spare", backfill(allocated)), ("usage", usage(demand, packed, config)))

@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import assign, clean, dims, drawing, match, review, store, textmode
 from ..sources import workbooks
 from . import adapters as A
-from .queries import SQL_EXACT, SQL_INTER, SQL_KIND, SQL_NORMAL, SQL_REFS, _classified, _clean, _io, _refs, _rows, _spans, _tags, query
+from .queries import SQL_EXACT, SQL_INTER, SQL_KIND, SQL_NORMAL, SQL_REFS, _assigned, _classified, _clean, _io, _refs, _rows, _spans, _tags, query
 
 PAGES = "SELECT o_orderkey AS pdf, CAST(o_custkey AS BIGINT) AS pages, CAST(floor(o_totalprice) AS BIGINT) % 60 AS chars, (o_orderkey % 10) / CAST(9.0 AS DOUBLE) AS hidden, (o_custkey % 10) / CAST(9.0 AS DOUBLE) AS image FROM orders"
 
@@ -113,8 +113,8 @@ def a03_spare_capacity(spark, sf):
 
 @query()
 def a11_a12_cabinet_stats(spark, sf):
-    packed = assign.cabinets(assign.demands(_clean(spark, sf)).withColumn("run", F.pmod(F.crc32(F.col("jb").cast("binary")), F.lit(500))), F.col("run")).withColumn("cabinet", F.concat("cabinet", F.lit("#"), F.col("run").cast("string")))
-    return assign.cabinet_stats(assign.allocate(_clean(spark, sf), packed))
+    signals, _, packed = _assigned(spark, sf)
+    return assign.cabinet_stats(assign.allocate(signals, packed))
 
 
 @query(f"WITH {SQL_KIND}, {SQL_EXACT} SELECT count(*) AS tags, count(reference) AS matched, round_even(100.0 * count(reference) / count(*), 2) AS rate FROM exact")

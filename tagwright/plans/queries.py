@@ -113,9 +113,19 @@ def o01_master_order(spark, sf):
 
 
 # Assignment -----------------------------------------------------------------------------------------------------------------------
-SQL_DEMAND = SQL_NORMAL + """,
-g0 AS (SELECT jb, io, CASE WHEN length(io) = 3 THEN left(io, 2) ELSE io END AS base, count(*) AS n, count(*) FILTER (src = 'SC') AS sc, arg_min(location, rank_location * 1000000000000000000.0 + seq) AS place0 FROM c GROUP BY jb, io),
-ord AS (SELECT *, row_number() OVER (PARTITION BY jb, io ORDER BY rank_io, rank_safety, rank_location, seq) AS k, row_number() OVER (PARTITION BY jb ORDER BY rank_io, rank_safety, rank_location, seq) AS kj FROM c),
+SQL_SLOTS = SQL_NORMAL + """,
+want AS (SELECT io, safety, CAST(ceil(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS needed, count(DISTINCT jb) AS boxes FROM c GROUP BY io, safety),
+bx AS (SELECT io, safety, jb, min(rank_location) AS rl FROM c GROUP BY io, safety, jb),
+pl AS (SELECT *, row_number() OVER (PARTITION BY io, safety ORDER BY rl, jb) AS k FROM bx),
+slots AS (SELECT pl.io, pl.safety, pl.jb, needed // boxes + CASE WHEN k <= needed % boxes THEN 1 ELSE 0 END AS spares FROM pl JOIN want ON pl.io = want.io AND pl.safety = want.safety)"""
+SQL_WITH_SPARES = SQL_SLOTS + """,
+rep AS (SELECT *, row_number() OVER (PARTITION BY io, safety, jb ORDER BY rank_location, seq) AS nth FROM c),
+sp AS (SELECT io, safety, jb, unnest(range(1, CAST(spares AS BIGINT) + 1)) AS round FROM slots WHERE spares > 0),
+cs AS (SELECT seq, tag, jb, io, safety, location, src, rank_io, rank_safety, rank_location, 'ACTIVE' AS signal_type FROM c
+  UNION ALL SELECT 2305843009213693952 + round AS seq, 'HOT_SPARE', sp.jb, sp.io, sp.safety, location, src, rank_io, rank_safety, rank_location, 'HOT_SPARE' FROM sp JOIN rep ON sp.io = rep.io AND sp.safety = rep.safety AND sp.jb = rep.jb AND nth = 1)"""
+SQL_DEMAND = SQL_WITH_SPARES + """,
+g0 AS (SELECT jb, io, CASE WHEN length(io) = 3 THEN left(io, 2) ELSE io END AS base, count(*) AS n, count(*) FILTER (src = 'SC') AS sc, min(location) AS place0 FROM cs GROUP BY jb, io),
+ord AS (SELECT *, row_number() OVER (PARTITION BY jb, io ORDER BY rank_io, rank_safety, rank_location, seq) AS k, row_number() OVER (PARTITION BY jb ORDER BY rank_io, rank_safety, rank_location, seq) AS kj FROM cs),
 g AS (SELECT g0.*, o.location AS place1 FROM g0 JOIN ord o ON g0.jb = o.jb AND g0.io = o.io AND o.k = 1),
 b AS (SELECT g.jb, o.safety, 2 * sum(n) + sum(sc) + 2 AS rail_load, """ + ", ".join(f"coalesce(sum(n) FILTER (base = '{b}'), 0) AS all_{b}, coalesce(sum(n) FILTER (base = '{b}' AND place1 = 'MCC'), 0) AS \"Relay_{b}\"" for b in assign.BASES) + """ FROM g JOIN ord o ON g.jb = o.jb AND o.kj = 1 GROUP BY g.jb, o.safety),
 demand AS (SELECT jb, safety, CAST(rail_load AS BIGINT) AS rail_load, """ + ", ".join(f"CAST(CASE WHEN (safety = 'IS') = {s} THEN all_{b} ELSE 0 END AS BIGINT) AS \"{k}_{b}\"" for k, s in (("Barrier", "true"), ("Terminal", "false")) for b in assign.BASES) + ", " + ", ".join(f"CAST(\"Relay_{b}\" AS BIGINT) AS \"Relay_{b}\"" for b in assign.BASES) + " FROM b)"
@@ -123,7 +133,7 @@ demand AS (SELECT jb, safety, CAST(rail_load AS BIGINT) AS rail_load, """ + ", "
 
 @query(f"WITH {SQL_DEMAND} SELECT * FROM demand")
 def a01_a02_box_demand(spark, sf):
-    return assign.demands(_clean(spark, sf))
+    return assign.demands(assign.with_hot_spares(_clean(spark, sf)))
 
 
 @query(f"WITH {SQL_NORMAL} SELECT jb, max(greatest(CAST(regexp_extract(terminal_1, '[0-9]+$') AS BIGINT), CAST(regexp_extract(terminal_2, '[0-9]+$') AS BIGINT))) AS last, 'T' AS prefix_1, 2 AS width_1 FROM c GROUP BY jb")
@@ -131,13 +141,6 @@ def a05_terminal_state(spark, sf):
     return assign.terminal_state(_clean(spark, sf)).select("jb", "last", F.col("form1.prefix").alias("prefix_1"), F.col("form1.width").alias("width_1"))
 
 
-SQL_SLOTS = SQL_NORMAL + """,
-want AS (SELECT io, safety, CAST(ceil(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS needed, count(DISTINCT jb) AS boxes FROM c GROUP BY io, safety),
-bx AS (SELECT io, safety, jb, min(rank_location) AS rl FROM c GROUP BY io, safety, jb),
-pl AS (SELECT *, row_number() OVER (PARTITION BY io, safety ORDER BY rl, jb) AS k FROM bx),
-slots AS (SELECT pl.io, pl.safety, pl.jb, needed // boxes + CASE WHEN k <= needed % boxes THEN 1 ELSE 0 END AS spares FROM pl JOIN want ON pl.io = want.io AND pl.safety = want.safety)"""
-
-
 @query(f"WITH {SQL_NORMAL} SELECT io, safety, CAST(ceil(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS needed FROM c GROUP BY io, safety")
 def m02_spares_needed(spark, sf):
     return assign.spares_wanted(_clean(spark, sf))
@@ -169,30 +172,50 @@ SQL_LOAD = "rail_load + " + " + ".join(f'"{k}_{b}"' for k in ("Barrier", "Termin
 @query(f"WITH {SQL_DEMAND} SELECT jb, safety, {SQL_LOAD} AS load, row_number() OVER (PARTITION BY safety ORDER BY {SQL_LOAD} DESC, jb) AS place FROM demand")
 def o02_load_order(spark, sf):
     load = sum((F.col(c) for c in assign.COUNTERS[:8]), F.col("rail_load"))
-    d = assign.demands(_clean(spark, sf)).select("jb", "safety", load.alias("load"))
+    d = assign.demands(assign.with_hot_spares(_clean(spark, sf))).select("jb", "safety", load.alias("load"))
     return d.withColumn("place", F.row_number().over(Window.partitionBy("safety").orderBy(F.desc("load"), "jb")))
 
 
-def _runs(spark, sf):
-    """Boxes dealt into runs of some hundreds by nation-like key, as separate projects are."""
-    return assign.demands(_clean(spark, sf)).withColumn("run", F.pmod(F.crc32(F.col("jb").cast("binary")), F.lit(500)))
+def _run(jb):
+    """Boxes dealt into runs of some hundreds by their name, as separate projects are."""
+    return F.pmod(F.crc32(jb.cast("binary")), F.lit(500))
+
+
+def _assigned(spark, sf):
+    """Signals with hot spares, demand, and the packing of all runs; a cabinet's name holds its run."""
+    signals = assign.with_hot_spares(_clean(spark, sf))
+    demand = assign.demands(signals)
+    packed = assign.cabinets(demand, _run(F.col("jb"))).withColumn("cabinet", F.concat("cabinet", F.lit("#"), F.col("run").cast("string")))
+    return signals, demand, packed
 
 
 @query()
 def h04_first_fit_cabinets(spark, sf):
-    return assign.cabinets(_runs(spark, sf), F.col("run"))
+    return assign.cabinets(assign.demands(assign.with_hot_spares(_clean(spark, sf))), _run(F.col("jb")))
 
 
 @query()
 def h09_allocation(spark, sf):
-    packed = assign.cabinets(_runs(spark, sf), F.col("run")).withColumn("cabinet", F.concat("cabinet", F.lit("#"), F.col("run").cast("string")))
-    return assign.allocate(_clean(spark, sf), packed).select("cabinet", "board", "channel", "jb", "io", "tag", "relay")
+    signals, _, packed = _assigned(spark, sf)
+    return assign.allocate(signals, packed).select("cabinet", "board", "channel", "jb", "io", "tag", "relay")
 
 
 @query()
 def w05_backfill(spark, sf):
-    packed = assign.cabinets(_runs(spark, sf), F.col("run")).withColumn("cabinet", F.concat("cabinet", F.lit("#"), F.col("run").cast("string")))
-    return assign.backfill(assign.allocate(_clean(spark, sf), packed)).select("cabinet", "board", "channel", "tag", "jb")
+    signals, _, packed = _assigned(spark, sf)
+    return assign.backfill(assign.allocate(signals, packed)).select("cabinet", "board", "channel", "tag", "jb")
+
+
+@query()
+def k06_a13_h07_cabinet_usage(spark, sf):
+    _, demand, packed = _assigned(spark, sf)
+    return assign.usage(demand, packed)
+
+
+@query()
+def h02_capped_spares(spark, sf):
+    signals = _clean(spark, sf).withColumn("spare_count", F.pmod(F.crc32(F.col("jb").cast("binary")), F.lit(4)))
+    return assign.capped_slots(signals, run=_run(F.col("jb")))
 
 
 @query("""WITH o AS (SELECT o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n, o_orderkey FROM orders),

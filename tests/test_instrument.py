@@ -164,6 +164,78 @@ def test_packing_is_first_fit_by_falling_load():
         assign.pool(assign.Config(plan=[("Type 9", "REAR", 1, 1)]))
 
 
+def test_boxes_share_an_overflow_cabinet():
+    out = assign.pack([("JB-A", "IS", 900, [100] + [0] * 11), ("JB-B", "IS", 850, [20] + [0] * 11)])
+    assert [(jb, cabinet, kind) for jb, cabinet, _, kind, _ in out] == [("JB-A", "IS-A-01-OVERFLOW", "OVERFLOW"), ("JB-B", "IS-A-01-OVERFLOW", "OVERFLOW")]
+
+
+SIGNALS = "seq long, tag string, jb string, io string, safety string, location string, terminal_1 string, terminal_2 string, src string, rank_io int, rank_safety int, rank_location int, spare_count int"
+
+
+def signals(n=400, seed=11):
+    rng = random.Random(seed)
+    ios, places = ["AI", "AIR", "AOR", "AO", "DI", "DIR", "DO", "DOR"], ["FIELD", "MCC", "LCP", "UCP"]
+    safe = {f"JB-{k:02d}": rng.choice(["IS", "NIS"]) for k in range(12)}
+    rows = []
+    for k in range(n):
+        jb, io, place = rng.choice(list(safe)), rng.choice(ios), rng.choice(places)
+        rows.append((k, f"T-{k}", jb, io, safe[jb], place, f"T{2 * k + 1:02d}", f"T{2 * k + 2:02d}", rng.choice(["", "SC"]), ios.index(io) + 1, 1 + (safe[jb] == "NIS"), places.index(place) + 1, int(jb[3:]) % 4))
+    return rows
+
+
+def test_allocation_equals_a_plain_reading(spark):
+    config = assign.Config(channels={**assign.CHANNELS, "Terminal Board (DI)": 5})
+    rows = signals()
+    everything = dict(assign.run_all(frame(spark, rows, SIGNALS), config))
+    active = [dict(zip([c.split()[0] for c in SIGNALS.split(", ")], r)) for r in rows]
+    spares = []
+    for key in sorted({(r["io"], r["safety"]) for r in active}):
+        own = sorted((r for r in active if (r["io"], r["safety"]) == key), key=lambda r: (r["rank_location"], r["jb"], r["seq"]))
+        boxes, needed, k = list(dict.fromkeys(r["jb"] for r in own)), math.ceil(0.2 * len(own)), 0
+        while k < needed:
+            jb = boxes[k % len(boxes)]
+            spares.append({**next(r for r in own if r["jb"] == jb), "tag": "HOT_SPARE", "seq": 10**9 + k // len(boxes)})
+            k += 1
+    got = [r.asDict() for r in everything["signals"].collect()]
+    assert sorted((r["jb"], r["io"], r["location"], r["signal_type"]) for r in got) == sorted([(r["jb"], r["io"], r["location"], "ACTIVE") for r in active] + [(r["jb"], r["io"], r["location"], "HOT_SPARE") for r in spares])
+    where = {r["jb"]: r["cabinet"] for r in everything["packed"].collect()}
+    want, free, stats = [], [], []
+    for cabinet in set(where.values()):
+        for base in assign.BASES:
+            own = sorted((r for r in active + spares if where[r["jb"]] == cabinet and r["io"][:2] == base), key=lambda r: (r["rank_io"], r["rank_safety"], r["rank_location"], r["jb"], r["seq"]))
+            if not own:
+                continue
+            kind = "Barrier" if cabinet.startswith("IS") else "Terminal"
+            limit = config.channels.get(f"{kind} Board ({base})", config.channels[kind])
+            boards = math.ceil(len(own) / limit)
+            at = 0
+            for k in range(boards):
+                n = len(own) // boards + (k < len(own) % boards)
+                name = f"{kind} Board ({base})-{k + 1:02d}"
+                want += [(cabinet, name, c + 1, r["jb"], r["io"], r["tag"], own[0]["location"] == "MCC") for c, r in enumerate(own[at : at + n])]
+                free += [(cabinet, name, c, own[at + n - 1]["jb"]) for c in range(n + 1, limit + 1)]
+                at += n
+            hot = sum(r["tag"] == "HOT_SPARE" for r in own)
+            stats.append((cabinet, base, boards, len(own) - hot, hot, boards * limit - len(own)))
+    assert sorted(tuple(r) for r in everything["allocated"].select("cabinet", "board", "channel", "jb", "io", "tag", "relay").collect()) == sorted(want)
+    assert sorted(tuple(r) for r in everything["spare"].select("cabinet", "board", "channel", "jb").collect()) == sorted(free)
+    assert sorted(tuple(r) for r in assign.cabinet_stats(everything["allocated"]).select("cabinet", "base", "boards", "active", "hot", "spare").collect()) == sorted(stats)
+    used = {r["cabinet"]: r for r in everything["usage"].collect()}
+    assert used.keys() == set(where.values()) and all(u["boxes"] == sum(c == name for c in where.values()) for name, u in used.items())
+    assert all(u["rail_share"] <= 1 and u["pool_share"] <= 1 + 1e-9 and u["limiting_factor"].startswith("PERCENT_PER_BOARD" if u["pool_share"] > u["rail_share"] else "Rail") for u in used.values() if u["cabinet_type"] not in ("OVERFLOW", "DEFAULT"))
+
+
+def test_capped_slots(spark):
+    df = frame(spark, signals(), SIGNALS)
+    got = [r.asDict() for r in assign.capped_slots(df).collect()]
+    per = {}
+    for r in got:
+        per[r["jb"]] = per.get(r["jb"], 0) + r["spares"]
+    assert all(n <= int(jb[3:]) % 4 for jb, n in per.items()) and sum(per.values()) > 0
+    rows = assign.hot_spares(df, slots=assign.capped_slots(df).drop("run")).groupBy("jb").count().collect()
+    assert {r["jb"]: r["count"] for r in rows} == per
+
+
 def test_capped_spares_equal_plain_rounds():
     rng = random.Random(2)
     for _ in range(200):
