@@ -17,10 +17,16 @@ TAG = r"(?i)\b([A-Z]{2,5}[-._][0-9]{2,4}(?:[-._][0-9]{1,4})?(?:[-._][A-Z])?(?:[A
 JB = r"(?i)\b(JB[-_]?[A-Z]*[-_]?[0-9]{1,6}(?:[-_]?[0-9]{1,4})?)\b"
 MC = r"(?i)\b(MC[-_]?[A-Z]*[-_]?[0-9]{1,6}(?:[-_]?[0-9]{1,4})?)\b"
 SPARE = r"(?i)\b(SPARE)(?:\s*[0-9]+)?\b"
-CABLE = r"(?i)\b((?:FRT|NC|CBL|CAB|WIR)[-_][A-Z0-9]{1,6}(?:[-_][A-Z0-9]{1,6})*)\b"
+CABLE = r"(?i)\b((?:FRT|NC|CBL|CAB|WIR)[-_][A-Z0-9]{1,6}(?:[-_][A-Z0-9]{1,6})*(?:\.[0-9]+)?(?:mm²|mm2|Px|PR|CR|pair|core)?)\b"
 WIRE = r"(?i)^(BK|WT|RD|BL|GN|YL|BR|GR|OG|PK|PR|WH|GY)[0-9]{1,4}$"
 DATE = r"(?i)^[0-9]{1,4}[-/.]([0-9]{1,2}|[A-Z]{3})[-/.][0-9]{2,4}$"
-STOP_WORDS = ["NOTE", "SHEET", "DRAWING", "REV", "DATE", "TITLE", "SCALE"]
+STOP_WORDS = [
+    "PAGE", "SHEET", "REV", "REVISION", "DATE", "DRAWN", "CHECKED", "APPROVED", "SCALE", "SIZE", "DWG", "DWG NO", "DRAWING",
+    "BK", "WT", "RD", "BL", "GN", "YL", "OR", "BR", "GR", "VI", "BLACK", "WHITE", "RED", "BLUE", "GREEN", "YELLOW", "ORANGE",
+    "BROWN", "GRAY", "GREY", "VIOLET", "DCS", "PLC", "ESD", "F&G", "SIS", "NO", "TYPE", "QTY", "REF", "NOTE", "NOTES",
+    "TERMINAL", "TERMINALS", "BLOCK", "BOARD", "CHANNEL", "CH", "CARD", "PROJECT", "CLIENT", "CONTRACTOR", "N/A", "NA", "TBD",
+    "TYP", "TYPICAL", "CONT", "CONTINUED", "SECTION", "DETAIL",
+]
 LEAST_CONFIDENCE = 0.30
 
 

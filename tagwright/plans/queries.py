@@ -306,6 +306,26 @@ def t01_classified_spans(spark, sf):
     return _classified(spark, sf).groupBy("text", "kind").agg(F.count("*").alias("n"))
 
 
+# Texts that tell kinds apart: every stop word, words that are none, cables with and without a unit, wires, dates, ratings.
+KIND_TEXTS = [*drawing.STOP_WORDS, "TITLE", "LEGEND", "TE-5223", "PT-1014-A", "FV-2233 1", "TV-7071A", "NC-12-3.5mm2", "FRT-0.6mm", "CBL-4pair", "CAB_12-7core", "WIR-1.5PR", "BK01", "OG1234", "XX01", "1-JAN-2020", "12/05/99", "IP65", "1234", "AB1", "JB-DIA-100-001", "MC-12", "MC-1 JB-2", "SPARE 3", "SPARES", "AB-1", "ABCDE_123456"]
+SQL_KIND_TEXTS = "SELECT p_partkey, t AS text FROM part JOIN (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(KIND_TEXTS)) + f") v(k, t) ON p_partkey % {len(KIND_TEXTS)} = k"
+
+
+def _matches(pattern: str) -> str:
+    return f"regexp_matches(u, '{pattern}')"
+
+
+SQL_NON_TAG = " OR ".join([*map(_matches, (drawing.DATE, "^IP[0-9]{2}$", drawing.WIRE, "^[0-9]{1,4}$", drawing.JB, drawing.MC, drawing.SPARE, drawing.CABLE)), "u IN (" + ", ".join(f"'{w}'" for w in drawing.STOP_WORDS) + ")", "length(u) < 4"])
+
+
+@query(f"""WITH v0 AS ({SQL_KIND_TEXTS}), w AS (SELECT DISTINCT text, upper(text) AS u FROM v0), n AS (SELECT *, {SQL_NON_TAG} AS non_tag FROM w)
+SELECT text, non_tag, CASE WHEN {_matches('^' + drawing.MC)} AND {_matches(drawing.JB)} THEN 'MC' WHEN {_matches(drawing.JB)} THEN 'JB' WHEN {_matches(drawing.MC)} THEN 'MC' WHEN {_matches(drawing.SPARE)} THEN 'SPARE'
+  WHEN ({_matches(drawing.TAG)} OR {_matches('^[A-Z]{{2,5}}[-_][0-9]{{1,6}}$'.replace('{{', '{').replace('}}', '}'))}) AND NOT non_tag THEN 'Tag' WHEN {_matches(drawing.CABLE)} THEN 'Cable' ELSE 'Unknown' END AS kind FROM n""")
+def t01_f19_kinds_of_words(spark, sf):
+    words = A.view(spark, sf, SQL_KIND_TEXTS).select("text").distinct()
+    return words.select("text", drawing.non_tag(F.col("text")).alias("non_tag"), drawing.kind(F.col("text")).alias("kind"))
+
+
 @query(f"WITH {SQL_KIND}, {SQL_NUMBERED} SELECT pdf, page, token, kind, number FROM numbered")
 def w01_position_numbers(spark, sf):
     return drawing.numbered(_classified(spark, sf))
@@ -391,9 +411,28 @@ def a19_fill_rates(spark, sf):
     return consolidate.fill_rates(consolidate.merge(_books(spark, sf)).select("tag", "io_type", "safety", "jb", "cable"))
 
 
-@query("SELECT upper(trim(p_name)) AS tag, p_partkey FROM part WHERE upper(trim(p_name)) NOT IN ('', 'NAN', 'NONE', '-', 'N/A') AND NOT regexp_matches(upper(p_name), 'TOTAL|SUM|NOTE|PAGE|REV|COVER|LEGEND') AND length(trim(p_name)) <= 30 AND NOT (trim(p_name) LIKE '% %' AND NOT regexp_matches(upper(trim(p_name)), '^[A-Z0-9]+ [A-Z0-9-]+$')) AND NOT regexp_matches(upper(trim(p_name)), '^[A-Z]{11,}$')")
+# Tags of parts, and in between each text that a row may be dropped for, some that it may not, in turn.
+ROW_TEXTS = [*consolidate.SKIP_WORDS, "TITLE", "COVER", "Legend", "rev", "note", "remark", "Subtotal", "n/a", "nan", "None", "-", "", "TE 101", "PT-12A", "ABCDEFGHIJK", "A.B-C_DEFGHIJ", "ABCDEFGHIJ", "X" * 31, "te-55", "Page 3", "datexx", "DATE: 5"]
+SQL_ROW_TEXTS = "SELECT CASE WHEN p_partkey % 3 = 0 THEN concat('te-', CAST(p_partkey AS STRING)) ELSE t END AS tag, p_partkey FROM part JOIN (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(ROW_TEXTS)) + f") v(k, t) ON p_partkey % {len(ROW_TEXTS)} = k"
+
+
+@query(f"WITH v0 AS ({SQL_ROW_TEXTS}) SELECT upper(trim(tag)) AS tag, p_partkey FROM v0 WHERE upper(trim(tag)) NOT IN ('', 'NAN', 'NONE', '-', 'N/A') AND NOT regexp_matches(lower(tag), '{'|'.join(consolidate.SKIP_WORDS)}') AND length(trim(tag)) <= 30 AND trim(tag) NOT LIKE '% %' AND NOT (regexp_matches(regexp_replace(trim(tag), '[._-]', '', 'g'), '^[A-Za-z]+$') AND length(trim(tag)) > 10)")
 def f11_f12_data_rows(spark, sf):
-    return consolidate.data_rows(A.view(spark, sf, "SELECT p_name AS tag, p_partkey FROM part"))
+    return consolidate.data_rows(A.view(spark, sf, SQL_ROW_TEXTS))
+
+
+SQL_SHEETS = "SELECT concat('file_', CAST(o_custkey % 50 AS STRING)) AS file, t AS sheet, k AS place, r AS row, CASE WHEN r = 0 THEN CASE WHEN k % 2 = 0 THEN array('Tag No.', 'x') ELSE array('a', 'b') END WHEN k % 3 = 0 THEN array('TE-101', 'y') ELSE array('some text', 'y') END AS cells FROM (SELECT DISTINCT o_custkey % 50 AS o_custkey FROM orders) o CROSS JOIN (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate([*consolidate.SKIP_SHEETS, "Data", "Sheet1", "Cover data", "IO List", "Notes 2", "Signals", "Loops"])) + ") v(k, t) CROSS JOIN (VALUES (0), (1), (2), (3), (4)) n(r) WHERE r <= k % 5 + 1"
+SQL_DATA_SHEETS = "sheets AS (SELECT file, sheet, place, count(*) FILTER (row > 0) AS n, bool_or(row = 0 AND cells[1] = 'Tag No.') AS named, count(*) FILTER (row > 0 AND cells[1] = 'TE-101') AS alike FROM cells GROUP BY file, sheet, place), ok AS (SELECT file, sheet, place FROM sheets WHERE n >= 3 AND (named OR alike >= 3) AND NOT regexp_matches(lower(sheet), '" + "|".join(consolidate.SKIP_SHEETS) + "'))"
+
+
+@query(f"WITH cells AS ({SQL_SHEETS.replace('array(', 'list_value(')}), {SQL_DATA_SHEETS} SELECT * FROM ok")
+def f13_data_sheets(spark, sf):
+    return consolidate.data_sheets(A.view(spark, sf, SQL_SHEETS))
+
+
+@query(f"WITH cells AS ({SQL_SHEETS.replace('array(', 'list_value(')}), {SQL_DATA_SHEETS} SELECT file, arg_min(sheet, place) AS sheet FROM ok GROUP BY file")
+def s08_first_data_sheet(spark, sf):
+    return consolidate.first_sheets(A.view(spark, sf, SQL_SHEETS))
 
 
 # Review loop --------------------------------------------------------------------------------------------------------------------
