@@ -267,6 +267,24 @@ def j07_u02_unmatched(spark, sf):
     return match.unmatched(_tags(spark, sf), _refs(spark, sf))
 
 
+# A list that lacks some of the drawings' tags and holds others that are on no drawing.
+SHIFTED_REFERENCE = "SELECT concat('TE-', CAST(p_partkey + 300 AS STRING)) AS reference, p_partkey AS ref_seq FROM part"
+
+
+@query(f"""WITH {SQL_KIND}, {SQL_EXACT.replace(A.IO_REFERENCE, SHIFTED_REFERENCE)}, e AS (SELECT * FROM exact WHERE upper(tag) NOT LIKE 'NC%')
+SELECT tag, 'PDF (OCR)' AS source, 'Found in PDF but not in IO List' AS status, 'WARNING' AS severity, 'Verify tag correctness or add to IO List' AS action, 'Not Matched' AS match_type FROM e WHERE reference IS NULL
+UNION ALL SELECT reference, 'IO List', 'In IO List but not found in PDF', 'INFO', 'Check if tag should appear in PDF', 'N/A' FROM r WHERE reference NOT IN (SELECT reference FROM e WHERE reference IS NOT NULL)""")
+def k03_unmatched_report(spark, sf):
+    refs = match.references(A.view(spark, sf, SHIFTED_REFERENCE))
+    return match.unmatched_report(match.unmatched(_tags(spark, sf), refs))
+
+
+@query("SELECT 'N/A' AS tag, 'N/A' AS source, 'All tags matched successfully!' AS status, 'SUCCESS' AS severity, 'No action needed' AS action, 'N/A' AS match_type")
+def k03_report_of_nothing(spark, sf):
+    refs = _refs(spark, sf)
+    return match.unmatched_report(match.unmatched(refs.select(F.col("reference").alias("tag")), refs))
+
+
 @query(f"WITH {SQL_REFS} SELECT reference, regexp_replace(regexp_replace(reference, '([^A-Z0-9])', '\\\\\\1', 'g'), '[0-9]', '#', 'g') AS shape FROM r")
 def h10_digit_shapes(spark, sf):
     return _refs(spark, sf).select("reference", match.digit_shape(F.col("reference")).alias("shape"))
