@@ -5,6 +5,8 @@ spans: pdf, page, x, y, w, h, text, confidence, seq.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,82 @@ def non_tag(c: Column) -> Column:
     return u.rlike(DATE) | u.rlike("^IP[0-9]{2}$") | u.isin(STOP_WORDS) | u.rlike(WIRE) | u.rlike("^[0-9]{1,4}$") | (F.length(u) < 4) | u.rlike(JB) | u.rlike(MC) | u.rlike(SPARE) | u.rlike(CABLE)
 
 
+def looks_like_tag(c: Column) -> Column:
+    """A tag by pattern, with a digit, that is no date, rating, stop word, wire, box, cable or bare number."""
+    u = F.upper(F.trim(c))
+    return F.coalesce(u.rlike(TAG) & u.rlike("[0-9]") & ~non_tag(u), F.lit(False))
+
+
+def with_spaced_suffix(text: Column, tag: Column) -> Column:
+    """The tag, with the number of up to three digits that alone follows it in its span's text, set off by spaces."""
+    u = F.regexp_replace(F.upper(text), r"^\s+|\s+$", "")
+    after = F.substring(u, F.length(tag) + 1, F.length(u))
+    return F.when(u.startswith(F.upper(tag)) & after.rlike(r"^\s+[0-9]{1,3}$"), F.concat(tag, F.lit(" "), F.regexp_extract(after, "[0-9]+", 0))).otherwise(tag)
+
+
+def with_area_prefix(jb: Column, examples: list[str]) -> Column:
+    """A box's name with the area number of the first configured example (digits, then letters) whose letters it begins with."""
+    out = None
+    for example in examples:
+        found = re.fullmatch(r"[^A-Z0-9]*([0-9]+)[^A-Z0-9]*([A-Z]+)[^A-Z0-9]*", example)
+        if found:
+            area, letters = found.groups()
+            holds, put = jb.startswith(letters) & ~jb.startswith(area), F.concat(F.lit(area), jb)
+            out = F.when(holds, put) if out is None else out.when(holds, put)
+    return jb if out is None else out.otherwise(jb)
+
+
+def written_spares(c: Column) -> Column:
+    """The number of one or two digits right before a spare label, else right after it; null without one."""
+    parts = r"(?is)^(.*?)\bSPARE(?:\s*[0-9]+)?\b(.*)$"
+    number = lambda side, p: F.nullif(F.regexp_extract(F.regexp_extract(c, parts, side), p, 1), F.lit(""))
+    return F.coalesce(number(1, r"(?:^|\s)([0-9]{1,2})\s*$"), number(2, r"^\s*([0-9]{1,2})(?:\s|$)")).cast("int")
+
+
+def spare_counts(spans: DataFrame) -> DataFrame:
+    """(pdf, page, seq, spares): what each spare label stands for. Where a page has one label, the number in its text, else the nearest on
+    its row; one otherwise."""
+    s = spans.filter("kind = 'SPARE'")
+    labels = s.groupBy("pdf", "page").agg(F.count("*").alias("labels"))
+    near = nearest_count(spans).withColumnRenamed("spares", "near")
+    found = s.select("pdf", "page", "seq", written_spares(F.col("text")).alias("own")).join(labels, ["pdf", "page"]).join(near, ["pdf", "page", "seq"], "left")
+    return found.select("pdf", "page", "seq", F.when(F.col("labels") == 1, F.coalesce("own", "near", F.lit(1))).otherwise(1).alias("spares"))
+
+
+def usable_pages(spans: DataFrame, most: float = 0.05) -> DataFrame:
+    """(pdf, page, usable): pages whose text layer has a letter or digit, and no more than a share of characters that can't be printed."""
+    broken = F.length("text") - F.length(F.regexp_replace("text", r"[\p{C}\x{FFFD}&&[^\t-\r\x1c-\x1f\x85]]", ""))
+    p = spans.groupBy("pdf", "page").agg(F.sum(F.length("text")).alias("n"), F.sum(broken).alias("broken"), F.coalesce(F.bool_or(F.col("text").rlike(r"[\p{L}\p{N}]")), F.lit(False)).alias("some"))
+    return p.select("pdf", "page", (F.col("some") & (F.col("broken") <= most * F.col("n"))).alias("usable"))
+
+
+def pair_status(pair: Column, highest: Column) -> Column:
+    """Whether a cable's pair number equals the highest number of its page's tags. The texts are fixed values."""
+    off = F.format_string("WARNING: Pair number (%d) != Max Tag number (%d)", pair, highest)
+    return (
+        F.when(pair.isNull(), "WARNING: Could not extract pair number from cable description")
+        .when(F.coalesce(highest, F.lit(0)) <= 0, "WARNING: No tag numbers found").when(pair == highest, "OK").otherwise(off)
+    )
+
+
+def pair_consistency(spans: DataFrame) -> DataFrame:
+    """(pdf, page, pair, highest, status) for every page: its best cable's pair number against its tags' highest number."""
+    highest = numbered(spans).filter("kind = 'Tag'").groupBy("pdf", "page").agg(F.max("number").alias("highest"))
+    pairs = best_cable(spans).select("pdf", "page", X.pair_number(F.col("cable")).alias("pair"))
+    pages = spans.select("pdf", "page").distinct().join(highest, ["pdf", "page"], "left").join(pairs, ["pdf", "page"], "left")
+    return pages.select("pdf", "page", "pair", "highest", pair_status(F.col("pair"), F.col("highest")).alias("status"))
+
+
+def number_consistency(inter: DataFrame) -> DataFrame:
+    """(pdf, page, highest, consistent): whether the numbers of a page's intermediate rows are exactly 1 to the highest."""
+    return inter.groupBy("pdf", "page").agg(F.max("number").alias("highest"), (F.countDistinct("number") == F.max("number")).alias("consistent"))
+
+
+def document_label(c: Column) -> Column:
+    """The class of a document by its classifier's label; diagrams unless the label speaks of a table."""
+    return F.when(F.lower(F.trim(c)).contains("table"), "table").otherwise("diagrams")
+
+
 def kind(c: Column) -> Column:
     """The first of JB, MC, SPARE, Tag, Cable that a span's text holds; an MC at its start owns a span with a JB further on."""
     u = F.upper(F.trim(c))

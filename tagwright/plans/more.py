@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import assign, clean, dims, drawing, match, review, store, textmode
 from ..sources import workbooks
 from . import adapters as A
-from .queries import SQL_EXACT, SQL_INTER, SQL_KIND, SQL_NORMAL, SQL_REFS, _assigned, _classified, _clean, _io, _refs, _rows, _spans, _tags, query
+from .queries import SQL_EXACT, SQL_INTER, SQL_KIND, SQL_NORMAL, SQL_NUMBERED, SQL_REFS, _assigned, _classified, _clean, _io, _refs, _rows, _spans, _tags, query
 
 PAGES = "SELECT o_orderkey AS pdf, CAST(o_custkey AS BIGINT) AS pages, CAST(floor(o_totalprice) AS BIGINT) % 60 AS chars, (o_orderkey % 10) / CAST(9.0 AS DOUBLE) AS hidden, (o_custkey % 10) / CAST(9.0 AS DOUBLE) AS image FROM orders"
 
@@ -131,7 +131,49 @@ def a17_pdf_stats(spark, sf):
 
 @query(f"WITH {SQL_KIND}, {SQL_INTER} SELECT pdf, page, max(number) AS highest, count(DISTINCT number) = max(number) AS consistent FROM inter GROUP BY pdf, page")
 def a23_number_consistency(spark, sf):
-    return drawing.intermediate(_classified(spark, sf)).groupBy("pdf", "page").agg(F.max("number").alias("highest"), (F.countDistinct("number") == F.max("number")).alias("consistent"))
+    return drawing.number_consistency(drawing.intermediate(_classified(spark, sf)))
+
+
+NO_PAIR, NO_NUMBER = "WARNING: Could not extract pair number from cable description", "WARNING: No tag numbers found"
+PAIRS = "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'CBL' ELSE concat(CAST(p_size AS STRING), ' PAIR') END AS cable, CAST(CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN 0 ELSE 7 END AS INT) AS highest FROM part"
+
+
+@query(f"WITH p AS ({PAIRS}), n AS (SELECT *, CAST(nullif(regexp_extract(cable, '([0-9]+) PAIR', 1), '') AS INT) AS pair FROM p) SELECT p_partkey, pair, CASE WHEN pair IS NULL THEN '{NO_PAIR}' WHEN highest = 0 THEN '{NO_NUMBER}' WHEN pair = highest THEN 'OK' ELSE concat('WARNING: Pair number (', pair, ') != Max Tag number (', highest, ')') END AS status FROM n")
+def a30_pair_status(spark, sf):
+    p = A.view(spark, sf, PAIRS).withColumn("pair", X.pair_number(F.col("cable")))
+    return p.select("p_partkey", "pair", drawing.pair_status(F.col("pair"), F.col("highest")).alias("status"))
+
+
+@query(f"WITH {SQL_KIND}, {SQL_NUMBERED}, h AS (SELECT pdf, page, max(number) FILTER (kind = 'Tag') AS highest FROM numbered GROUP BY pdf, page), p AS (SELECT DISTINCT pdf, page FROM s) SELECT p.pdf, p.page, CAST(NULL AS INT) AS pair, highest, '{NO_PAIR}' AS status FROM p LEFT JOIN h ON p.pdf = h.pdf AND p.page = h.page")
+def a22_pair_consistency(spark, sf):
+    return drawing.pair_consistency(_classified(spark, sf))
+
+
+TEXTS = ["SPARE", "2 SPARE", "SPARE 3", "12 spare 3 4", "SPARE 3 5 x", "x3 SPARE 5", "101 SPARE", " 7  SPARE", "SPARES 4", "a 4SPARE", "TE-5223", "PT-1014-A", "fv-2233 1", "FV-2233 1", " FV-2233  12 ", "FV-2233 1234", "JB-12", "JM506", "1201JM506", "XJM506", "NOTE", "data Table", "line diagram", "IP65", ""]
+SQL_TEXTS = "SELECT p_partkey, t AS text FROM part JOIN (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(TEXTS)) + f") v(k, t) ON p_partkey % {len(TEXTS)} = k"
+SPARE_SQL = "(?is)^(.*?)\\bSPARE(?:\\s*[0-9]+)?\\b(.*)$"
+
+
+@query(f"WITH v AS ({SQL_TEXTS}) SELECT p_partkey, CAST(coalesce(nullif(regexp_extract(regexp_extract(text, '{SPARE_SQL}', 1), '(?:^|\\s)([0-9]{{1,2}})\\s*$', 1), ''), nullif(regexp_extract(regexp_extract(text, '{SPARE_SQL}', 2), '^\\s*([0-9]{{1,2}})(?:\\s|$)', 1), '')) AS INT) AS spares FROM v")
+def x24_written_spares(spark, sf):
+    return A.view(spark, sf, SQL_TEXTS).select("p_partkey", drawing.written_spares(F.col("text")).alias("spares"))
+
+
+@query(f"WITH v AS ({SQL_TEXTS}) SELECT p_partkey, CASE WHEN regexp_matches(text, '(?i)^\\s*FV-2233\\s+[0-9]{{1,3}}\\s*$') THEN concat('FV-2233 ', regexp_extract(text, '([0-9]+)\\s*$', 1)) ELSE 'FV-2233' END AS tag, CASE WHEN text LIKE 'JM%' THEN concat('1201', text) ELSE text END AS jb, CASE WHEN lower(text) LIKE '%table%' THEN 'table' ELSE 'diagrams' END AS label FROM v")
+def x21_x22_x27_texts(spark, sf):
+    c = F.col("text")
+    return A.view(spark, sf, SQL_TEXTS).select("p_partkey", drawing.with_spaced_suffix(c, F.lit("FV-2233")).alias("tag"), drawing.with_area_prefix(c, ["JB", "1201JM", "77JM"]).alias("jb"), drawing.document_label(c).alias("label"))
+
+
+@query("WITH c AS (SELECT doc_id, coalesce(length(text), 0) AS n, coalesce(length(text) - length(regexp_replace(text, '[^\\t-\\r\\x1c-\\x1f\\x{85}\\P{C}]|\\x{FFFD}', '', 'g')), 0) AS broken, coalesce(regexp_matches(text, '[\\p{L}\\p{N}]'), false) AS filled FROM documents) SELECT doc_id, filled AND broken <= 0.05 * n AS usable FROM c")
+def f18_usable_texts(spark, sf):
+    pages = A.view(spark, sf, "SELECT doc_id AS pdf, doc_id AS page, text FROM documents")
+    return drawing.usable_pages(pages).select(F.col("pdf").alias("doc_id"), "usable")
+
+
+@query(f"WITH {SQL_KIND}, n AS (SELECT pdf, page, count(*) AS labels FROM s WHERE kind = 'SPARE' GROUP BY pdf, page) SELECT s.pdf, s.page, seq, 1 AS spares FROM s JOIN n ON s.pdf = n.pdf AND s.page = n.page WHERE kind = 'SPARE'")
+def x24_spare_counts(spark, sf):
+    return drawing.spare_counts(_classified(spark, sf))
 
 
 @query(f"WITH l AS ({A.RUN_LOG}), g AS (SELECT run_id, level, count(*) AS n FROM l GROUP BY run_id, level), k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, level DESC) AS k FROM g) SELECT run_id, level AS label FROM k WHERE k = 1")
