@@ -314,3 +314,20 @@ def test_log_stream(spark, tmp_path):
     q = logs.append_log(spark.readStream.schema("id int, level string").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_spare_counts_and_usable_pages(spark):
+    s = "pdf string, page int, x int, y int, w int, h int, text string, kind string, token string, seq int"
+    rows = [
+        ("a", 1, 0, 0, 50, 20, "2 SPARE", "SPARE", "2 SPARE", 1), ("a", 2, 0, 0, 50, 20, "SPARE", "SPARE", "SPARE", 1), ("a", 2, 60, 0, 9, 20, "4", "Unknown", "4", 2),
+        ("a", 3, 0, 0, 50, 20, "3 SPARE", "SPARE", "3 SPARE", 1), ("a", 3, 0, 90, 50, 20, "SPARE", "SPARE", "SPARE", 2), ("a", 4, 0, 0, 9, 9, "�\x01ab", "Unknown", "", 1), ("a", 5, 0, 0, 9, 9, "- \t", "Unknown", "", 1),
+    ]
+    spans = frame(spark, rows, s)
+    assert {(r["page"], r["seq"]): r["spares"] for r in drawing.spare_counts(spans).collect()} == {(1, 1): 2, (2, 1): 4, (3, 1): 1, (3, 2): 1}
+    assert {r["page"]: r["usable"] for r in drawing.usable_pages(spans).collect()} == {1: True, 2: True, 3: True, 4: False, 5: False}
+
+
+def test_tag_looks(spark):
+    texts = ["TE-5223", "NOTE", "IP65", "12-JUL-2025", "PT-1014-A", "", None]
+    got = frame(spark, [(t,) for t in texts], "t string").select(drawing.looks_like_tag(F.col("t")).alias("k")).collect()
+    assert [r["k"] for r in got] == [True, False, False, False, True, False, False]
