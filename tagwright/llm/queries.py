@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import op6_secrets as secret_scan
 from . import op10_snapshots as snapshots
 from . import op11_merkle as merkle
+from . import op12_divergence as divergences
 from .common import table
 from .op1_token_counts import token_counts
 from .op2_attention import attention_scores
@@ -67,6 +68,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.without_newlines())
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences.divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,8 +79,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_attention, op3_pii, op4_byte_bpe, op5_multi_index, op6_secrets, op7_simhash, op8_decontamination, op9_toxicity, op10_snapshots, op11_merkle, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_attention, op3_pii, op4_byte_bpe, op5_multi_index, op6_secrets, op7_simhash, op8_decontamination, op9_toxicity, op10_snapshots, op11_merkle, op12_divergence, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secrets": secret_scan.ORACLE_SQL, "op10_snapshots": snapshots.ORACLE_SQL, "op11_merkle": merkle.ORACLE_SQL}
+    return {"op6_secrets": secret_scan.ORACLE_SQL, "op10_snapshots": snapshots.ORACLE_SQL, "op11_merkle": merkle.ORACLE_SQL, "op12_divergence": divergences.ORACLE_SQL}
