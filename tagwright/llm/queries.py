@@ -11,6 +11,7 @@ from . import op6_secrets as secret_scan
 from . import op10_snapshots as snapshots
 from . import op11_merkle as merkle
 from . import op12_divergence as divergences
+from . import op13_robust_graph as graphs
 from .common import table
 from .op1_token_counts import token_counts
 from .op2_attention import attention_scores
@@ -72,6 +73,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergences.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_robust_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_attention, op3_pii, op4_byte_bpe, op5_multi_index, op6_secrets, op7_simhash, op8_decontamination, op9_toxicity, op10_snapshots, op11_merkle, op12_divergence, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_attention, op3_pii, op4_byte_bpe, op5_multi_index, op6_secrets, op7_simhash, op8_decontamination, op9_toxicity, op10_snapshots, op11_merkle, op12_divergence, op13_robust_graph, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
