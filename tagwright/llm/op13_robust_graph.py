@@ -31,7 +31,7 @@ from .robust_graph import BEAM, RobustGraph, medoid
 
 LEAST, REACH = 0.98, 0.95
 #: Vectors to a task; vectors that centroids are fitted on, centroids to a split, and vectors to a task of a split.
-CAPACITY, SAMPLE, CENTROIDS, PIECE = 4096, 8192, 32, 20_000
+CAPACITY, SAMPLE, CENTROIDS, PIECE = 8192, 8192, 32, 20_000
 #: A split is taken if it leaves less than this of the pairs.
 WORTH = 0.7
 #: Vectors audited in a task, and the share of their links that must be found.
@@ -129,11 +129,11 @@ def _forest(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def _found(graph: RobustGraph, x: np.ndarray, least: float, reach: float, beam: int) -> np.ndarray:
-    """Which pairs are linked, as a symmetric bitmap; those near the threshold verified in double precision."""
+def _found(graph: RobustGraph, x: np.ndarray, asked: np.ndarray, least: float, reach: float, beam: int) -> np.ndarray:
+    """Which pairs are linked, as a symmetric bitmap, by searches for the vectors asked; those near the threshold verified in double precision."""
     linked = np.zeros((len(x), len(x)), bool)
     near: list[np.ndarray] = []
-    for rows, nodes, close in graph.in_range(least - SLACK, reach, beam):
+    for rows, nodes, close in graph.in_range(asked, least - SLACK, reach, beam):
         sure = close >= least + SLACK
         linked[rows[sure], nodes[sure]] = True
         near.append(np.stack([rows[~sure], nodes[~sure]], 1))
@@ -159,11 +159,12 @@ def _search(rows: pd.DataFrame, least: float, reach: float, beam: int) -> pd.Dat
     single = x.astype(np.float32)
     starts = np.concatenate([np.flatnonzero(chunk == c)[medoid(single[chunk == c])] for c in np.unique(chunk)])
     graph = RobustGraph(single, links, starts)
-    audited = np.unique(np.linspace(0, len(ids) - 1, min(AUDITED, len(ids))).astype(int))
+    asked = np.flatnonzero(chunk == chunk.min())  # where two chunks meet, one asks for the other's
+    audited = asked[np.unique(np.linspace(0, len(asked) - 1, min(AUDITED, len(asked))).astype(int))]
     true = x[audited] @ x.T >= least
     true[np.arange(len(audited)), audited] = False
     while True:
-        linked = _found(graph, x, least, reach, beam)
+        linked = _found(graph, x, asked, least, reach, beam)
         hit = (linked[audited] & true).sum(1)
         if hit.sum() >= AUDIT * true.sum() or beam >= len(ids):
             break
@@ -173,7 +174,8 @@ def _search(rows: pd.DataFrame, least: float, reach: float, beam: int) -> pd.Dat
     for other in sorted({s for x in rows["shards"] for s in x if s < shard}):
         both = np.array([other in s for s in rows["shards"]])
         linked[np.ix_(both, both)] = False
-    n = linked @ rows["m"].to_numpy(np.int64)
+    m = rows["m"].to_numpy(np.int64)
+    n = np.concatenate([linked[i : i + 256] @ m for i in range(0, len(ids), 256)])
     out = pd.DataFrame({"id": ids, "n": n, "root": ids[_forest(linked)], "tested": 0, "hit": 0})
     out.loc[audited, "tested"], out.loc[audited, "hit"] = true.sum(1), hit
     return out[(out["n"] > 0) | (out["tested"] > 0)]

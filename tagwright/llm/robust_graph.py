@@ -9,8 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
-DEGREE, BEAM, ALPHA, EXPAND = 24, 40, 1.2, 4
-QUERIES, CANDIDATES = 128, 96
+#: Neighbours that pruning leaves, and as many again half for links back before a list is pruned again.
+DEGREE, BEAM, ALPHA, EXPAND = 16, 16, 1.2, 4
+QUERIES, CANDIDATES = 128, 48
 
 
 class RobustGraph:
@@ -23,37 +24,44 @@ class RobustGraph:
     def built(cls, x: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> RobustGraph:
         """Insertion in random order, twice: in the second round every vector searches the whole graph."""
         n = len(x)
-        graph = cls(x, np.full((n, degree), -1, np.int32), medoid(x))
+        graph = cls(x, np.full((n, degree + degree // 2), -1, np.int32), medoid(x))
         order = np.random.default_rng(n).permutation(n)
         order = np.concatenate([graph.starts, order[order != graph.starts[0]]])
         done = 1
         while done < n:
             batch = order[done : done + min(done, QUERIES)]
-            graph._insert(batch, 1.0, beam)
+            graph._insert(batch, degree, 1.0, beam)
             done += len(batch)
         for i in range(0, n, QUERIES):
-            graph._insert(order[i : i + QUERIES], ALPHA, beam)
+            graph._insert(order[i : i + QUERIES], degree, ALPHA, beam)
         return graph
 
-    def _insert(self, batch: np.ndarray, alpha: float, beam: int) -> None:
+    def _insert(self, batch: np.ndarray, degree: int, alpha: float, beam: int) -> None:
         visited, _, _ = self._greedy(self.x[batch], beam)
-        self.links[batch] = self._pruned(batch, np.concatenate([visited, self.links[batch]], 1), alpha)
-        # Each new neighbour links back; a list that would be too long is pruned.
+        self.links[batch] = self._pruned(batch, np.concatenate([visited, self.links[batch]], 1), degree, alpha)
+        # Each new neighbour links back; a list without room is pruned.
         source = np.repeat(batch, self.links.shape[1])
         target = self.links[batch].ravel()
         source, target = source[target >= 0], target[target >= 0]
+        known = (self.links[target] == source[:, None]).any(1)
+        source, target = source[~known], target[~known]
         order = np.argsort(target, kind="stable")
         source, target = source[order], target[order]
         nodes, first, count = np.unique(target, return_index=True, return_counts=True)
+        held = (self.links[nodes] >= 0).sum(1)
+        room = np.repeat(held + count <= self.links.shape[1], count)
+        place = np.arange(len(target)) - np.repeat(first, count)
+        self.links[target[room], (np.repeat(held, count) + place)[room]] = source[room]
         back = np.full((len(nodes), count.max(initial=0)), -1, np.int32)
-        back[np.repeat(np.arange(len(nodes)), count), np.arange(len(target)) - np.repeat(first, count)] = source
-        for i in range(0, len(nodes), QUERIES):
-            part = slice(i, i + QUERIES)
-            self.links[nodes[part]] = self._pruned(nodes[part], np.concatenate([self.links[nodes[part]], back[part]], 1), alpha)
+        back[np.repeat(np.arange(len(nodes)), count), place] = source
+        full = np.flatnonzero(held + count > self.links.shape[1])
+        for i in range(0, len(full), QUERIES):
+            at = full[i : i + QUERIES]
+            self.links[nodes[at]] = self._pruned(nodes[at], np.concatenate([self.links[nodes[at]], back[at]], 1), degree, alpha)
 
-    def _pruned(self, nodes: np.ndarray, candidates: np.ndarray, alpha: float) -> np.ndarray:
+    def _pruned(self, nodes: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
         """Robust pruning: the nearest candidate stays, those that it is closer to than the node is (by alpha) go, and so on."""
-        degree, rows = self.links.shape[1], np.arange(len(nodes))[:, None]
+        rows = np.arange(len(nodes))[:, None]
         candidates = np.sort(np.where(candidates == nodes[:, None], -1, candidates), 1)
         candidates[:, 1:][candidates[:, 1:] == candidates[:, :-1]] = -1
         far = 1 - np.einsum("nd,ncd->nc", self.x[nodes], self.x[candidates])
@@ -62,7 +70,7 @@ class RobustGraph:
         if order.shape[1] > CANDIDATES:  # the nearest, and evenly some of the rest: far ones keep the graph in one piece
             order = np.concatenate([order[:, : CANDIDATES // 2], order[:, np.linspace(CANDIDATES // 2, order.shape[1] - 1, CANDIDATES // 2).astype(int)]], 1)
         candidates, far = candidates[rows, order], far[rows, order]
-        out = np.full((len(nodes), degree), -1, np.int32)
+        out = np.full((len(nodes), self.links.shape[1]), -1, np.int32)
         alive = np.isfinite(far)
         vectors = self.x[candidates]
         for k in range(degree):
@@ -136,21 +144,21 @@ class RobustGraph:
             ids, near, open_ = ids[at, best], near[at, best], open_[at, best]
         return np.concatenate(visited, 1), seen, log
 
-    def in_range(self, least: float, reach: float, beam: int = BEAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(node, other, closeness) for all nodes: others of at least that closeness found. A beam search from the starts, and then from
+    def in_range(self, asked: np.ndarray, least: float, reach: float, beam: int = BEAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(node, other, closeness) for the nodes asked: others of at least that closeness found. A beam search from the starts, and then from
         each node within ``reach``, the queried one included, on to its neighbours until nothing new is within reach."""
         other, first = self._either_way()
-        for start in range(0, len(self.x), QUERIES):
-            q = self.x[start : start + QUERIES]
+        for start in range(0, len(asked), QUERIES):
+            node = asked[start : start + QUERIES]
+            q, own = self.x[node], np.arange(len(node))
             _, seen, log = self._greedy(q, beam)
-            own = np.arange(len(q))
-            own = own[~seen[own, own + start]]
-            seen[own, own + start] = True
-            log.append((own, own + start, np.ones(len(own), np.float32)))
+            own = own[~seen[own, node]]
+            seen[own, node[own]] = True
+            log.append((own, node[own], np.ones(len(own), np.float32)))
             rows, nodes, close = (np.concatenate(c) for c in zip(*log, strict=True))
             while len(rows):
                 good = close >= least
-                yield rows[good] + start, nodes[good], close[good]
+                yield node[rows[good]], nodes[good], close[good]
                 wide = close >= reach
                 rows, nodes, more = rows[wide], nodes[wide], []
                 count = first[nodes + 1] - first[nodes]
