@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import catalogue, drawing, spatial
+from ..functions import text as X
+from ..operators import catalogue, drawing, match, recovery, spatial
+from ..sources import fonts
 from ..sources.tables import stored
 from . import adapters as A
 from .queries import _refs, query
@@ -171,3 +174,80 @@ UNION ALL SELECT pdf, page, seq, seq + 2, CASE WHEN n % 2 = 0 THEN 'TE - ' ELSE
 def j09_joined_fragments(spark, sf):
     spans = A.view(spark, sf, FRAGMENTS).withColumn("known", F.col("text").rlike(drawing.TAG))
     return spatial.joined_fragments(spans, _refs(spark, sf)).select("pdf", "page", "seq", "last_seq", "text", "x", "w")
+
+
+# Recovery ---------------------------------------------------------------------------------------------------------------------------
+# Tokens near and far from what the references begin with; references with attached and dashed area numbers as well.
+NEAR_TAGS = """
+SELECT DISTINCT concat('see ', CASE l_partkey % 11 WHEN 0 THEN 'TE-' WHEN 1 THEN 'TEE-' WHEN 2 THEN 'T-' WHEN 3 THEN 'ZQ-' WHEN 4 THEN 'PT' WHEN 5 THEN '12PT-' WHEN 6 THEN '7-LIT-' WHEN 7 THEN 'LIT-' WHEN 8 THEN '12XX' WHEN 9 THEN 'ABCDEFG' ELSE 'TE_' END,
+  CAST(l_suppkey % 97 + CASE WHEN l_linenumber > 3 THEN 1000 ELSE 1 END AS STRING), CASE l_linenumber WHEN 1 THEN '-A' WHEN 2 THEN 'BC' ELSE '' END, ' end') AS text FROM lineitem
+"""
+NEAR_REFERENCE = """
+SELECT p_partkey AS ref_seq, CASE p_partkey % 4 WHEN 0 THEN concat('TE-', CAST(p_partkey AS STRING)) WHEN 1 THEN concat('12PT-', CAST(p_partkey AS STRING)) WHEN 2 THEN concat('7-LIT-', CAST(p_partkey AS STRING)) ELSE concat('PDT_', CAST(p_partkey AS STRING), 'A') END AS reference FROM part
+"""
+SQL_NEAR = f"""
+n AS (SELECT DISTINCT replace(upper(trim(reference)), '_', '-') AS t FROM ({NEAR_REFERENCE}) x), f AS (SELECT min(length(t)) AS shortest, max(length(t)) AS longest, avg(CASE WHEN t LIKE '%-%' THEN 1.0 ELSE 0.0 END) AS hyphens FROM n),
+d AS (SELECT avg(length(run)) AS mean_run FROM (SELECT unnest(regexp_extract_all(t, '[0-9]+')) AS run FROM n) x),
+w AS (SELECT DISTINCT replace(split_part(text, ' ', 2), '_', '-') AS tag, text FROM ({NEAR_TAGS}) x),
+p AS (SELECT *, CASE WHEN regexp_matches(tag, '^[0-9]{{1,4}}-[A-Z]{{1,6}}[-0-9]') THEN split_part(tag, '-', 2) ELSE regexp_extract(tag, '^[A-Z0-9]+') END AS prefix,
+  regexp_full_match(tag, '{"|".join(recovery.SHAPES)}') AS shaped FROM w),
+s AS (SELECT text, tag, CASE WHEN NOT shaped OR length(tag) < 4 THEN 0.0 ELSE least(1.0, 0.35 + CASE WHEN prefix IN ('TE', 'PT', 'LIT', 'PDT') THEN 0.35 WHEN levenshtein(prefix, 'TE') <= 1 OR levenshtein(prefix, 'PT') <= 1 OR levenshtein(prefix, 'LIT') <= 1 OR levenshtein(prefix, 'PDT') <= 1 THEN 0.22 ELSE 0.0 END
+  + CASE WHEN length(tag) BETWEEN shortest - 2 AND longest + 2 THEN 0.15 ELSE 0.0 END + 0.1 * greatest(0.0, 1 - abs(length(regexp_extract(tag, '[0-9]+')) - mean_run) / greatest(mean_run, 1.0))
+  + CASE WHEN (hyphens >= 0.5) = (tag LIKE '%-%') THEN 0.1 ELSE 0.0 END) END AS score FROM p, f, d)"""
+
+
+@query(f"WITH {SQL_NEAR} SELECT DISTINCT tag, round(CAST(score AS DOUBLE), 9) AS score FROM s")
+def h18_profile_scores(spark, sf):
+    tags = A.view(spark, sf, NEAR_TAGS).select(X.canonical_tag(F.split("text", " ")[1]).alias("tag")).distinct()
+    return recovery.scored(tags, match.references(A.view(spark, sf, NEAR_REFERENCE))).select("tag", F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH {SQL_NEAR} SELECT text, tag, round(CAST(score AS DOUBLE), 9) AS score FROM s WHERE length(tag) >= 4 AND (score >= 0.62
+  OR (regexp_full_match(tag, '[A-Z0-9]{{2,6}}-?[A-Z0-9]{{1,10}}(-[A-Z0-9]{{1,10}}){{0,3}}') AND regexp_matches(tag, '^(TE|PDT|12PT)[-0-9]|^[0-9]{{1,4}}-LIT[-0-9]')))""")
+def h19_h21_profile_candidates(spark, sf):
+    found = recovery.candidates(A.view(spark, sf, NEAR_TAGS), match.references(A.view(spark, sf, NEAR_REFERENCE)))
+    return found.select("text", "tag", F.round("score", 9).alias("score"))
+
+
+# Readings of references with one, two or three characters taken for others, in both directions.
+MISREAD = """
+SELECT concat('TEO-', CAST(p_partkey AS STRING), 'B') AS reference, p_partkey AS ref_seq,
+  CASE p_partkey % 5 WHEN 0 THEN concat('TEO-', CAST(p_partkey AS STRING), '8') WHEN 1 THEN concat('TE0-', CAST(p_partkey AS STRING), '8') WHEN 2 THEN concat('teo-', translate(CAST(p_partkey AS STRING), '01', 'OI'), 'b')
+    WHEN 3 THEN concat('TED-', translate(CAST(p_partkey AS STRING), '5', 'S'), 'B') ELSE concat('TEO-', CAST(p_partkey AS STRING), 'B') END AS tag FROM part
+"""
+
+
+@query(f"""WITH m AS ({MISREAD}), r AS (SELECT DISTINCT upper(reference) AS reference FROM m), t AS (SELECT DISTINCT tag, upper(tag) AS u FROM m),
+p AS (SELECT tag, u, reference, [i for i in range(1, length(u) + 1) if u[i:i] <> reference[i:i]] AS places FROM t JOIN r ON translate(u, 'ODQUISBZG', '000015826') = translate(reference, 'ODQUISBZG', '000015826')),
+ok AS (SELECT *, len([i for i in places if regexp_matches(u[i:i], '[0-9]') = regexp_matches(reference[i:i], '[0-9]')]) = 0 AND len(places) <= 2 AS good FROM p),
+best AS (SELECT tag, arg_min(reference, [len(places)] || places) AS reference FROM ok WHERE good GROUP BY tag)
+SELECT t.tag, coalesce(best.reference, u) AS corrected FROM t LEFT JOIN best ON t.tag = best.tag""")
+def x20_corrected(spark, sf):
+    m = A.view(spark, sf, MISREAD)
+    return recovery.corrected(m.select("tag"), match.references(m.select("reference", "ref_seq")))
+
+
+# Fonts: of three on a page, one comes out 29 codes too low, one is sound, one is too short to tell.
+_SHIFTED = "".join(chr(ord(c) - 29) for c in "TEFV-0123456789")
+FONT_SPANS = f"""
+SELECT l_orderkey % 50 AS page, concat('pdf_', CAST(l_orderkey % 10 AS STRING)) AS pdf, l_partkey * 100000 + l_suppkey % 10000 * 10 + l_linenumber AS seq,
+  CASE WHEN l_linenumber <= 3 THEN 'A' WHEN l_linenumber <= 6 THEN 'B' ELSE concat('C', CAST(l_partkey AS STRING)) END AS font,
+  concat(CASE WHEN l_partkey % 2 = 0 THEN 'TE-' ELSE 'FV-' END, CAST(l_partkey AS STRING), ' ') AS plain,
+  CASE WHEN l_linenumber <= 3 OR l_linenumber > 6 THEN translate(concat(CASE WHEN l_partkey % 2 = 0 THEN 'TE-' ELSE 'FV-' END, CAST(l_partkey AS STRING)), 'TEFV-0123456789', '{_SHIFTED}') ELSE concat(' FV-', CAST(l_partkey AS STRING), ' ') END AS text
+FROM lineitem
+"""
+
+
+@query(f"""WITH s AS ({FONT_SPANS}), f AS (SELECT pdf, page, font, sum(length(text)) AS chars, sum(length(regexp_replace(text, '[^\\x00-\\x1f]', '', 'g'))) AS controls FROM s GROUP BY pdf, page, font)
+SELECT pdf, page, font, CAST(chars AS BIGINT) AS chars, CAST(controls AS BIGINT) AS controls, chars >= 20 AND controls >= 3 AND controls >= 0.1 * chars AND font <> 'B' AS shifted FROM f""")
+def a27_font_statistics(spark, sf):
+    return fonts.font_statistics(A.view(spark, sf, FONT_SPANS)).drop("printable")
+
+
+@query(f"""WITH s AS ({FONT_SPANS}), f AS (SELECT pdf, page, font, sum(length(text)) AS chars FROM s GROUP BY pdf, page, font)
+SELECT s.pdf, s.page, s.seq, CASE WHEN s.font = 'B' OR (s.font <> 'A' AND chars >= 20) OR s.font = 'A' THEN trim(CASE WHEN s.font = 'B' THEN text ELSE plain END) END AS text
+FROM s JOIN f ON s.pdf = f.pdf AND s.page = f.page AND s.font = f.font WHERE s.font = 'B' OR chars >= 20""")
+def s13_repaired_fonts(spark, sf):
+    long = F.sum(F.length("text")).over(Window.partitionBy("pdf", "page", "font")) >= 20
+    spans = A.view(spark, sf, FONT_SPANS).withColumn("long", long).filter(F.col("long") | (F.col("font") == "B"))
+    return fonts.repaired(spans.select("pdf", "page", "seq", "font", "text")).select("pdf", "page", "seq", "text")
