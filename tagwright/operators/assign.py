@@ -9,13 +9,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..sources.tables import stored
 
 BASES = ("AI", "AO", "DI", "DO")
 KINDS = ("Barrier", "Terminal", "Relay")
@@ -105,12 +109,12 @@ def spare_slots(signals: DataFrame, config: Config | None = None) -> DataFrame:
     return dealt.select("io", "safety", "jb", (F.floor(F.col("needed") / F.col("boxes")) + F.when(F.col("k") <= F.col("needed") % F.col("boxes"), 1).otherwise(0)).cast("bigint").alias("spares"), "k").filter("spares > 0")
 
 
-def capped_slots(signals: DataFrame, config: Config | None = None, run: Column | None = None) -> DataFrame:
+def capped_slots(signals: DataFrame, run: Column, config: Config | None = None) -> DataFrame:
     """(run, io, safety, jb, spares): as spare_slots, but no box takes more spares than its largest spare_count, which all groups of a run,
     in order, use up together. One task per run, over one row for each group and box."""
     ratio = (config or Config()).spare_ratio
     order = F.min(F.struct("rank_location", "jb"))
-    per = signals.withColumn("run", (F.lit(0) if run is None else run).cast("bigint")).groupBy("run", "io", "safety", "jb").agg(F.count("*").alias("n"), order["rank_location"].alias("place"), F.max(F.greatest(F.coalesce("spare_count", F.lit(0)), F.lit(0))).alias("cap"))
+    per = signals.withColumn("run", run.cast("bigint")).groupBy("run", "io", "safety", "jb").agg(F.count("*").alias("n"), order["rank_location"].alias("place"), F.max(F.greatest(F.coalesce("spare_count", F.lit(0)), F.lit(0))).alias("cap"))
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["io", "safety", "place", "jb"], kind="stable")
@@ -121,6 +125,8 @@ def capped_slots(signals: DataFrame, config: Config | None = None, run: Column |
     return per.groupBy("run").applyInPandas(one, "run bigint, io string, safety string, jb string, spares bigint")
 
 
+#: Packed rows to a batch, at least.
+BATCH = 10_000
 #: Spare rows come after all signals of their box in the master order.
 AFTER_SIGNALS = 1 << 61
 
@@ -169,12 +175,17 @@ def hot_spares_capped(capacity: dict[str, int], groups: list[tuple[str, list[str
     return out
 
 
+def limits_of(config: Config, kind: str, direction: str) -> tuple[float, tuple] | None:
+    """Rail limit and limits of a cabinet; a single-sided one without its own takes its type's front, else rear."""
+    sides = [direction, *(["FRONT", "REAR"] if direction == "SINGLE" else [])]
+    return next((config.limits[kind, s] for s in sides if (kind, s) in config.limits), None)
+
+
 def pool(config: Config) -> list[tuple[str, str, float, tuple]]:
-    """Planned cabinets in order of priority: (type, direction, rail limit, limits); a single-sided one takes its type's front, else rear."""
+    """Planned cabinets in order of priority: (type, direction, rail limit, limits)."""
     out = []
     for kind, direction, quantity, _ in sorted(config.plan, key=lambda p: p[3]):
-        sides = [direction, *(["FRONT", "REAR"] if direction == "SINGLE" else [])]
-        known = next((config.limits[kind, s] for s in sides if (kind, s) in config.limits), None)
+        known = limits_of(config, kind, direction)
         if known is None:
             raise ValueError(f"no limits for {kind} {direction}")
         out += [(kind, direction, *known)] * int(quantity)
@@ -232,17 +243,29 @@ def pack(boxes: list[tuple[str, str, int, list[int]]], config: Config | None = N
     return out
 
 
-def cabinets(demand: DataFrame, run: Column | None = None, config: Config | None = None) -> DataFrame:
-    """(run, jb, cabinet, place, cabinet_type, direction): packing, one task per run."""
+def cabinets(demand: DataFrame, run: Column, config: Config | None = None) -> DataFrame:
+    """(run, jb, cabinet, place, cabinet_type, direction): packing. A run is packed by one task, from its boxes sorted side by side; many small
+    runs share a task and its batches."""
     config = config or Config()
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        boxes = [(r["jb"], r["safety"], int(r["rail_load"]), [int(r[c]) for c in COUNTERS]) for r in frame.to_dict("records")]
-        packed = pd.DataFrame(pack(boxes, config), columns=["jb", "cabinet", "place", "cabinet_type", "direction"])
-        return packed.assign(run=frame["run"].iloc[0])[["run", "jb", "cabinet", "place", "cabinet_type", "direction"]]
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        made: list[tuple] = []
+        for key, boxes in groupby(rows, key=itemgetter(0)):
+            made += [(key, *box) for box in pack([(jb, safety, int(load), [int(n) for n in counts]) for _, jb, safety, load, *counts in boxes], config)]
+            if len(made) > BATCH:
+                yield _packed_batch(made)
+                made = []
+        if made:
+            yield _packed_batch(made)
+
+    named = demand.select(run.cast("bigint").alias("run"), "jb", "safety", "rail_load", *COUNTERS)
+    return named.repartition("run").sortWithinPartitions("run").mapInArrow(packed, "run bigint, jb string, cabinet string, place bigint, cabinet_type string, direction string")
+
 
-    named = demand.withColumn("run", (F.lit(0) if run is None else run).cast("bigint"))
-    return named.groupBy("run").applyInPandas(one, "run bigint, jb string, cabinet string, place bigint, cabinet_type string, direction string")
+def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["run", "jb", "cabinet", "place", "cabinet_type", "direction"])
 
 
 def even_split(i: Column, n: Column, capacity: Column) -> tuple[Column, Column]:
@@ -297,17 +320,18 @@ def usage(demand: DataFrame, packed: DataFrame, config: Config | None = None) ->
     """One row per cabinet: type, direction, boxes, rail terminals used and allowed, boards of each kind, share of the rail and of the pool
     of boards in use, and the factor that limits it: the pool if its share is the larger. demand and packed: jb, and packed of one run."""
     config = config or Config()
-    rail = {(k, d): limit for (k, d), (limit, _) in config.limits.items()} | {("OVERFLOW", ""): 9999, ("DEFAULT", ""): 1000}
+    known = {(k, d): limits_of(config, k, d) for k in dict.fromkeys(k for k, _ in config.limits) for d in ("REAR", "FRONT", "SINGLE")}
+    known = {side: of for side, of in known.items() if of}
+    rail = {side: limit for side, (limit, _) in known.items()} | {("OVERFLOW", ""): 9999, ("DEFAULT", ""): 1000}
     sums = packed.join(demand, "jb").groupBy("cabinet", "cabinet_type", "direction").agg(F.count("*").alias("boxes"), F.min("safety").alias("safety"), F.sum("rail_load").alias("rail_used"), *(F.sum(c).alias(c) for c in COUNTERS))
     kind = F.concat_ws("|", "cabinet_type", "direction")
-    single = {f"{k}|SINGLE": v for s in ("REAR", "FRONT") for (k, d), v in rail.items() if d == s}
-    lookup = F.create_map(*(F.lit(x) for key, v in {**single, **{f"{k}|{d}": v for (k, d), v in rail.items()}}.items() for x in (key, int(v))))
+    lookup = F.create_map(*(F.lit(x) for (k, d), v in rail.items() for x in (f"{k}|{d}", int(v))))
     boards = lambda c: F.when(F.col(c) > 0, F.ceil(F.col(c) / config.channels[c.split("_")[0]])).otherwise(0)
     out = sums.withColumn("rail_limit", F.element_at(lookup, kind)).withColumns({f"boards_{c}": boards(c) for c in COUNTERS})
     own = [c for c in COUNTERS if not c.startswith("Relay")]
     counts = F.col("cabinet_type").isin("OVERFLOW", "DEFAULT") | F.lit(config.max_boards != 100)
     shares = F.lit(0.0)
-    for (k, d), (_, limits) in [*config.limits.items(), *(((k, "SINGLE"), config.limits.get((k, "FRONT"), v)) for (k, _), v in config.limits.items())]:
+    for (k, d), (_, limits) in known.items():
         one = sum((F.col(f"boards_{c}") * float(limits[COUNTERS.index(c)]) for c in COUNTERS), F.lit(0.0))
         shares = F.when((F.col("cabinet_type") == k) & (F.col("direction") == d), one).otherwise(shares)
     number = sum((F.col(f"boards_{c}") for c in COUNTERS), F.lit(0))
@@ -317,10 +341,12 @@ def usage(demand: DataFrame, packed: DataFrame, config: Config | None = None) ->
     return out.select("cabinet", "cabinet_type", "direction", "boxes", "rail_used", "rail_limit", *(f"boards_{c}" for c in [*own, *(c for c in COUNTERS if c not in own)]), "rail_share", "pool_share", label.alias("limiting_factor"))
 
 
-def run_all(io_clean: DataFrame, config: Config | None = None) -> Iterator[tuple[str, DataFrame]]:
-    """The whole run by name: signals with hot spares, demand, packing, channels, spare channels, and the cabinets' use."""
-    signals = with_hot_spares(io_clean, config)
-    demand = demands(signals, config)
-    packed = cabinets(demand, config=config)
-    allocated = allocate(signals, packed, config)
-    yield from (("signals", signals), ("demand", demand), ("packed", packed), ("allocated", allocated), ("spare", backfill(allocated)), ("usage", usage(demand, packed, config)))
+def run_all(io_clean: DataFrame, run: str, config: Config | None = None) -> Iterator[tuple[str, DataFrame]]:
+    """The whole run by name: signals with hot spares, demand, packing, channels, spare channels, and the cabinets' use. run: the column
+    that says which run a row belongs to; the boxes of a run are packed in one task. Steps that later ones read several times are written."""
+    io_clean = stored(io_clean)
+    signals = stored(with_hot_spares(io_clean, config))
+    demand = stored(demands(signals, config).join(io_clean.select("jb", run).distinct(), "jb"))
+    packed = stored(cabinets(demand, F.col(run), config).withColumn("cabinet", F.concat("cabinet", F.lit("#"), F.col("run").cast("string"))))
+    allocated = stored(allocate(signals, packed, config))
+    yield from (("signals", signals), ("demand", demand), ("packed", packed), ("allocated", allocated), ("spare", backfill(allocated)), ("usage", usage(demand.drop(run), packed, config)))

@@ -16,7 +16,7 @@ SELECT l_orderkey * 100000000000 + l_partkey * 100000 + (l_suppkey % 1000) * 100
   concat('T', lpad(CAST(2 * l_linenumber - 1 AS STRING), 2, '0')) AS terminal_1,
   concat('T', lpad(CAST(2 * l_linenumber AS STRING), 2, '0')) AS terminal_2,
   CASE WHEN l_quantity > 40 THEN 'SC' ELSE '' END AS src,
-  l_orderkey AS jb_key
+  l_orderkey AS jb_key, o_custkey AS run_id
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 """
 IO_REFERENCE = """

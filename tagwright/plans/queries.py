@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import rules as R
 from ..functions import text as X
 from ..operators import assign, clean, consolidate, dims, drawing, match, review, textmode
+from ..sources.tables import stored
 from . import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,7 @@ m AS (SELECT *, CASE WHEN io_key IN ('AI', 'A.I', 'A I') THEN 'AI' WHEN io_key I
   CASE WHEN location IN ('FIELD', 'FIELD-AREA') THEN 'FIELD' WHEN location IN ('MCC', 'MCC ROOM') THEN 'MCC' WHEN location IN ('LCP', 'LOCAL') THEN 'LCP' WHEN location = 'UCP' THEN 'UCP' END AS loc FROM k),
 n AS (SELECT *, CASE WHEN jb2 = '' OR trim(io_type) = '' THEN 'missing' WHEN jb2 IN ('-', 'N/A', '0', 'UNKNOWN', 'NAN', '') THEN 'invalid_jb' WHEN ion IS NULL THEN 'invalid_io' WHEN safe IS NULL THEN 'invalid_safety' END AS rejected,
   coalesce(loc, 'FIELD') AS place FROM m),
+c0 AS (SELECT jb2 AS jb, run_id FROM n WHERE rejected IS NULL),
 c AS (SELECT seq, tag, jb2 AS jb, ion AS io, safe AS safety, place AS location, terminal_1, terminal_2, src, jb_key,
   CASE ion WHEN 'AI' THEN 1 WHEN 'AIR' THEN 2 WHEN 'AOR' THEN 3 WHEN 'AO' THEN 4 WHEN 'DI' THEN 5 WHEN 'DIR' THEN 6 WHEN 'DO' THEN 7 WHEN 'DOR' THEN 8 ELSE 99 END AS rank_io,
   CASE safe WHEN 'IS' THEN 1 WHEN 'NIS' THEN 2 ELSE 99 END AS rank_safety,
@@ -112,6 +114,17 @@ def o01_master_order(spark, sf):
     return _clean(spark, sf).withColumn("place", place).select("safety", "place", "tag", "jb", "rank_io")
 
 
+def _signals(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned list, written once: hot spares and demand read it several times. The view and the normal spellings are tables as well, so
+    that the view's expressions are not put in place of each use of a column, nor all of them into the filter."""
+    normal = stored(clean.normalised(stored(_io(spark, sf))))
+    return normal.filter("rejected is null").select("seq", "tag", "jb", "io", "safety", "location", "terminal_1", "terminal_2", "src", "rank_io", "rank_safety", "rank_location", "run_id")
+
+
+def _with_spares(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(assign.with_hot_spares(_signals(spark, sf)))
+
+
 # Assignment -----------------------------------------------------------------------------------------------------------------------
 SQL_SLOTS = SQL_NORMAL + """,
 want AS (SELECT io, safety, CAST(ceil(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS needed, count(DISTINCT jb) AS boxes FROM c GROUP BY io, safety),
@@ -133,7 +146,7 @@ demand AS (SELECT jb, safety, CAST(rail_load AS BIGINT) AS rail_load, """ + ", "
 
 @query(f"WITH {SQL_DEMAND} SELECT * FROM demand")
 def a01_a02_box_demand(spark, sf):
-    return assign.demands(assign.with_hot_spares(_clean(spark, sf)))
+    return assign.demands(_with_spares(spark, sf))
 
 
 @query(f"WITH {SQL_NORMAL} SELECT jb, max(greatest(CAST(regexp_extract(terminal_1, '[0-9]+$') AS BIGINT), CAST(regexp_extract(terminal_2, '[0-9]+$') AS BIGINT))) AS last, 'T' AS prefix_1, 2 AS width_1 FROM c GROUP BY jb")
@@ -148,7 +161,7 @@ def m02_spares_needed(spark, sf):
 
 @query(f"WITH {SQL_SLOTS} SELECT io, safety, jb, CAST(spares AS BIGINT) AS spares FROM slots WHERE spares > 0")
 def w06_round_robin_spares(spark, sf):
-    return assign.spare_slots(_clean(spark, sf)).select("io", "safety", "jb", "spares")
+    return assign.spare_slots(_signals(spark, sf)).select("io", "safety", "jb", "spares")
 
 
 @query(f"""WITH {SQL_SLOTS}, st AS (SELECT jb, max(greatest(CAST(regexp_extract(terminal_1, '[0-9]+$') AS BIGINT), CAST(regexp_extract(terminal_2, '[0-9]+$') AS BIGINT))) AS last FROM c GROUP BY jb),
@@ -157,12 +170,12 @@ f AS (SELECT *, row_number() OVER (PARTITION BY jb ORDER BY io, safety, round) A
 SELECT f.io, f.safety, f.jb, 'HOT_SPARE' AS tag, concat('T', lpad(CAST(last + 2 * nth - 1 AS STRING), CAST(greatest(2, length(CAST(last + 2 * nth - 1 AS STRING))) AS INT), '0')) AS terminal_1,
   concat('T', lpad(CAST(last + 2 * nth AS STRING), CAST(greatest(2, length(CAST(last + 2 * nth AS STRING))) AS INT), '0')) AS terminal_2 FROM f JOIN st ON f.jb = st.jb""")
 def h01_w07_hot_spares(spark, sf):
-    return assign.hot_spares(_clean(spark, sf)).select("io", "safety", "jb", "tag", "terminal_1", "terminal_2")
+    return assign.hot_spares(_signals(spark, sf)).select("io", "safety", "jb", "tag", "terminal_1", "terminal_2")
 
 
 @query(f"WITH {SQL_SLOTS}, a AS (SELECT jb, io, count(*) AS n FROM c GROUP BY jb, io), h AS (SELECT jb, io, sum(spares) AS n FROM slots GROUP BY jb, io) SELECT io, CAST(sum(n) AS BIGINT) AS rows_all FROM (SELECT io, n FROM a UNION ALL SELECT io, n FROM h) GROUP BY io")
 def u01_union_with_spares(spark, sf):
-    signals = _clean(spark, sf)
+    signals = _signals(spark, sf)
     return signals.select("io", "jb").unionByName(assign.hot_spares(signals).select("io", "jb")).groupBy("io").agg(F.count("*").alias("rows_all"))
 
 
@@ -172,26 +185,24 @@ SQL_LOAD = "rail_load + " + " + ".join(f'"{k}_{b}"' for k in ("Barrier", "Termin
 @query(f"WITH {SQL_DEMAND} SELECT jb, safety, {SQL_LOAD} AS load, row_number() OVER (PARTITION BY safety ORDER BY {SQL_LOAD} DESC, jb) AS place FROM demand")
 def o02_load_order(spark, sf):
     load = sum((F.col(c) for c in assign.COUNTERS[:8]), F.col("rail_load"))
-    d = assign.demands(assign.with_hot_spares(_clean(spark, sf))).select("jb", "safety", load.alias("load"))
+    d = assign.demands(_with_spares(spark, sf)).select("jb", "safety", load.alias("load"))
     return d.withColumn("place", F.row_number().over(Window.partitionBy("safety").orderBy(F.desc("load"), "jb")))
 
 
-def _run(jb):
-    """Boxes dealt into runs of some hundreds by their name, as separate projects are."""
-    return F.pmod(F.crc32(jb.cast("binary")), F.lit(500))
-
-
 def _assigned(spark, sf):
-    """Signals with hot spares, demand, and the packing of all runs; a cabinet's name holds its run."""
-    signals = assign.with_hot_spares(_clean(spark, sf))
-    demand = assign.demands(signals)
-    packed = assign.cabinets(demand, _run(F.col("jb"))).withColumn("cabinet", F.concat("cabinet", F.lit("#"), F.col("run").cast("string")))
-    return signals, demand, packed
+    """Signals with hot spares, demand, and the packing of each customer's boxes; a cabinet's name holds its run."""
+    cleaned = _signals(spark, sf)
+    signals = stored(assign.with_hot_spares(cleaned))
+    demand = stored(assign.demands(signals).join(cleaned.select("jb", "run_id").distinct(), "jb"))
+    packed = stored(assign.cabinets(demand, F.col("run_id")))
+    return signals, demand, packed.withColumn("cabinet", F.concat("cabinet", F.lit("#"), F.col("run").cast("string")))
 
 
 @query()
 def h04_first_fit_cabinets(spark, sf):
-    return assign.cabinets(assign.demands(assign.with_hot_spares(_clean(spark, sf))), _run(F.col("jb")))
+    cleaned = _signals(spark, sf)
+    demand = assign.demands(stored(assign.with_hot_spares(cleaned)))
+    return assign.cabinets(demand.join(cleaned.select("jb", "run_id").distinct(), "jb"), F.col("run_id"))
 
 
 @query()
@@ -203,19 +214,76 @@ def h09_allocation(spark, sf):
 @query()
 def w05_backfill(spark, sf):
     signals, _, packed = _assigned(spark, sf)
-    return assign.backfill(assign.allocate(signals, packed)).select("cabinet", "board", "channel", "tag", "jb")
+    return assign.backfill(stored(assign.allocate(signals, packed))).select("cabinet", "board", "channel", "tag", "jb")
 
 
 @query()
 def k06_a13_h07_cabinet_usage(spark, sf):
     _, demand, packed = _assigned(spark, sf)
-    return assign.usage(demand, packed)
+    return assign.usage(demand.drop("run_id"), packed)
 
 
 @query()
 def h02_capped_spares(spark, sf):
-    signals = _clean(spark, sf).withColumn("spare_count", F.pmod(F.crc32(F.col("jb").cast("binary")), F.lit(4)))
-    return assign.capped_slots(signals, run=_run(F.col("jb")))
+    signals = _signals(spark, sf).withColumn("spare_count", F.pmod(F.crc32(F.col("jb").cast("binary")), F.lit(4)))
+    return assign.capped_slots(signals, F.col("run_id"))
+
+
+# The same steps over a packing that SQL can state: eight boxes to a cabinet, by name, for each run and safety.
+SQL_PACKED = SQL_DEMAND + """,
+rn AS (SELECT DISTINCT jb, run_id FROM c0), place AS (SELECT demand.*, run_id, (row_number() OVER (PARTITION BY run_id, safety ORDER BY demand.jb) - 1) // 8 AS k FROM demand JOIN rn ON demand.jb = rn.jb),
+packed AS (SELECT *, concat(CASE safety WHEN 'IS' THEN 'IS-A-' ELSE 'NIS-B-' END, CAST(k AS STRING), '#', CAST(run_id AS STRING)) AS cabinet, CASE WHEN k % 3 = 2 THEN 'OVERFLOW' ELSE concat('Type ', CAST(1 + k % 3 AS STRING)) END AS cabinet_type,
+  CASE WHEN k % 3 = 2 THEN '' WHEN run_id % 2 = 0 THEN 'REAR' ELSE 'FRONT' END AS direction FROM place)"""
+SQL_ALLOCATED = SQL_PACKED + """,
+a0 AS (SELECT cs.*, cabinet, CASE WHEN length(io) = 3 THEN left(io, 2) ELSE io END AS base, CASE WHEN cabinet LIKE 'IS%' THEN 'Barrier Board' ELSE 'Terminal Board' END AS board_type FROM cs JOIN packed ON cs.jb = packed.jb),
+a1 AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY cabinet, base) AS n, first_value(location) OVER w = 'MCC' AS relay FROM a0 WINDOW w AS (PARTITION BY cabinet, base ORDER BY rank_io, rank_safety, rank_location, jb, seq)),
+a2 AS (SELECT *, greatest((n + 15) // 16, 1) AS boards FROM a1), a3 AS (SELECT *, n // boards AS size, n % boards AS rest FROM a2),
+a4 AS (SELECT *, CASE WHEN i < rest * (size + 1) THEN i // (size + 1) ELSE rest + (i - rest * (size + 1)) // greatest(size, 1) END AS b, CASE WHEN i < rest * (size + 1) THEN i % (size + 1) ELSE (i - rest * (size + 1)) % greatest(size, 1) END + 1 AS channel FROM a3),
+allocated AS (SELECT *, concat(board_type, ' (', base, ')-', lpad(CAST(b + 1 AS STRING), 2, '0')) AS board FROM a4)"""
+
+
+def _given(spark, sf):
+    cleaned = _signals(spark, sf)
+    signals = stored(assign.with_hot_spares(cleaned))
+    demand = stored(assign.demands(signals).join(cleaned.select("jb", "run_id").distinct(), "jb"))
+    k = F.floor((F.row_number().over(Window.partitionBy("run_id", "safety").orderBy("jb")) - 1) / 8)
+    kind = F.when(F.col("k") % 3 == 2, "OVERFLOW").otherwise(F.concat(F.lit("Type "), (1 + F.col("k") % 3).cast("string")))
+    name = F.concat(F.when(F.col("safety") == "IS", "IS-A-").otherwise("NIS-B-"), F.col("k").cast("string"), F.lit("#"), F.col("run_id").cast("string"))
+    direction = F.when(F.col("k") % 3 == 2, "").when(F.col("run_id") % 2 == 0, "REAR").otherwise("FRONT")
+    return signals, demand.drop("run_id"), demand.withColumn("k", k).select("jb", name.alias("cabinet"), kind.alias("cabinet_type"), direction.alias("direction"))
+
+
+@query(f"WITH {SQL_ALLOCATED} SELECT cabinet, board, CAST(channel AS BIGINT) AS channel, jb, io, seq, relay FROM allocated")
+def h09_channels_of_packed(spark, sf):
+    signals, _, packed = _given(spark, sf)
+    return assign.allocate(signals, packed).select("cabinet", "board", "channel", "jb", "io", "seq", "relay")
+
+
+@query(f"""WITH {SQL_ALLOCATED}, l AS (SELECT cabinet, board, max(channel) AS used, arg_max(jb, channel) AS jb, arg_max(io, channel) AS io, arg_max(location, channel) AS location FROM allocated GROUP BY cabinet, board)
+SELECT cabinet, board, CAST(unnest(range(CAST(used AS BIGINT) + 1, 17)) AS BIGINT) AS channel, jb, io, location, 'SPARE' AS tag FROM l""")
+def w05_backfill_of_packed(spark, sf):
+    signals, _, packed = _given(spark, sf)
+    return assign.backfill(stored(assign.allocate(signals, packed))).select("cabinet", "board", "channel", "jb", "io", "location", "tag")
+
+
+@query(f"""WITH {SQL_ALLOCATED} SELECT cabinet, board_type, base, count(DISTINCT board) AS boards, count(*) AS signals, count(*) FILTER (signal_type <> 'HOT_SPARE') AS active, count(*) FILTER (signal_type = 'HOT_SPARE') AS hot,
+  count(DISTINCT board) * 16 - count(*) AS spare, round_even(100.0 * count(*) / (count(DISTINCT board) * 16), 2) AS fill FROM allocated GROUP BY cabinet, board_type, base""")
+def a11_a12_stats_of_packed(spark, sf):
+    signals, _, packed = _given(spark, sf)
+    return assign.cabinet_stats(assign.allocate(signals, packed))
+
+
+_USED = [f"{k}_{b}" for k in ("Barrier", "Terminal") for b in assign.BASES]
+_SHARES = " ".join(f"WHEN cabinet_type = '{k}' AND direction = '{d}' THEN (" + " + ".join(f'"boards_{c}" * CAST({w} AS DOUBLE)' for c, w in zip(assign.COUNTERS, limits, strict=True)) + ") / 100" for (k, d), (_, limits) in assign.LIMITS.items())
+
+
+@query(f"""WITH {SQL_PACKED}, u AS (SELECT cabinet, cabinet_type, direction, count(*) AS boxes, CAST(sum(rail_load) AS BIGINT) AS rail_used, {", ".join(f'CAST(CASE WHEN sum("{c}") > 0 THEN (sum("{c}") + {assign.CHANNELS[c.split("_")[0]] - 1}) // {assign.CHANNELS[c.split("_")[0]]} ELSE 0 END AS BIGINT) AS "boards_{c}"' for c in assign.COUNTERS)} FROM packed GROUP BY cabinet, cabinet_type, direction),
+s AS (SELECT *, CASE WHEN cabinet_type = 'OVERFLOW' THEN 9999 ELSE 800 END AS rail_limit, CASE WHEN cabinet_type = 'OVERFLOW' THEN ({" + ".join(f'"boards_{c}"' for c in assign.COUNTERS)}) / CAST(999 AS DOUBLE) {_SHARES} END AS pool_share FROM u)
+SELECT cabinet, cabinet_type, direction, boxes, rail_used, rail_limit, {", ".join(f'"boards_{c}"' for c in assign.COUNTERS)}, round(rail_used / CAST(rail_limit AS DOUBLE), 9) AS rail_share, round(pool_share, 9) AS pool_share, pool_share > rail_used / CAST(rail_limit AS DOUBLE) AS by_pool FROM s""")
+def k06_h07_usage_of_packed(spark, sf):
+    _, demand, packed = _given(spark, sf)
+    u = assign.usage(demand, packed)
+    return u.withColumns({"rail_share": F.round("rail_share", 9), "pool_share": F.round("pool_share", 9), "by_pool": ~F.col("limiting_factor").startswith("Rail")}).drop("limiting_factor")
 
 
 @query("""WITH o AS (SELECT o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n, o_orderkey FROM orders),

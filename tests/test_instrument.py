@@ -186,7 +186,7 @@ def signals(n=400, seed=11):
 def test_allocation_equals_a_plain_reading(spark):
     config = assign.Config(channels={**assign.CHANNELS, "Terminal Board (DI)": 5})
     rows = signals()
-    everything = dict(assign.run_all(frame(spark, rows, SIGNALS), config))
+    everything = dict(assign.run_all(frame(spark, rows, SIGNALS).withColumn("run_id", F.lit(7)), "run_id", config))
     active = [dict(zip([c.split()[0] for c in SIGNALS.split(", ")], r)) for r in rows]
     spares = []
     for key in sorted({(r["io"], r["safety"]) for r in active}):
@@ -227,15 +227,25 @@ def test_allocation_equals_a_plain_reading(spark):
 
 def test_capped_slots(spark):
     df = frame(spark, signals(), SIGNALS)
-    got = [r.asDict() for r in assign.capped_slots(df).collect()]
+    got = [r.asDict() for r in assign.capped_slots(df, F.lit(0)).collect()]
     per = {}
     for r in got:
         per[r["jb"]] = per.get(r["jb"], 0) + r["spares"]
     assert all(n <= int(jb[3:]) % 4 for jb, n in per.items()) and sum(per.values()) > 0
-    rows = assign.hot_spares(df, slots=assign.capped_slots(df).drop("run")).groupBy("jb").count().collect()
+    rows = assign.hot_spares(df, slots=assign.capped_slots(df, F.lit(0)).drop("run")).groupBy("jb").count().collect()
     assert {r["jb"]: r["count"] for r in rows} == per
 
 
+def test_single_sided_cabinets_are_measured_by_the_limits_they_are_packed_by(spark):
+    own, front = (800, (50.0,) * 12), (400, (5.0,) * 12)
+    config = assign.Config(plan=[("Type 9", "SINGLE", 1, 1), ("Type 8", "SINGLE", 1, 2)], limits={("Type 9", "SINGLE"): own, ("Type 9", "FRONT"): front, ("Type 8", "REAR"): (300, (10.0,) * 12)})
+    assert [p[2:] for p in assign.pool(config)] == [own, (300, (10.0,) * 12)]
+    demand = spark.createDataFrame([("a", "NIS", 80, *([0] * 4), 16, *([0] * 7)), ("b", "NIS", 30, *([0] * 4), 16, *([0] * 7))], "jb string, safety string, rail_load int, " + ", ".join(f"{c} int" for c in assign.COUNTERS))
+    packed = spark.createDataFrame([("a", "X", "Type 9", "SINGLE"), ("b", "Y", "Type 8", "SINGLE")], "jb string, cabinet string, cabinet_type string, direction string")
+    got = {r["cabinet"]: (r["rail_limit"], r["pool_share"]) for r in assign.usage(demand, packed, config).collect()}
+    assert got == {"X": (800, 0.5), "Y": (300, 0.1)}
+
+
 def test_capped_spares_equal_plain_rounds():
     rng = random.Random(2)
     for _ in range(200):
