@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 from itertools import groupby
 from operator import itemgetter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,13 +115,30 @@ def capped_slots(signals: DataFrame, run: Column, config: Config | None = None)
     order = F.min(F.struct("rank_location", "jb"))
     per = signals.withColumn("run", run.cast("bigint")).groupBy("run", "io", "safety", "jb").agg(F.count("*").alias("n"), order["rank_location"].alias("place"), F.max(F.greatest(F.coalesce("spare_count", F.lit(0)), F.lit(0))).alias("cap"))
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["io", "safety", "place", "jb"], kind="stable")
-        groups = [(key, g["jb"].tolist(), math.ceil(g["n"].sum() * ratio)) for key, g in frame.groupby(["io", "safety"])]
-        rows = [(frame["run"].iloc[0], *key, jb, n) for key, jb, n in hot_spares_capped(frame.groupby("jb")["cap"].max().to_dict(), groups)]
-        return pd.DataFrame(rows, columns=["run", "io", "safety", "jb", "spares"])
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        made: list[tuple] = []
+        for key, own in groupby(rows, key=itemgetter(0)):
+            groups: dict[tuple[str, str], list[tuple[str, int]]] = {}
+            room: dict[str, int] = {}
+            for _, io, safety, _, jb, n, cap in own:
+                groups.setdefault((io, safety), []).append((jb, n))
+                room[jb] = max(room.get(jb, 0), int(cap))
+            wanted = [(name, [jb for jb, _ in boxes], math.ceil(sum(n for _, n in boxes) * ratio)) for name, boxes in groups.items()]
+            made += [(key, *name, jb, n) for name, jb, n in hot_spares_capped(room, wanted)]
+            if len(made) > BATCH:
+                yield _slots_batch(made)
+                made = []
+        if made:
+            yield _slots_batch(made)
+
+    ordered = per.select("run", "io", "safety", "place", "jb", "n", "cap").repartition("run").sortWithinPartitions("run", "io", "safety", "place", "jb")
+    return ordered.mapInArrow(dealt, "run bigint, io string, safety string, jb string, spares bigint")
+
 
-    return per.groupBy("run").applyInPandas(one, "run bigint, io string, safety string, jb string, spares bigint")
+def _slots_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["run", "io", "safety", "jb", "spares"])
 
 
 #: Packed rows to a batch, at least.
