@@ -88,3 +88,25 @@ def annotation_plan(spans: DataFrame, dpi: int = 300) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("pdf", "page", F.col("kind") == "Cable").orderBy(F.desc(F.length(F.regexp_replace("token", "[^0-9]", ""))), "token", "y", "x", "seq"))
     s = spans.filter("kind <> 'Unknown'").withColumn("k", rank).filter("kind <> 'Cable' or k = 1")
     return s.select("pdf", "page", "kind", "token", X.lookup(F.col("kind"), COLOURS).alias("colour"), annotation_rectangle(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(dpi)).alias("box"))
+
+
+def json_columns(rows: DataFrame, defaults: list[str], raw: str = "raw_json") -> DataFrame:
+    """(place, name): the columns of rows kept as JSON objects, the default ones first in their order, then all others by name. Texts that
+    are no object, and null, give none."""
+    found = rows.select(F.explode(F.map_keys(F.from_json(raw, "map<string,string>"))).alias("name")).distinct()
+    first = rows.sparkSession.createDataFrame(list(enumerate(defaults)), "at int, name string")
+    every = found.join(first, "name", "full")
+    return every.select((F.row_number().over(Window.orderBy(F.coalesce("at", F.lit(len(defaults))), "name")) - 1).alias("place"), "name")  # one row for each column
+
+
+def json_values(rows: DataFrame, columns: list[str], raw: str = "raw_json") -> DataFrame:
+    """rows with a text column for each of the names, blank where a row's object lacks it."""
+    values = F.from_json(raw, "map<string,string>")
+    return rows.withColumn("__values", values).withColumns({c: F.coalesce(F.try_element_at("__values", F.lit(c)), F.lit("")) for c in columns}).drop("__values")
+
+
+def nested(rows: DataFrame, inner: str, raw: str = "raw_json") -> DataFrame:
+    """rows with outer, middle and the fields of ``inner`` (a struct type) for each entry of a JSON object of objects of such structs."""
+    one = rows.select(*(c for c in rows.columns if c != raw), F.explode(F.from_json(raw, f"map<string,map<string,{inner}>>")).alias("outer", "__m"))
+    two = one.select(*(c for c in one.columns if c != "__m"), F.explode("__m").alias("middle", "__s"))
+    return two.select(*(c for c in two.columns if c != "__s"), "__s.*")

@@ -46,6 +46,7 @@ TABLES = ("lineitem", "orders", "customer", "part", "events", "supplier", "docum
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The view over the Parquet tables of a folder; only those that the text names are opened."""
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t}" in sql}
+    sql = sql.replace("{", "{{").replace("}", "}}")  # braces of the text itself
     for t in frames:
         sql = sql.replace(f" {t}", f" {{{t}}}")
     return spark.sql(sql, **frames)

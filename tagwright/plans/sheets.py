@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..operators import catalogue, drawing, match, recovery, spatial
+from ..operators import catalogue, drawing, match, recovery, spatial, store, textmode
 from ..sources import fonts
 from ..sources.tables import stored
 from . import adapters as A
-from .queries import _refs, query
+from .queries import SHIFTED_REFERENCE, SQL_EXACT, SQL_KIND, _refs, _tags, query
 
 _N, _S, _SEQ = "l_partkey", "CAST(100 + l_partkey % 900 AS STRING)", "l_partkey * 100000 + l_suppkey % 10000 * 10 + l_linenumber"
 SHEETS = f"""
@@ -251,3 +251,67 @@ def s13_repaired_fonts(spark, sf):
     long = F.sum(F.length("text")).over(Window.partitionBy("pdf", "page", "font")) >= 20
     spans = A.view(spark, sf, FONT_SPANS).withColumn("long", long).filter(F.col("long") | (F.col("font") == "B"))
     return fonts.repaired(spans.select("pdf", "page", "seq", "font", "text")).select("pdf", "page", "seq", "text")
+
+
+# Words near tags, run statistics, rows kept as JSON ---------------------------------------------------------------------------------
+# Words of a text layer: tags as they are, with a character more, less or another, and others far from any.
+WORDS = """
+SELECT l_orderkey AS page, l_partkey * 100000 + l_suppkey % 10000 * 10 + l_linenumber AS word_no,
+  CASE l_linenumber WHEN 1 THEN concat('TE-', CAST(l_partkey AS STRING)) WHEN 2 THEN concat('TE-', CAST(l_partkey AS STRING), 'X') WHEN 3 THEN concat('TEE-', CAST(l_partkey AS STRING), '-A') WHEN 4 THEN concat('T-', CAST(l_partkey AS STRING), '-A')
+    WHEN 5 THEN concat('XX-', CAST(l_partkey AS STRING)) ELSE concat('NOTE ', CAST(l_suppkey AS STRING)) END AS text FROM lineitem
+"""
+WORD_TAGS = "SELECT concat('TE-', CAST(p_partkey AS STRING), '-A') AS tag FROM part"
+
+
+@query()
+def j16_h23_fuzzy_words(spark, sf):
+    words, tags = A.view(spark, sf, WORDS), A.view(spark, sf, WORD_TAGS)
+    earlier = textmode.single(words, tags).filter("tag is not null").select("page", "text", "tag")
+    return textmode.fuzzy(words, tags, earlier)
+
+
+def _exact_or_not(spark: SparkSession, sf: str) -> DataFrame:
+    found = match.exact(_tags(spark, sf), match.references(A.view(spark, sf, SHIFTED_REFERENCE)))
+    return found.select("tag", F.when(F.col("reference").isNotNull(), "exact").otherwise("unmatched").alias("match_type"))
+
+
+_SHIFTED_EXACT = f"{SQL_KIND}, {SQL_EXACT.replace(A.IO_REFERENCE, SHIFTED_REFERENCE)}"
+
+
+@query(f"""WITH {_SHIFTED_EXACT} SELECT count(*) AS match_attempts, count(reference) AS exact_matches, 0 AS similar_matches, count(*) - count(reference) AS unmatched, count(reference) / CAST(count(*) AS DOUBLE) AS exact_rate, CAST(0 AS DOUBLE) AS similar_rate,
+  (SELECT count(*) FROM r) AS reference_tag_count FROM exact""")
+def a15_match_statistics(spark, sf):
+    return match.statistics(_exact_or_not(spark, sf), match.references(A.view(spark, sf, SHIFTED_REFERENCE)))
+
+
+@query(f"WITH {_SHIFTED_EXACT} SELECT CASE WHEN reference IS NULL THEN 'unmatched' ELSE 'exact' END AS match_type, count(*) AS n FROM exact GROUP BY 1")
+def a16_match_types(spark, sf):
+    return match.by_type(_exact_or_not(spark, sf))
+
+
+JSON_ROWS = """
+SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN concat('{"Tag": "', CAST(o_orderkey AS STRING), '", "JB": "', o_orderstatus, '"}') WHEN 1 THEN concat('{"Tag": "T", "Note ', CAST(o_custkey % 7 AS STRING), '": "', o_orderpriority, '"}')
+  WHEN 2 THEN '{}' WHEN 3 THEN 'not an object' ELSE concat('{"Channel": ', CAST(o_custkey AS STRING), '}') END AS raw_json FROM orders
+"""
+
+
+@query(f"""WITH j AS ({JSON_ROWS}), k AS (SELECT DISTINCT name FROM (SELECT unnest(json_keys(raw_json)) AS name FROM j WHERE raw_json LIKE '{{%') x UNION SELECT unnest(['JB', 'Tag', 'Cable']))
+SELECT CAST(row_number() OVER (ORDER BY CASE name WHEN 'JB' THEN 0 WHEN 'Tag' THEN 1 WHEN 'Cable' THEN 2 ELSE 3 END, name) - 1 AS INT) AS place, name FROM k""")
+def c06_json_columns(spark, sf):
+    return store.json_columns(A.view(spark, sf, JSON_ROWS), ["JB", "Tag", "Cable"])
+
+
+@query(f"""WITH j AS ({JSON_ROWS}) SELECT id, CASE id % 5 WHEN 0 THEN json_extract_string(raw_json, '$.Tag') WHEN 1 THEN 'T' ELSE '' END AS "Tag", CASE WHEN id % 5 = 4 THEN json_extract_string(raw_json, '$.Channel') ELSE '' END AS "Channel" FROM j""")
+def c05_json_values(spark, sf):
+    return store.json_values(A.view(spark, sf, JSON_ROWS), ["Tag", "Channel"]).select("id", "Tag", "Channel")
+
+
+JSON_SIZES = """
+SELECT p_partkey AS id, concat('{"Type ', CAST(p_partkey % 3 AS STRING), '": {"FRONT": {"length": ', CAST(p_size AS STRING), ', "rails": 2}', CASE WHEN p_size % 2 = 0 THEN ', "REAR": {"length": 7, "rails": 5}' ELSE '' END, '}, "Other": {}}') AS raw_json FROM part
+"""
+
+
+@query("""SELECT p_partkey AS id, concat('Type ', CAST(p_partkey % 3 AS STRING)) AS "outer", 'FRONT' AS middle, CAST(p_size AS DOUBLE) AS length, 2 AS rails FROM part
+UNION ALL SELECT p_partkey, concat('Type ', CAST(p_partkey % 3 AS STRING)), 'REAR', 7, 5 FROM part WHERE p_size % 2 = 0""")
+def c09_nested_sizes(spark, sf):
+    return store.nested(A.view(spark, sf, JSON_SIZES), "struct<length:double,rails:int>")
