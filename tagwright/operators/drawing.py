@@ -123,7 +123,7 @@ def kind(c: Column) -> Column:
     """The first of JB, MC, SPARE, Tag, Cable that a span's text holds; an MC at its start owns a span with a JB further on."""
     u = F.upper(F.trim(c))
     holds = lambda p: u.rlike(p)
-    mc_first = u.rlike("^" + MC.replace("(?i)", "(?i)")) & holds(JB)
+    mc_first = u.rlike("^" + MC) & holds(JB)
     tag = (F.regexp_extract(u, TAG, 1) != "") & ~non_tag(u)
     return F.when(mc_first, "MC").when(holds(JB), "JB").when(holds(MC), "MC").when(holds(SPARE), "SPARE").when(tag | (u.rlike("^[A-Z]{2,5}[-_][0-9]{1,6}$") & ~non_tag(u)), "Tag").when(holds(CABLE), "Cable").otherwise("Unknown")
 
@@ -179,14 +179,14 @@ def best_cable(spans: DataFrame) -> DataFrame:
 
 
 def nearest_count(spans: DataFrame) -> DataFrame:
-    """For each spare label the nearest number on its row, not further than one and a half heights. Rows are matched by bucket of y."""
+    """For each spare label the nearest number beside it on its row, not further than one and a half heights. Rows are matched by bucket of y."""
     s = spans.filter("kind = 'SPARE'").select("pdf", "page", "seq", "x", "y", "w", "h")
     n = spans.filter(F.col("token").rlike("^[0-9]{1,2}$")).select("pdf", "page", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("w").alias("nw"), F.col("token").cast("int").alias("value"))
     size = F.lit(64)
     left = s.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("y") - F.col("h")) / size), F.floor((F.col("y") + F.col("h")) / size))))
     right = n.withColumn("bucket", F.floor(F.col("ny") / size))
     gap = F.greatest(F.col("nx") - F.col("x") - F.col("w"), F.col("x") - F.col("nx") - F.col("nw"))
-    j = left.join(right, ["pdf", "page", "bucket"]).withColumn("gap", gap).filter((F.abs(F.col("ny") - F.col("y")) <= F.col("h") / 2) & (F.col("gap") <= 1.5 * F.col("h")))
+    j = left.join(right, ["pdf", "page", "bucket"]).withColumn("gap", gap).filter((F.abs(F.col("ny") - F.col("y")) <= F.col("h") / 2) & F.col("gap").between(0, 1.5 * F.col("h")))
     return j.groupBy("pdf", "page", "seq").agg(F.min(F.struct("gap", "value"))["value"].alias("spares"))
 
 

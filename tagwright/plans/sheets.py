@@ -11,7 +11,7 @@ from ..operators import catalogue, drawing, match, recovery, spatial, store, tex
 from ..sources import fonts
 from ..sources.tables import stored
 from . import adapters as A
-from .queries import SHIFTED_REFERENCE, SQL_EXACT, SQL_KIND, _refs, _tags, query
+from .queries import SHIFTED_REFERENCE, SQL_EXACT, SQL_KIND, SQL_NUMBERED, _refs, _tags, query
 
 _N, _S, _SEQ = "l_partkey", "CAST(100 + l_partkey % 900 AS STRING)", "l_partkey * 100000 + l_suppkey % 10000 * 10 + l_linenumber"
 SHEETS = f"""
@@ -315,3 +315,25 @@ SELECT p_partkey AS id, concat('{"Type ', CAST(p_partkey % 3 AS STRING), '": {"F
 UNION ALL SELECT p_partkey, concat('Type ', CAST(p_partkey % 3 AS STRING)), 'REAR', 7, 5 FROM part WHERE p_size % 2 = 0""")
 def c09_nested_sizes(spark, sf):
     return store.nested(A.view(spark, sf, JSON_SIZES), "struct<length:double,rails:int>")
+
+
+# Counts beside labels (the number after a label is its own by the default pattern, and no count), cables' pairs against tags' numbers ----------------------------------------------------------------------------
+_LABEL = "SELECT 'a' AS pdf, l_orderkey * 10000000000 + l_partkey * 100000 + l_suppkey % 10000 * 10 + l_linenumber AS page, {of}, 12 AS h, CAST(0.9 AS DOUBLE) AS confidence, CAST(l_partkey AS BIGINT) AS n, CAST(l_suppkey AS BIGINT) AS m FROM lineitem"
+LABELS = " UNION ALL ".join([
+    _LABEL.format(of="1 AS seq, 100 AS x, 60 AS y, 40 AS w, CASE l_partkey % 4 WHEN 1 THEN '2 SPARE' WHEN 2 THEN 'SPARE 3' ELSE 'SPARE' END AS text"),
+    _LABEL.format(of="2 AS seq, CAST(CASE WHEN l_partkey % 3 = 0 THEN 90 - l_partkey % 31 ELSE 130 + l_partkey % 37 END AS INT) AS x, CAST(52 + l_suppkey % 17 AS INT) AS y, 10 AS w, CAST(1 + l_partkey % 9 AS STRING) AS text"),
+])
+
+
+@query(f"""WITH v AS ({LABELS}), b AS (SELECT page, n, y, CASE WHEN x < 100 THEN 100 - x - 10 ELSE x - 140 END AS gap FROM v WHERE seq = 2)
+SELECT 'a' AS pdf, page, 1 AS seq, CAST(CASE n % 4 WHEN 1 THEN 2 ELSE CASE WHEN abs(y - 60) <= 6 AND gap BETWEEN 0 AND 18 THEN 1 + n % 9 ELSE 1 END END AS INT) AS spares FROM b""")
+def j10_x24_counts_beside_labels(spark, sf):
+    return drawing.spare_counts(drawing.classified(A.view(spark, sf, LABELS)))
+
+
+@query(f"""WITH {SQL_BY_AREA}, s AS (SELECT * FROM kinds), {SQL_NUMBERED}, h AS (SELECT pdf, page, CAST(max(number) AS INT) AS highest FROM numbered WHERE kind = 'Tag' GROUP BY pdf, page),
+p AS (SELECT pdf, page, max(CAST(split_part(token, ' ', 1) AS INT)) AS pair FROM kinds WHERE kind = 'Cable' GROUP BY pdf, page), e AS (SELECT DISTINCT pdf, page FROM kinds)
+SELECT e.pdf, e.page, coalesce(pair, -1) AS pair, coalesce(highest, -1) AS highest, CASE WHEN pair IS NULL THEN 'WARNING: Could not extract pair number from cable description' WHEN highest IS NULL THEN 'WARNING: No tag numbers found' WHEN pair = highest THEN 'OK'
+  ELSE format('WARNING: Pair number ({{}}) != Max Tag number ({{}})', pair, highest) END AS status FROM e LEFT JOIN h ON e.pdf = h.pdf AND e.page = h.page LEFT JOIN p ON e.pdf = p.pdf AND e.page = p.page""")
+def a22_a30_pairs_on_sheets(spark, sf):
+    return drawing.pair_consistency(_by_area(spark, sf)).na.fill(-1, ["pair", "highest"])
