@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import catalogue, drawing, match, recovery, spatial, store, textmode
-from ..sources import fonts
+from ..sources import fonts, guarded
 from ..sources.tables import stored
 from . import adapters as A
 from .queries import SHIFTED_REFERENCE, SQL_EXACT, SQL_KIND, SQL_NUMBERED, _refs, _tags, query
@@ -337,3 +340,31 @@ SELECT e.pdf, e.page, coalesce(pair, -1) AS pair, coalesce(highest, -1) AS highe
   ELSE format('WARNING: Pair number ({{}}) != Max Tag number ({{}})', pair, highest) END AS status FROM e LEFT JOIN h ON e.pdf = h.pdf AND e.page = h.page LEFT JOIN p ON e.pdf = p.pdf AND e.page = p.page""")
 def a22_a30_pairs_on_sheets(spark, sf):
     return drawing.pair_consistency(_by_area(spark, sf)).na.fill(-1, ["pair", "highest"])
+
+
+# Pages of which some are broken -------------------------------------------------------------------------------------------------------
+PAGES_AS_TEXT = """
+SELECT concat('pdf_', CAST(o_custkey % 40 AS STRING)) AS pdf, o_orderkey AS page, CASE WHEN o_orderkey % 11 = 0 THEN '[["TE' WHEN o_orderkey % 13 = 0 THEN '[["TE-1", "far"]]' WHEN o_orderkey % 17 = 0 THEN NULL
+  WHEN o_orderkey % 5 = 0 THEN '[]' ELSE concat('[["TE-', CAST(o_custkey AS STRING), '", ', CAST(o_orderkey % 100 AS STRING), '], ["JB-1", 7]]') END AS content FROM orders
+"""
+_SPAN = StructType([StructField("text", StringType()), StructField("x", IntegerType())])
+
+
+def _read_page(content: str) -> list[list]:
+    return json.loads(content)
+
+
+def _pages_read(spark: SparkSession, sf: str) -> DataFrame:
+    return guarded.processed(A.view(spark, sf, PAGES_AS_TEXT), ["pdf", "page"], "content", _read_page, _SPAN)
+
+
+@query(f"""WITH p AS ({PAGES_AS_TEXT}), f AS (SELECT *, page % 11 = 0 OR page % 13 = 0 OR content IS NULL AS failed FROM p)
+SELECT pdf, count(*) AS items, count(*) FILTER (failed) AS failed, CAST(sum(CASE WHEN failed OR page % 5 = 0 THEN 0 ELSE 2 END) AS BIGINT) AS found FROM f GROUP BY pdf""")
+def t16_a29_failed_pages(spark, sf):
+    return guarded.run_statistics(_pages_read(spark, sf), ["pdf"]).drop("first_error")
+
+
+@query("""WITH p AS (SELECT concat('pdf_', CAST(o_custkey % 40 AS VARCHAR)) AS pdf, o_orderkey AS page, o_custkey FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 5 <> 0)
+SELECT pdf, page, concat('TE-', CAST(o_custkey AS VARCHAR)) AS text, CAST(page % 100 AS INT) AS x FROM p UNION ALL SELECT pdf, page, 'JB-1', 7 FROM p""")
+def s35_rows_of_good_pages(spark, sf):
+    return guarded.rows_of(_pages_read(spark, sf))

@@ -86,3 +86,22 @@ def test_broken_fonts(spark):
     assert got[4].startswith("7(") and 7 not in got and 8 not in got
     stats = {r["font"]: r for r in fonts.font_statistics(spans).filter(F.col("page") == 1).collect()}
     assert stats["x"]["shifted"] and stats[None]["shifted"] and not stats["y"]["shifted"] and stats["z"]["chars"] == 4 and not stats["z"]["shifted"]
+
+
+def test_a_broken_page_fails_alone(spark):
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+    from tagwright.sources import guarded
+
+    def read(content):
+        if content == "crash":
+            raise OSError("cannot open")
+        return [(part, len(part)) if part != "odd" else (part, "no number") for part in content.split()]
+
+    rows = [("a", 1, "TE-1 JB-2"), ("a", 2, "crash"), ("a", 3, ""), ("b", 1, "odd"), ("b", 2, None), ("b", 3, "PT-7"), (None, 4, "x")]
+    pages = spark.createDataFrame([(*r, "status") for r in rows], "pdf string, page int, content string, status string").repartition(2)
+    done = guarded.processed(pages, ["pdf", "page"], "content", read, StructType([StructField("text", StringType()), StructField("n", IntegerType())]))
+    assert sorted(((r["pdf"], r["page"], r["text"], r["n"]) for r in guarded.rows_of(done).collect()), key=repr) == [("a", 1, "JB-2", 4), ("a", 1, "TE-1", 4), ("b", 3, "PT-7", 4), (None, 4, "x", 1)]
+    stats = {r["pdf"]: (r["items"], r["failed"], r["found"], r["first_error"]) for r in guarded.run_statistics(done, ["pdf"]).collect()}
+    assert stats["a"] == (3, 1, 2, "OSError: cannot open") and stats["b"][:3] == (3, 2, 1) and stats[None] == (1, 0, 1, None)
+    assert guarded.processed(pages.limit(0), ["pdf"], "content", read, StructType([StructField("text", StringType()), StructField("n", IntegerType())])).collect() == []
