@@ -2,12 +2,14 @@
 
 Index terms are pairs of neighbouring words of the items, so that everyday words alone retrieve nothing. Each different item text has an
 entry for its whole and one for its question (all but the last sentence), so an item is found by its question however its answer is put.
-An entry's impacts are BM25 weights divided by the entry's own score for itself, which makes one threshold fit all entries. Every document
-is cut into passages of twice the longest item's words, each starting one such length after the last, so an item lies whole within some
-passage. Every passage is a query. Those whose terms cannot reach the threshold even at their largest impacts are dismissed by sums over
-the whole batch; for the others block-max WAND returns all entries at or above it. What is retrieved is verified: by the share of the
-item's five-word shingles in the passage, or of those of its question together with the share of the words of its answer (the last
-sentence).
+An entry's impacts are BM25 weights divided by the entry's own score for itself, which makes one threshold fit all entries. An item of n
+words is looked for in passages of 2 n words, each starting n / 2 words after the last (1 at least), so it lies whole within one even with
+half as many words again between its own; other items, however long, change neither its passages nor its finds but by the corpus statistics.
+Every document is searched whole. Entries are kept in classes of items of about one length, with block-max WAND over each class: stretches
+of text that hold every passage of the class's items, and whose terms cannot reach the threshold even at their largest impacts, are
+dismissed by sums over the whole batch; for the others it gives all entries that can reach it, and their passages are scored each. What is
+retrieved is verified in its passage: by the share of the item's five-word shingles there, or of those of its question together with the
+share of the words of its answer (the last sentence).
 
 Items of the same text are one in the index, and all their ids are given. The index is broadcast in parts of at most ``INDEX_BYTES`` of
 item text; more items make more passes over the documents. The number of texts, their mean length and the document frequencies are taken
@@ -53,18 +55,23 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 
 def pairs(words: list[bytes]) -> Counter:
-    """Pairs of neighbouring words; a text of one word has that word paired with itself."""
-    return Counter(zip(words, words[1:], strict=False) if len(words) > 1 else [(w, w) for w in words])
+    """Pairs of neighbouring words; a text of one word has that word paired with the empty one, which no text holds."""
+    return Counter(zip(words, words[1:], strict=False) if len(words) > 1 else [(w, b"") for w in words])
+
+
+def passage_starts(n: int, low: int, high: int) -> range:
+    """Where the passages of an item of n words start, from low on and before high."""
+    step = max(1, n // 2)
+    return range(-(-low // step) * step, high, step)
 
 
 @dataclass
 class Statistics:
-    """Over the different texts of all items that have words: their number, mean number of pairs, longest in words, and the numbers of
-    texts that hold a pair, where that is not one."""
+    """Over the different texts of all items that have words: their number, mean number of pairs, and the numbers of texts that hold a
+    pair, where that is not one."""
 
     n: int
     mean: float
-    longest: int
     df: dict[tuple[bytes, bytes], int]
 
     @classmethod
@@ -72,52 +79,30 @@ class Statistics:
         words = [w for t in texts if (w := words_az(t.encode()))]
         sizes = [max(len(w) - 1, 1) for w in words]
         df = Counter(p for w in words for p in set(pairs(w)))
-        return cls(len(words), sum(sizes) / max(len(words), 1), max(map(len, words), default=1), df)
+        return cls(len(words), sum(sizes) / max(len(words), 1), df)
 
 
-class Index:
-    """Different texts (key, text) as postings of word pairs with block maxima; two entries to a text, its whole and its question."""
+class Postings:
+    """Postings with block maxima of the entries of items of about one length, the longest of ``longest`` words."""
 
-    def __init__(self, items: list[tuple[int, str]], block: int = BLOCK, statistics: Statistics | None = None):
-        self.block = block
-        stats = statistics or Statistics.of([t for _, t in items])
-        self.items = [(i, w, t) for i, t in items if (w := words_az(t.encode()))]
-        self.longest = stats.longest
-        self.vocabulary: dict[bytes, int] = {}
-        self.verify, self.item_of = [], []
+    def __init__(self, entries: list[tuple[int, dict[int, float]]], longest: int, terms: int, block: int):
+        """entries: (item, impacts by term); terms: how many terms the whole index has."""
+        self.block, self.longest = block, longest
+        self.items = [item for item, _ in entries]
+        self.impacts_of = [impacts for _, impacts in entries]
         raw: dict[int, list[tuple[int, float]]] = {}
-        own = []
-        self.single = False
-        for k, (_, words, text) in enumerate(self.items):
-            question, answer = (words_az(x.encode()) for x in question_and_answer(text))
-            self.verify.append((set(shingles(words, SHINGLE_WORDS)), set(shingles(question, SHINGLE_WORDS)), set(answer)))
-            for entry in [words] if question == words or not question else [words, question]:
-                weights = self._weights(pairs(entry), stats)
-                total = sum(weights.values())
-                for (a, b), w in weights.items():
-                    ids = [self.vocabulary.setdefault(x, len(self.vocabulary)) for x in (a, b)]
-                    raw.setdefault(ids[0] << 32 | ids[1], []).append((len(own), w / total))
-                self.single |= len(entry) == 1
-                own.append(total)
-                self.item_of.append(k)
-        self.keys = np.array(sorted(raw), np.int64)
-        self.postings = [[e for e, _ in raw[t]] for t in self.keys.tolist()]
-        self.impacts = [[w for _, w in raw[t]] for t in self.keys.tolist()]
+        for e, (_, impacts) in enumerate(entries):
+            for t, w in impacts.items():
+                raw.setdefault(t, []).append((e, w))
+        self.own = np.full(terms, -1, np.int64)  # the class's number of a term of the index
+        self.own[list(raw)] = np.arange(len(raw))
+        self.postings = [[e for e, _ in of] for of in raw.values()]
+        self.impacts = [[w for _, w in of] for of in raw.values()]
         self.block_max = [[max(w[k : k + block]) for k in range(0, len(w), block)] for w in self.impacts]
         self.most = np.array([max(w) for w in self.block_max])
 
-    @staticmethod
-    def _weights(terms: Counter, stats: Statistics) -> dict[tuple[bytes, bytes], float]:
-        """BM25 weights of an entry's pairs."""
-        size = sum(terms.values())
-        out = {}
-        for t, f in terms.items():
-            df = stats.df.get(t, 1)
-            out[t] = math.log(1 + (stats.n - df + 0.5) / (df + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / stats.mean))
-        return out
-
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All (entry, score) at or above the threshold for the distinct terms, by positions in keys."""
+        """All (entry, score) at or above the threshold for the distinct terms, by their numbers in the class."""
         lists = [[0, t] for t in terms]  # cursor, term
         out = []
         while True:
@@ -142,7 +127,7 @@ class Index:
                     blocks += self.block_max[t][b]
                     ends.append(post[min(len(post), (b + 1) * self.block) - 1] + 1)
                 else:
-                    ends.append(len(self.item_of))
+                    ends.append(len(self.items))
             if blocks < threshold - 1e-9:  # no item before the nearest block end can reach it
                 ahead = [self.postings[t][c] for c, t in lists[pivot + 1 : pivot + 2]]
                 target = max(item + 1, min([*ends, *ahead]))
@@ -159,6 +144,43 @@ class Index:
                 for x in lists[: pivot + 1]:
                     x[0] = bisect_left(self.postings[x[1]], item, x[0])
 
+
+class Index:
+    """Different texts (key, text) as postings of word pairs, two entries to a text, its whole and its question, in classes by length."""
+
+    def __init__(self, items: list[tuple[int, str]], block: int = BLOCK, statistics: Statistics | None = None):
+        stats = statistics or Statistics.of([t for _, t in items])
+        self.items = [(i, w, t) for i, t in items if (w := words_az(t.encode()))]
+        self.vocabulary: dict[bytes, int] = {b"": 0}
+        self.verify = []
+        keys: dict[int, int] = {}
+        entries: dict[int, list[tuple[int, dict[int, float]]]] = {}
+        for k, (_, words, text) in enumerate(self.items):
+            question, answer = (words_az(x.encode()) for x in question_and_answer(text))
+            self.verify.append((set(shingles(words, SHINGLE_WORDS)), set(shingles(question, SHINGLE_WORDS)), set(answer)))
+            for entry in [words] if question == words or not question else [words, question]:
+                weights = self._weights(pairs(entry), stats)
+                total = sum(weights.values())
+                impacts = {}
+                for (a, b), w in weights.items():
+                    a, b = (self.vocabulary.setdefault(x, len(self.vocabulary)) for x in (a, b))
+                    impacts[keys.setdefault(a << 32 | b, len(keys))] = w / total
+                entries.setdefault(len(words).bit_length(), []).append((k, impacts))
+        self.keys = np.array(sorted(keys), np.int64)
+        self.term = np.array([keys[x] for x in self.keys.tolist()], np.int64)
+        self.single = any(x & 0xFFFFFFFF == 0 for x in keys)
+        self.classes = [Postings(of, max(len(self.items[k][1]) for k, _ in of), len(keys), block) for _, of in sorted(entries.items())]
+
+    @staticmethod
+    def _weights(terms: Counter, stats: Statistics) -> dict[tuple[bytes, bytes], float]:
+        """BM25 weights of an entry's pairs."""
+        size = sum(terms.values())
+        out = {}
+        for t, f in terms.items():
+            df = stats.df.get(t, 1)
+            out[t] = math.log(1 + (stats.n - df + 0.5) / (df + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / stats.mean))
+        return out
+
     def overlaps(self, item: int, passage: list[bytes]) -> tuple[float, float, float]:
         """Shares of the item's shingles, of its question's shingles and of its answer's words that the passage holds."""
         whole, question, answer = self.verify[item]
@@ -181,41 +203,56 @@ class Index:
         right = np.concatenate([ids[1:], [-1]])
         right[starts[1:][sizes > 0] - 1] = -1  # no pair reaches into the next text
         ok = (ids >= 0) & (right >= 0)
-        single = np.flatnonzero(ids >= 0) if self.single else np.empty(0, np.int64)
-        at = np.concatenate([np.flatnonzero(ok), single])
-        pair = np.concatenate([ids[ok] << 32 | right[ok], ids[single] << 32 | ids[single]])
+        alone = np.flatnonzero(ids >= 0) if self.single else np.empty(0, np.int64)
+        at = np.concatenate([np.flatnonzero(ok), alone])
+        last = np.concatenate([at[: len(at) - len(alone)] + 1, alone])
+        pair = np.concatenate([ids[ok] << 32 | right[ok], ids[alone] << 32])
         slot = np.searchsorted(self.keys, pair)
         hit = (slot < len(self.keys)) & (self.keys[np.minimum(slot, len(self.keys) - 1)] == pair)
-        at, slot = at[hit], slot[hit]
-        if not len(at):
-            return out
-        order = np.argsort(at, kind="stable")
-        at, slot = at[order], slot[order]
+        order = np.flatnonzero(hit)[np.argsort(at[hit], kind="stable")]
+        at, last, term = at[order], last[order], self.term[slot[order]]
+        for of in self.classes:
+            own = of.own[term]
+            here = own >= 0
+            if here.any():
+                self._search(of, cut, starts, at[here], last[here], term[here], own[here], threshold, out)
+        return out
+
+    def _search(self, of: Postings, cut: list, starts: np.ndarray, at: np.ndarray, last: np.ndarray, term: np.ndarray, own: np.ndarray, threshold: float, out: list[dict]) -> None:
+        """The class's part of search. at, last, term, own: first and last word of each pair found, in order, and its numbers."""
+        per = 2 * of.longest  # a passage that starts in a bin ends in it or in the next
         doc = np.searchsorted(starts, at, side="right") - 1
-        per = self.longest
-        bins = np.concatenate([[0], np.cumsum(sizes // per + 2)])  # one spare bin, so that windows don't run into the next text
+        bins = np.concatenate([[0], np.cumsum(np.diff(starts) // per + 2)])  # one spare bin, so that passages don't run into the next text
         where = bins[doc] + (at - starts[doc]) // per
-        mass = np.bincount(where, self.most[slot], int(bins[-1]))
-        reach = mass + np.concatenate([mass[1:], [0.0]])
-        for b in np.flatnonzero(reach >= threshold - 1e-9).tolist():
+        used, first = np.unique(where, return_index=True)
+        mass = np.add.reduceat(of.most[own], first)
+        near = np.concatenate([np.where(used[1:] == used[:-1] + 1, mass[1:], 0.0), [0.0]])
+        # a passage may start in a bin that holds no pair of its own and have them all in the next one
+        behind = used[mass >= threshold - 1e-9] - 1
+        for b in np.union1d(used[mass + near >= threshold - 1e-9], behind[behind >= 0]).tolist():
             d = int(np.searchsorted(bins, b, side="right")) - 1
-            lo = (b - int(bins[d])) * per
             low, high = np.searchsorted(where, [b, b + 2])
-            terms = np.unique(slot[low:high])
-            if self.most[terms].sum() < threshold - 1e-9:
+            terms = np.unique(own[low:high])
+            lo = (b - int(bins[d])) * per
+            if lo >= len(cut[d]) or of.most[terms].sum() < threshold - 1e-9:
                 continue
-            passage = cut[d][lo : lo + 2 * per]
-            reached: dict[int, float] = {}
-            for entry, score in self.wand(terms.tolist(), threshold):
-                item = self.item_of[entry]
-                reached[item] = max(score, reached.get(item, 0.0))
-            for item, score in reached.items():
-                whole, question, answer = self.overlaps(item, passage)
-                if whole >= OVERLAP or (question >= OVERLAP and answer >= OVERLAP):
-                    best = out[d].get(item)
-                    if best is None or (whole, score) > (best[1], best[0]):
-                        out[d][item] = (score, whole, question, answer)
-        return out
+            entries: dict[int, list[int]] = {}
+            for e, _ in of.wand(terms.tolist(), threshold):
+                entries.setdefault(of.items[e], []).append(e)
+            base = int(starts[d])
+            for item, mine in entries.items():
+                n = len(self.items[item][1])
+                for s in passage_starts(n, lo, min(lo + per, len(cut[d]))):
+                    f, t = low + np.searchsorted(at[low:high], [base + s, base + s + 2 * n])
+                    have = set(term[f:t][last[f:t] < base + s + 2 * n].tolist())
+                    score = max(math.fsum(w for x, w in of.impacts_of[e].items() if x in have) for e in mine)
+                    if score < threshold - 1e-9:
+                        continue
+                    whole, question, answer = self.overlaps(item, cut[d][s : s + 2 * n])
+                    if whole >= OVERLAP or (question >= OVERLAP and answer >= OVERLAP):
+                        best = out[d].get(item)
+                        if best is None or (whole, score) > (best[1], best[0]):
+                            out[d][item] = (score, whole, question, answer)
 
 
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,13 +279,13 @@ def indexes(benchmark: DataFrame, text_col: str = "text", index_bytes: int = IND
     if parts == 1:
         return [spark.sparkContext.broadcast(Index(items(0), block))]
     size = F.greatest(F.col("n") - 1, F.lit(1))
-    n, mean, longest = texts.select("t").mapInArrow(_sizes, "n long").filter("n > 0").agg(F.count("*"), F.avg(size), F.max("n")).first()
+    n, mean = texts.select("t").mapInArrow(_sizes, "n long").filter("n > 0").agg(F.count("*"), F.avg(size)).first()
     df = cut(texts.select("t", "part").mapInArrow(_pair_rows, "a binary, b binary, part long").groupBy("a", "b").agg(F.count("*").alias("n"), F.collect_set("part").alias("parts")).filter("n > 1"))
     out = []
     for k in range(parts):
         own = df.filter(F.array_contains("parts", F.lit(k).cast("long"))).select("a", "b", "n").toArrow()
         of = {(a, b): m for a, b, m in zip(*(c.to_pylist() for c in own.columns), strict=True)}
-        out.append(spark.sparkContext.broadcast(Index(items(k), block, Statistics(n, mean or 1.0, longest or 1, of))))
+        out.append(spark.sparkContext.broadcast(Index(items(k), block, Statistics(n, mean or 1.0, of))))
     return out
 
 

@@ -28,12 +28,13 @@ def corpus(seed=1):
 
 
 def brute(docs, items):
-    """BM25 over word pairs from its formula, every passage against the whole and the question of every item, nothing skipped."""
+    """BM25 over word pairs from its formula, every passage of every item against its whole and its question, nothing skipped.
+    Passages: twice the item's words, from every multiple of half of them."""
     words = lambda t: words_az((t or "").encode())
-    bigrams = lambda w: [*zip(w, w[1:])] if len(w) > 1 else [(x, x) for x in w]
+    bigrams = lambda w: [*zip(w, w[1:])] if len(w) > 1 else [(x, "") for x in w]
     texts = sorted({t for _, t in items if words(t)})
     n, sizes = len(texts), [len(bigrams(words(t))) for t in texts]
-    mean, longest = sum(sizes) / n, max(len(words(t)) for t in texts)
+    mean = sum(sizes) / n
     df = {}
     for t in texts:
         for p in set(bigrams(words(t))):
@@ -52,16 +53,16 @@ def brute(docs, items):
         parts = [x for x in re.split(r"(?<=[.!?])\s+|\n+", t) if x.strip()]
         question, answer = (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (t, t)
         known.append((words(t), words(question), set(words(answer)), [weights(words(t)), weights(words(question))], [i for i, x in items if x == t]))
-    single = any(len(w) == 1 or len(q) == 1 for w, q, *_ in known)
     out = []
     for d, text, _ in docs:
         w, hits = words(text), set()
-        for lo in range(0, len(w), longest):
-            passage = w[lo : lo + 2 * longest]
-            have = set(zip(passage, passage[1:])) | ({(x, x) for x in passage} if single else set())
-            for k, (own, question, answer, entries, _) in enumerate(known):
+        for k, (own, question, answer, entries, _) in enumerate(known):
+            for lo in range(0, len(w), max(1, len(own) // 2)):
+                passage = w[lo : lo + 2 * len(own)]
+                have = {*zip(passage, passage[1:]), *((x, "") for x in passage)}
                 if any(sum(x for p, x in e.items() if p in have) >= (op8.THRESHOLD - 1e-9) * sum(e.values()) for e in entries):
-                    held = lambda s: len([x for x in five(s) if any(tuple(passage[j : j + len(x)]) == x for j in range(len(passage)))]) / len(five(s))  # noqa: B023, E731
+                    grams = {m: {*zip(*(passage[j:] for j in range(m)))} for m in range(1, 6)}  # noqa: B023
+                    held = lambda s: len([x for x in five(s) if x in grams[len(x)]]) / len(five(s))  # noqa: B023, E731
                     if held(own) >= 0.8 or (held(question) >= 0.8 and len(answer & set(passage)) >= 0.8 * len(answer)):
                         hits.add(k)
         out += [(d, i) for k in hits for i in known[k][4]]
@@ -112,3 +113,35 @@ def test_equal_items_each_have_their_row(spark):
     d = spark.createDataFrame([(1, "so " + items[0][1] + " indeed")], "doc_id long, text string")
     assert sorted(r["item_id"] for r in op8.leaks(d, b).collect()) == list(range(40))
     assert sorted(r["item_id"] for r in op8.leaks(d, b, index_bytes=20).collect()) == list(range(40))
+
+
+def test_a_long_item_changes_no_other_items_finds(spark):
+    """Answer words spread over a thousand words are no find of a short item, with or without a long item beside it."""
+    rng = random.Random(9)
+    _, items = corpus()
+    some = [(i, t) for i, t in items if t and i is not None and len(t.split()) >= 20][:50]
+    question = "Which of the seven bridges over the upper river was the first to be built by the town itself?"
+    answer = "Its oldest stone arch stands behind mill lane near saint olaf market"
+    some.append((700, question + " " + answer))
+    filler = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    far = question + " " + " ".join(w + " " + filler(80) for w in answer.split(" "))
+    near = question + " " + filler(5) + " " + answer
+    docs = [(1, far), (2, filler(333) + " " + near + " " + filler(50)), *((1000 + i, filler(7) + " " + t + " " + filler(900)) for i, t in some[:20])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    found = []
+    for extra in ([], [(800, filler(3000) + ".")]):
+        b = spark.createDataFrame(some + extra, "item_id long, text string")
+        found.append({(r["doc_id"], r["item_id"]) for r in op8.leaks(d, b).collect()})
+        assert found[-1] == set(brute([(i, t, "") for i, t in docs], some + extra))
+    assert found[0] == found[1] and (2, 700) in found[0] and 1 not in {x for x, _ in found[0]}
+    assert {(1000 + i, i) for i, _ in some[:20]} <= found[0]
+
+
+def test_pairs_that_lie_over_the_ends_of_bins():
+    """Items that start anywhere, bins before them empty, one-word items beside doubled words."""
+    items = [(1, "alpha beta gamma delta epsilon zeta eta theta iota"), (2, "echo"), (3, "bye bye"), (4, "one two three four five six seven eight nine ten eleven")]
+    index = op8.Index(items)
+    for k in range(60):
+        texts = [("x " * k + t + " y" * 40).encode() for _, t in items]
+        assert [set(x) for x in index.search(texts, 0.5)] == [{0}, {1}, {2}, {3}]
+    assert index.search([b"bye and bye", b"", b"x"], 0.5) == [{}, {}, {}]
