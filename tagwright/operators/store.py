@@ -110,3 +110,55 @@ def nested(rows: DataFrame, inner: str, raw: str = "raw_json") -> DataFrame:
     one = rows.select(*(c for c in rows.columns if c != raw), F.explode(F.from_json(raw, f"map<string,map<string,{inner}>>")).alias("outer", "__m"))
     two = one.select(*(c for c in one.columns if c != "__m"), F.explode("__m").alias("middle", "__s"))
     return two.select(*(c for c in two.columns if c != "__s"), "__s.*")
+
+
+# Fixed value: the user who sees everything.
+ADMIN = "admin"
+
+
+def owned_projects(projects: DataFrame, runs: DataFrame, user: str, unstarted: bool = False) -> DataFrame:
+    """projects (id) in which the user has started a run (project_id, initiated_by); with ``unstarted`` also those without any. An admin has all."""
+    if user.strip().lower() == ADMIN:
+        return projects
+    own = runs.groupBy("project_id").agg(F.max(F.coalesce(F.col("initiated_by") == user, F.lit(False))).alias("__own"))
+    j = projects.join(own, projects["id"] == own["project_id"], "left")
+    return j.filter(F.coalesce("__own", F.lit(unstarted))).select(*(projects[c] for c in projects.columns))
+
+
+def owned_runs(runs: DataFrame, user: str) -> DataFrame:
+    return runs if user.strip().lower() == ADMIN else runs.filter(F.trim("initiated_by") == user)
+
+
+def permitted(artifacts: DataFrame, runs: DataFrame, user: str) -> DataFrame:
+    """artifacts (run_id) of the runs that the user may see; an admin sees also those whose run is gone."""
+    if user.strip().lower() == ADMIN:
+        return artifacts
+    return artifacts.join(owned_runs(runs, user).select(F.col("id").alias("run_id")), "run_id", "left_semi")
+
+
+def audit(log: DataFrame, user: str | None = None, action: str | None = None, since: Column | None = None, most: int = 100) -> DataFrame:
+    """The latest entries (id, user_id, action, created) that meet every condition given, newest first, larger ids first on ties."""
+    for name, wanted in (("user_id", user), ("action", action)):
+        log = log if wanted is None else log.filter(F.col(name) == wanted)
+    log = log if since is None else log.filter(F.col("created") >= since)
+    return log.orderBy(F.desc("created"), F.desc("id")).limit(most)
+
+
+def linked(issues: DataFrame, rows: DataFrame) -> DataFrame:
+    """issues with row_id, the first stored row of the same tag, whatever its case, document and page; null if there is none."""
+    key = lambda df: df.withColumn("__tag", F.upper("tag"))
+    first = key(rows).groupBy("__tag", "pdf", "page").agg(F.min("id").alias("row_id"))
+    return key(issues).join(first, ["__tag", "pdf", "page"], "left").select(*issues.columns, "row_id")
+
+
+def patched(issues: DataFrame, changes: DataFrame) -> DataFrame:
+    """issues with the new statuses of changes (id, new_status); one that is resolved keeps its time, or takes that of its creation."""
+    j = issues.join(changes.select("id", "new_status"), "id", "left")
+    done = F.when(F.col("new_status") == "RESOLVED", F.coalesce("resolved_at", "created_at")).otherwise(F.col("resolved_at"))
+    return j.withColumns({"status": F.coalesce("new_status", "status"), "resolved_at": done}).select(*issues.columns)
+
+
+def with_values(rows: DataFrame, values: str, names: dict[str, list[str]]) -> DataFrame:
+    """rows whose columns take the first value, not blank, of their names in a map; else they keep their own, trimmed, and null is blank."""
+    held = lambda c, of: X.first_of(*(F.try_element_at(values, F.lit(n)) for n in of), F.col(c))
+    return rows.withColumns({c: F.trim(F.coalesce(held(c, of), F.lit(""))) for c, of in names.items()})
