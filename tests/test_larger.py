@@ -30,3 +30,14 @@ def test_kinds_as_by_the_patterns_alone(spark):
     plain = F.when(u.rlike("^" + drawing.MC) & u.rlike(drawing.JB), "MC").when(u.rlike(drawing.JB), "JB").when(u.rlike(drawing.MC), "MC").when(u.rlike(drawing.SPARE), "SPARE").when(tag, "Tag").when(u.rlike(drawing.CABLE), "Cable").otherwise("Unknown")
     got = words.select("text", drawing.kind(F.col("text")).alias("kind"), plain.alias("plain"))
     assert got.filter("kind <> plain").collect() == [] and got.select("kind").distinct().count() == 6
+
+
+def test_thinned_in_one_stream(spark):
+    draw = random.Random(3)
+    rows = [("a", k % 3, draw.randrange(200), draw.randrange(900), k, "SPARE") for k in range(600)]
+    out = drawing.thinned(spark.createDataFrame(rows, "pdf string, page long, x int, y int, seq long, kind string"))
+    for page in range(3):
+        own = sorted((r for r in rows if r[1] == page), key=lambda r: (r[3], r[2], r[4]))
+        kept = [r[4] for r, stays in zip(own, drawing.thin([(r[2], r[3]) for r in own]), strict=True) if stays]
+        assert sorted(kept) == sorted(r["seq"] for r in out.filter(F.col("page") == page).collect())
+    assert "FlatMapGroups" not in plan(out)  # no call for each page
