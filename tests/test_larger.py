@@ -6,7 +6,7 @@ from io import StringIO
 
 from pyspark.sql import functions as F
 
-from tagwright.operators import drawing
+from tagwright.operators import drawing, match
 
 
 def plan(df) -> str:
@@ -41,3 +41,8 @@ def test_thinned_in_one_stream(spark):
         kept = [r[4] for r, stays in zip(own, drawing.thin([(r[2], r[3]) for r in own]), strict=True) if stays]
         assert sorted(kept) == sorted(r["seq"] for r in out.filter(F.col("page") == page).collect())
     assert "FlatMapGroups" not in plan(out)  # no call for each page
+
+
+def test_references_are_not_broadcast(spark):
+    refs = spark.createDataFrame([("TE-1", 1)], "reference string, ref_seq int")
+    assert "BroadcastHashJoin" not in plan(match.exact(spark.createDataFrame([("te_1",)], "tag string"), refs))
