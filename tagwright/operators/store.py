@@ -152,8 +152,9 @@ def linked(issues: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def patched(issues: DataFrame, changes: DataFrame) -> DataFrame:
-    """issues with the new statuses of changes (id, new_status); one that is resolved keeps its time, or takes that of its creation."""
-    j = issues.join(changes.select("id", "new_status"), "id", "left")
+    """issues with the new statuses of changes (id, new_status); one that is resolved keeps its time, or takes that of its creation. Of several
+    changes of an id the last by name holds, so an issue stays one row."""
+    j = issues.join(changes.groupBy("id").agg(F.max("new_status").alias("new_status")), "id", "left")
     done = F.when(F.col("new_status") == "RESOLVED", F.coalesce("resolved_at", "created_at")).otherwise(F.col("resolved_at"))
     return j.withColumns({"status": F.coalesce("new_status", "status"), "resolved_at": done}).select(*issues.columns)
 

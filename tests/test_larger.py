@@ -6,7 +6,7 @@ from io import StringIO
 
 from pyspark.sql import functions as F
 
-from tagwright.operators import drawing, match
+from tagwright.operators import drawing, match, store
 
 
 def plan(df) -> str:
@@ -32,6 +32,12 @@ def test_kinds_as_by_the_patterns_alone(spark):
     assert got.filter("kind <> plain").collect() == [] and got.select("kind").distinct().count() == 6
 
 
+def test_an_issue_stays_one_row(spark):
+    issues = spark.createDataFrame([(1, "OPEN"), (1, "OPEN"), (2, "OPEN")], "id long, status string").withColumns({"created_at": F.lit(5), "resolved_at": F.lit(None).cast("int")})
+    changes = spark.createDataFrame([(1, "RESOLVED"), (1, "RESOLVED"), (1, "IGNORED")], "id long, new_status string")
+    assert sorted(tuple(r) for r in store.patched(issues, changes).select("id", "status", "resolved_at").collect()) == [(1, "RESOLVED", 5), (1, "RESOLVED", 5), (2, "OPEN", None)]
+
+
 def test_thinned_in_one_stream(spark):
     draw = random.Random(3)
     rows = [("a", k % 3, draw.randrange(200), draw.randrange(900), k, "SPARE") for k in range(600)]
