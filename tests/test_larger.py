@@ -6,7 +6,7 @@ from io import StringIO
 
 from pyspark.sql import functions as F
 
-from tagwright.operators import drawing, match, store
+from tagwright.operators import clean, drawing, match, store
 
 
 def plan(df) -> str:
@@ -52,3 +52,10 @@ def test_thinned_in_one_stream(spark):
 def test_references_are_not_broadcast(spark):
     refs = spark.createDataFrame([("TE-1", 1)], "reference string, ref_seq int")
     assert "BroadcastHashJoin" not in plan(match.exact(spark.createDataFrame([("te_1",)], "tag string"), refs))
+
+
+def test_spellings_are_computed_once_a_row(spark):
+    io = spark.createDataFrame([("t", "jb-1", "a.o", "i.s", "local")], "tag string, jb string, io_type string, safety string, location string").filter("tag > ''")
+    cleaned = clean.clean(io)
+    assert cleaned.select("tag", "jb", "io", "safety", "location").collect() == [("T", "JB-1", "AO", "IS", "LCP")]
+    assert plan(cleaned.select("io")).split("== Physical Plan ==")[1].count("regexp_replace") <= 3
