@@ -5,8 +5,10 @@ from contextlib import redirect_stdout
 from io import StringIO
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tagwright.operators import clean, drawing, match, store
+from tagwright.operators import assign, clean, drawing, match, store
+from tagwright.sources.tables import placed
 
 
 def plan(df) -> str:
@@ -49,6 +51,15 @@ def test_thinned_in_one_stream(spark):
     assert "FlatMapGroups" not in plan(out)  # no call for each page
 
 
+def test_places_in_groups_as_large_as_the_table(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 7 > 0, F.col("id") * 37 % 101).alias("a"), F.col("id").alias("b")).withColumn("g", F.when(F.col("b") % 10 > 0, F.col("g")))
+    out = placed(df, ["g"], [F.desc("a"), "b"], "place")
+    want = df.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("a"), "b")))
+    assert out.exceptAll(want.withColumn("place", F.col("place").cast("long"))).count() == 0 and out.count() == 5000
+    signals = spark.createDataFrame([("AI", "IS", f"JB-{k}", 1) for k in range(10)], "io string, safety string, jb string, rank_location int")
+    assert "__range" in plan(assign.spare_slots(signals))
+
+
 def test_references_are_not_broadcast(spark):
     refs = spark.createDataFrame([("TE-1", 1)], "reference string, ref_seq int")
     assert "BroadcastHashJoin" not in plan(match.exact(spark.createDataFrame([("te_1",)], "tag string"), refs))
