@@ -331,7 +331,7 @@ LABELS = " UNION ALL ".join([
 @query(f"""WITH v AS ({LABELS}), b AS (SELECT page, n, y, CASE WHEN x < 100 THEN 100 - x - 10 ELSE x - 140 END AS gap FROM v WHERE seq = 2)
 SELECT 'a' AS pdf, page, 1 AS seq, CAST(CASE n % 4 WHEN 1 THEN 2 ELSE CASE WHEN abs(y - 60) <= 6 AND gap BETWEEN 0 AND 18 THEN 1 + n % 9 ELSE 1 END END AS INT) AS spares FROM b""")
 def j10_x24_counts_beside_labels(spark, sf):
-    return drawing.spare_counts(drawing.classified(A.view(spark, sf, LABELS)))
+    return drawing.spare_counts(stored(drawing.classified(A.view(spark, sf, LABELS))))  # read in four branches
 
 
 @query(f"""WITH {SQL_BY_AREA}, s AS (SELECT * FROM kinds), {SQL_NUMBERED}, h AS (SELECT pdf, page, CAST(max(number) AS INT) AS highest FROM numbered WHERE kind = 'Tag' GROUP BY pdf, page),

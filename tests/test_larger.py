@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tagwright.operators import assign, clean, drawing, match, store
+from tagwright.plans import more, queries, sheets  # noqa: F401
 from tagwright.sources.tables import placed
 
 
@@ -70,3 +71,8 @@ def test_spellings_are_computed_once_a_row(spark):
     cleaned = clean.clean(io)
     assert cleaned.select("tag", "jb", "io", "safety", "location").collect() == [("T", "JB-1", "AO", "IS", "LCP")]
     assert plan(cleaned.select("io")).split("== Physical Plan ==")[1].count("regexp_replace") <= 3
+
+
+def test_kinds_are_written_once_a_query(spark):
+    for name in ("x24_spare_counts", "j10_x24_counts_beside_labels", "j04_spare_counts_on_rows"):
+        assert "FRT|NC" not in plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
