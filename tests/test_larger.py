@@ -105,3 +105,12 @@ def test_spellings_are_computed_once_a_row(spark):
 def test_kinds_are_written_once_a_query(spark):
     for name in ("x24_spare_counts", "j10_x24_counts_beside_labels", "j04_spare_counts_on_rows"):
         assert "FRT|NC" not in plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_spares_and_demand_deal_the_signals_once(spark):
+    columns = "seq long, tag string, jb string, io string, safety string, location string, terminal_1 string, terminal_2 string, src string, rank_io int, rank_safety int, rank_location int"
+    signals = spark.createDataFrame([(k, "t", f"JB-{k % 4}", "AI", "IS", "MCC" if k % 3 else "FIELD", "T01", "T02", "", 1, 1, 1 + k % 3) for k in range(20)], columns)
+    with_terminals, without = assign.with_hot_spares(signals), assign.with_hot_spares(signals, terminals=False)
+    assert sorted(map(tuple, with_terminals.drop("terminal_1", "terminal_2").collect())) == sorted(map(tuple, without.collect())) and without.count() == 24
+    assert "regexp" in plan(with_terminals) and "regexp" not in plan(without)  # no search for the boxes' last terminals
+    assert plan(assign.demands(signals)).split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1
