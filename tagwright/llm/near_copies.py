@@ -1,9 +1,10 @@
-"""Near copies of whole documents: MinHash bands of five-word shingles, verified on the shingles; one document of each group stays.
+"""Near copies of whole documents: op7's fingerprints linked by Golay keys, and MinHash bands of five-word shingles, both verified on the
+shingles; one document of each group stays.
 
 Documents with the same words (A-Z lower-cased) are one text. A text has a key of 64 bits for each of ``BANDS`` bands: a hash of the least
 values of its shingles under ``ROWS`` functions. Texts of similarity J share a key but for a chance of (1 - J^ROWS)^BANDS: 3 in a million
 at J = 0.8, less above, and texts without common words in a row share none however many there are. All texts of a key are linked, each
-to the least of them; the components of these links are clusters. Within a cluster texts are compared for real, by the Jaccard similarity
+to the least of them, and so are the texts whose fingerprints op7 links; the components of these links are clusters. Within a cluster texts are compared for real, by the Jaccard similarity
 of their sets of five-word shingles: the components of the similar pairs are groups, and of each the text with the smallest id stays.
 Large clusters are dealt at random into chunks of bounded size, twice over; texts of groups that are still apart are then compared chunk
 by chunk, so that no pair in different groups is left out. No row is ever made for each pair of texts.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, free_names, slices, utf8, words_az
 from .components import components
-from .op7_simhash import shingles
+from .op7_simhash import fingerprint, links, shingles
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, BUCKETS = 32, 5, 128
@@ -65,7 +66,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = utf8(batch.column(1))
             node = np.array([identity(t) for t in texts], np.uint64).view(np.int64)
             keys = pa.array([band_keys(shingle_hashes(words_az(t))) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node), keys], ["id", "hash", "node", "keys"])
+            fp = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node), keys, fp], ["id", "hash", "node", "keys", "fp"])
 
 
 def loose_links(signed: DataFrame) -> DataFrame:
@@ -75,6 +77,16 @@ def loose_links(signed: DataFrame) -> DataFrame:
     return keyed.join(least, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
+def fingerprint_links(signed: DataFrame) -> DataFrame:
+    """Links (a, b) between texts whose fingerprints differ in at most op7's three bits, found by its Golay keys: from the least text of a
+    fingerprint to its others, and between the least texts of linked fingerprints. signed: node, fp."""
+    least = cut(signed.groupBy("fp").agg(F.min("node").alias("a")))
+    same = signed.join(least, "fp").filter("a <> node").select("a", F.col("node").alias("b"))
+    of = {k: least.select(F.col("fp").alias(f"fp_{k}"), F.col("a").alias(f"node_{k}")) for k in "ab"}
+    near = links(least.select("fp")).withColumnsRenamed({"a": "fp_a", "b": "fp_b"}).join(of["a"], "fp_a").join(of["b"], "fp_b")
+    return same.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).filter("a <> b").distinct()
+
+
 def similar(a: set, b: set) -> bool:
     """Jaccard similarity of at least 0.8; two texts without words are equal."""
     if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
@@ -169,10 +181,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents without all but one of each group of copies and near copies; all columns."""
     hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), hashed.alias("hash")).mapInArrow(_sign, f"id {kind}, hash long, node long, keys array<long>"))
+    signed = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), hashed.alias("hash")).mapInArrow(_sign, f"id {kind}, hash long, node long, keys array<long>, fp long"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first")
     texts = cut(signed.groupBy("node").agg(first).select("node", "first.id", "first.hash"))
-    clusters = components(loose_links(signed))
+    clusters = components(loose_links(signed).unionByName(fingerprint_links(signed)))
     members = cut(texts.join(clusters.withColumnRenamed("root", "cluster"), "node"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

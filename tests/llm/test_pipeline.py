@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 from tagwright.llm.common import words_az
-from tagwright.llm.near_copies import leaders, loose_links, one_of_each, similar
+from tagwright.llm.near_copies import fingerprint_links, leaders, loose_links, one_of_each, similar
 from tagwright.llm.op7_simhash import shingles
 
 
@@ -174,3 +174,8 @@ def test_short_copies_with_a_long_word_more_go(spark):
     assert all(similar(sets(" ".join(texts[k])), sets(" ".join(texts[20 + k]))) for k in range(20))
     kept = one_of_each(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"))
     assert {r["doc_id"] for r in kept.collect()} == set(range(20))
+
+
+def test_near_copies_meet_by_golay_keys_of_fingerprints(spark):
+    signed = spark.createDataFrame([(1, 0b0), (2, 0b0), (3, 0b1011), (4, 0b11110000), (5, 0b1 << 40)], "node long, fp long")
+    assert {tuple(r) for r in fingerprint_links(signed).collect()} == {(1, 2), (1, 3), (1, 5)}
