@@ -7,11 +7,16 @@ bands of it, so no page needs more than its own rows and no two spans meet that
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, partial
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions import text as X
@@ -20,6 +25,8 @@ from . import match
 from .catalogue import Catalogue, cable_description, example_list
 
 PAGE = ["pdf", "page"]
+#: The same for sorting: Spark compares the first column's first bytes before all else, and many documents' names begin alike.
+NUMBER_FIRST = PAGE[::-1]
 # Windows around a motor cable in which its cable is looked for, one after the other (to the left, to the right, up and down);
 # how much a step down and a place above it weigh; how far parts of a cable may be from it and from each other; the slack of a span's box,
 # the words of an identifier, and how far and how many fragments follow one another.
@@ -117,55 +124,155 @@ def words_inside(spans: DataFrame, words: DataFrame, slack: int = SLACK) -> Data
     s = s.withColumn("cx", _cells(F.col("s_x") - slack, F.col("s_x") + F.col("s_w") + slack, CELL)).withColumn("cy", _cells(F.col("s_y") - slack, F.col("s_y") + F.col("s_h") + slack, CELL))
     w = words.select(*PAGE, F.col("seq").alias("word_seq"), "x", "y", "w", "h", "text", "confidence", F.floor(F.col("x") / CELL).alias("cx"), F.floor(F.col("y") / CELL).alias("cy"))
     inside = (F.col("x") >= F.col("s_x") - slack) & (F.col("y") >= F.col("s_y") - slack) & (F.col("x") + F.col("w") <= F.col("s_x") + F.col("s_w") + slack) & (F.col("y") + F.col("h") <= F.col("s_y") + F.col("s_h") + slack)
-    return s.join(w, [*PAGE, "cx", "cy"]).filter(inside).select(*PAGE, "seq", "word_seq", "x", "y", "w", "h", "text", "confidence")
+    return s.join(w, [*NUMBER_FIRST, "cx", "cy"]).filter(inside).select(*PAGE, "seq", "word_seq", "x", "y", "w", "h", "text", "confidence")
 
 
-def _key(text: str) -> str:
-    return "".join(text.upper().split()).replace("_", "").replace("-", "")
+@lru_cache(1 << 16)
+def _key(text: str | None) -> str:
+    return "".join((text or "").upper().split()).replace("_", "").replace("-", "")
 
 
-def dealt_words(candidates: list[str], words: list[tuple[int, int, int, int, float, str]], most: int = WORDS) -> list[tuple[int, int, int, int, float, str]] | None:
-    """The words (y, x, w, h, confidence, text, in reading order) with those of each candidate put together; None unless every candidate is
-    found. A candidate takes the first run of at most ``most`` free words that spells it, separators aside."""
+def found_runs(candidates: list[str], keys: list[str], most: int = WORDS) -> list[tuple[int, int]] | None:
+    """For each candidate, once, the first run (from, to) of at most ``most`` free words whose keys spell it; None unless all are found."""
     used: set[int] = set()
     out = []
     for candidate in dict.fromkeys(candidates):
-        wanted = _key(candidate)
-        runs = ((i, j) for i in range(len(words)) for j in range(i + 1, min(len(words), i + most) + 1))
-        found = next(((i, j) for i, j in runs if not used.intersection(range(i, j)) and _key("".join(w[5] for w in words[i:j])) == wanted), None)
-        if found is None:
+        wanted, found = _key(candidate), None
+        for i in range(len(keys)):
+            spelt = ""
+            for j in range(i, min(len(keys), i + most)):
+                spelt += keys[j]
+                if j in used or not wanted.startswith(spelt):
+                    break
+                if spelt == wanted:
+                    found = (i, j + 1)
+                    break
+            if found:
+                break
+        if not found:
             return None
         used.update(range(*found))
-        run = words[slice(*found)]
-        y, x = min(w[0] for w in run), min(w[1] for w in run)
-        out.append((y, x, max(w[1] + w[2] for w in run) - x, max(w[0] + w[3] for w in run) - y, min(w[4] for w in run), candidate))
-    return sorted([*out, *(w for k, w in enumerate(words) if k not in used)], key=lambda w: w[:2]) if words else None
-
-
-_NAMES = ["y", "x", "w", "h", "confidence", "text"]
-_WORD_TYPE = T.StructType([*(T.StructField(n, T.IntegerType()) for n in _NAMES[:4]), T.StructField("confidence", T.DoubleType()), T.StructField("text", T.StringType())])
+        out.append(found)
+    return out
 
 
-@F.pandas_udf(T.ArrayType(_WORD_TYPE))
-def _dealt(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for candidates, words in batches:
-        made = (dealt_words(list(c), [tuple(w[n] for n in _NAMES) for w in ws]) for c, ws in zip(candidates, words, strict=True))
-        yield pd.Series([m and [dict(zip(_NAMES, w, strict=True)) for w in m] for m in made], dtype=object)
+def dealt_words(candidates: list[str], words: list[tuple[int, int, int, int, float, str]], most: int = WORDS) -> list[tuple[int, int, int, int, float, str]] | None:
+    """The words (y, x, w, h, confidence, text, in reading order) with those of each candidate put together; None unless every candidate is
+    found. A candidate takes the first run of at most ``most`` free words that spells it, separators aside."""
+    runs = found_runs(candidates, [_key(w[5]) for w in words], most)
+    if runs is None or not words:
+        return None
+    out = []
+    for candidate, (i, j) in zip(dict.fromkeys(candidates), runs, strict=True):
+        run = words[i:j]
+        y, x = min(w[0] for w in run), min(w[1] for w in run)
+        out.append((y, x, max(w[1] + w[2] for w in run) - x, max(w[0] + w[3] for w in run) - y, min(w[4] for w in run), candidate))
+    used = {k for run in runs for k in range(*run)}
+    return sorted([*out, *(w for k, w in enumerate(words) if k not in used)], key=lambda w: w[:2])
+
+
+def _boxes(columns: dict[str, pa.Array], low: np.ndarray, high: np.ndarray) -> dict[str, np.ndarray]:
+    """x, y, w, h and least confidence of what the rows from low to high, side by side, have together."""
+    v = {n: columns[n].to_numpy(zero_copy_only=False) for n in ("x", "y", "w", "h", "confidence")}
+    over = lambda f, a: f.reduceat(np.append(a, a[-1:]), np.stack([low, high], 1).ravel())[::2]
+    x, y = over(np.minimum, v["x"]), over(np.minimum, v["y"])
+    return {"x": x, "y": y, "w": over(np.maximum, v["x"] + v["w"]) - x, "h": over(np.maximum, v["y"] + v["h"]) - y, "confidence": over(np.fmin, v["confidence"])}
+
+
+def _starts(columns: list[pa.Array]) -> np.ndarray:
+    """Where rows differ from the one before, and their number at the end."""
+    new = np.ones(len(columns[0]) + 1, bool)
+    new[1:-1] = False
+    for c in columns:
+        a, b = c[1:], c[:-1]
+        differs = pc.fill_null(pc.not_equal(a, b), True)
+        new[1:-1] |= pc.and_not(differs, pc.and_(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted rows in batches that end with a group, and where groups start. A group is held until the next one begins."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        if batch is None:
+            rest, held = held, []
+        else:
+            last = int(_starts([batch[c] for c in by])[-2])
+            if held and not last and len(_starts([pa.concat_arrays([held[-1][c][-1:], batch[c][:1]]) for c in by])) == 2:
+                held.append(batch)
+                continue
+            rest, held = [*held, batch.slice(0, last)], [batch.slice(last)]
+        rest = [r for r in rest if r.num_rows]
+        if rest:
+            rows = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+            yield rows, _starts([rows[c] for c in by])
+
+
+def _batch(schema: pa.Schema, columns: dict[str, pa.Array | np.ndarray]) -> pa.RecordBatch:
+    made = (columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], from_pandas=True) for f in schema)
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, schema, strict=True)], schema=schema)
+
+
+def _split(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Spans, each followed by its words in reading order: what split_spans gives for them."""
+    for rows, starts in _whole_groups(batches, [*PAGE, "seq"]):
+        is_span = pc.is_null(rows["word_seq"]).to_numpy(zero_copy_only=False)
+        keys = [_key(t) for t in rows["text"].to_pylist()]
+        candidates = rows["candidates"].to_pylist()
+        words_from = starts[:-1] + np.add.reduceat(is_span, starts[:-1], dtype=np.int64)
+        low, high, owner, text, stay = [], [], [], [], []
+        place = iter(range(len(rows), 1 << 62))  # candidates' texts come after the rows' in what is taken from
+        made: list[str] = []
+        for start, middle, end in zip(starts[:-1].tolist(), words_from.tolist(), starts[1:].tolist(), strict=True):
+            for span in range(start, middle):
+                runs = found_runs(candidates[span], keys[middle:end]) if candidates[span] and middle < end else None
+                if runs is None:
+                    stay.append(span)
+                    continue
+                used = set()
+                for candidate, (i, j) in zip(dict.fromkeys(candidates[span]), runs, strict=True):
+                    used.update(range(i, j))
+                    low.append(middle + i)
+                    high.append(middle + j)
+                    made.append(candidate)
+                    text.append(next(place))
+                free = [middle + k for k in range(end - middle) if k not in used]
+                low += free
+                high += [k + 1 for k in free]
+                text += free
+                owner += [span] * (len(runs) + len(free))
+        kept = rows.take(pa.array(stay, pa.int64()))
+        yield _batch(schema, {n: kept[n] for n in schema.names if n != "part"} | {"part": np.zeros(len(stay), np.int32)})
+        if owner:
+            columns = {n: rows[n] for n in rows.schema.names}
+            of = np.array(owner)
+            box = _boxes(columns, np.array(low), np.array(high))
+            order = np.lexsort((np.arange(len(of)), box["x"], box["y"], of))
+            of = of[order]
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            part = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
+            texts = pa.concat_arrays([rows["text"], pa.array(made, rows["text"].type)]).take(pa.array(np.array(text)[order]))
+            yield _batch(schema, {n: rows[n].take(pa.array(of)) for n in (*PAGE, "seq")} | {n: v[order] for n, v in box.items()} | {"text": texts, "part": part})
 
 
 def split_spans(spans: DataFrame, words: DataFrame, candidates: str = "candidates", alone: str = "alone") -> DataFrame:
     """spans with those that hold several identifiers split into their words: pdf, page, seq, part, x, y, w, h, text, confidence. The column
     ``candidates`` has a span's identifiers, ``alone`` says that the whole text is one. A span with identifiers that its words don't spell
-    stays as it is. What comes together for a span is its own words."""
-    whole = [F.col(c) for c in ("x", "y", "w", "h", "text", "confidence")]
-    several = spans.filter((F.size(candidates) > 0) & ~F.col(alone))
-    order = F.struct("y", "x", "word_seq", F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), F.col("confidence").cast("double").alias("confidence"), "text")
-    inside = words_inside(several, words).groupBy(*PAGE, "seq").agg(F.array_sort(F.collect_list(order)).alias("ws"))
-    plain = F.transform("ws", lambda w: F.struct(w["y"].cast("int").alias("y"), w["x"].cast("int").alias("x"), w["w"].alias("w"), w["h"].alias("h"), w["confidence"].alias("confidence"), w["text"].alias("text")))
-    dealt = stored(several.join(inside, [*PAGE, "seq"]).select(*PAGE, "seq", _dealt(F.col(candidates), plain).alias("made"))).filter("made is not null")
-    parts = dealt.select(*PAGE, "seq", F.posexplode("made").alias("part", "m")).select(*PAGE, "seq", F.col("part"), "m.x", "m.y", "m.w", "m.h", "m.text", "m.confidence")
-    rest = spans.join(dealt.select(*PAGE, "seq"), [*PAGE, "seq"], "left_anti").select(*PAGE, "seq", F.lit(0).alias("part"), *whole)
-    return parts.unionByName(rest)
+    stays as it is. Each span and the words inside it come side by side in one stream, and no more than a batch and a span are held."""
+    ints, box = ["x", "y", "w", "h"], ["x", "y", "w", "h", "text", "confidence"]
+    several = (F.size(candidates) > 0) & ~F.col(alone)
+    inside = words_inside(spans.filter(several), words)
+    by = [F.col("y").alias("by_y"), F.col("x").alias("by_x")]  # words are in order by what their boxes are before these are whole numbers
+    inside = inside.select(*PAGE, "seq", *by, "word_seq", *(F.col(c).cast("int").alias(c) for c in ints), "text", F.col("confidence").cast("double").alias("confidence"), F.lit(None).cast("array<string>").alias("candidates"))
+    none = lambda c: F.lit(None).cast(inside.schema[c].dataType).alias(c)
+    own = spans.select(*PAGE, "seq", none("by_y"), none("by_x"), none("word_seq"), *box, F.when(several, F.col(candidates)).cast("array<string>").alias("candidates"))
+    rows = own.unionByName(inside).repartition(*PAGE, "seq")
+    rows = rows.sortWithinPartitions(F.xxhash64(*PAGE, "seq"), *PAGE, "seq", F.col("word_seq").isNotNull(), "by_y", "by_x", "word_seq", *ints[2:], "confidence", "text")
+    rows = rows.select(*PAGE, "seq", "word_seq", *box, "candidates")
+    out = T.StructType([*(rows.schema[c] for c in (*PAGE, "seq")), T.StructField("part", T.IntegerType()), *(rows.schema[c] for c in box)])
+    return rows.mapInArrow(partial(_split, schema=to_arrow_schema(out)), out)
 
 
 def joined_fragments(spans: DataFrame, refs: DataFrame, known: str = "known") -> DataFrame:

@@ -129,6 +129,17 @@ def j21_o06_best_motors(spark, sf):
 
 # Spans of two tags and a note, and their words: the second tag's number may be a word of its own, and one word in seven lies outside.
 _LINES = "(SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS BIGINT) AS line FROM lineitem) AS lines"
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The numbered lines, written once: the views over them have a part for each word or fragment."""
+    return stored(A.view(spark, sf, f"SELECT l_orderkey, l_partkey, l_suppkey, line FROM {_LINES}"))
+
+
+def _of_lines(lines: DataFrame, sql: str) -> DataFrame:
+    return lines.sparkSession.sql(sql.replace(_LINES, "{lines} AS lines"), lines=lines)
+
+
 _TWO = "'TE-', CAST(100 + l_partkey % 900 AS STRING), ' FT-', CAST(100 + l_suppkey % 900 AS STRING)"
 _AT = "concat('pdf_', CAST(l_orderkey % 10 AS STRING)) AS pdf, l_orderkey AS page"
 TWO_TAGS = f"SELECT {_AT}, line AS seq, 100 AS x, CAST(200 * line AS INT) AS y, 300 AS w, 14 AS h, CAST(0.9 AS DOUBLE) AS confidence, concat({_TWO}, ' NOTE') AS text FROM {_LINES}"
@@ -144,7 +155,8 @@ TWO_TAGS_WORDS = " UNION ALL ".join([
 @query(f"""WITH s AS ({TWO_TAGS}), w AS ({TWO_TAGS_WORDS}) SELECT s.pdf, s.page, s.seq, w.seq AS word_seq, w.text FROM s JOIN w ON s.pdf = w.pdf AND s.page = w.page
   AND w.x >= s.x - 2 AND w.y >= s.y - 2 AND w.x + w.w <= s.x + s.w + 2 AND w.y + w.h <= s.y + s.h + 2""")
 def j13_s15_words_inside(spark, sf):
-    return spatial.words_inside(A.view(spark, sf, TWO_TAGS), A.view(spark, sf, TWO_TAGS_WORDS)).select("pdf", "page", "seq", "word_seq", "text")
+    lines = _lines(spark, sf)
+    return spatial.words_inside(_of_lines(lines, TWO_TAGS), _of_lines(lines, TWO_TAGS_WORDS)).select("pdf", "page", "seq", "word_seq", "text")
 
 
 @query(f"""WITH s AS ({TWO_TAGS}), t AS (SELECT *, split_part(text, ' ', 1) AS one, split_part(text, ' ', 2) AS two FROM s),
@@ -156,8 +168,9 @@ UNION ALL SELECT pdf, page, seq, 2, 'SEE', 210, 40 FROM j WHERE NOT outside AND
 UNION ALL SELECT pdf, page, seq, CASE WHEN apart THEN 2 ELSE 3 END, 'NOTE', 300, 102 FROM j WHERE NOT outside""")
 def t11_split_spans(spark, sf):
     found = F.regexp_extract_all(F.col("text"), F.lit("[A-Z]{2}-[0-9]+"), F.lit(0))
-    spans = A.view(spark, sf, TWO_TAGS).withColumns({"candidates": found, "alone": F.lit(False)})
-    return spatial.split_spans(spans, A.view(spark, sf, TWO_TAGS_WORDS)).select("pdf", "page", "seq", "part", "text", "x", "w")
+    lines = _lines(spark, sf)
+    spans = _of_lines(lines, TWO_TAGS).withColumns({"candidates": found, "alone": F.lit(False)})
+    return spatial.split_spans(spans, _of_lines(lines, TWO_TAGS_WORDS)).select("pdf", "page", "seq", "part", "text", "x", "w")
 
 
 # Tags in two or three fragments, one in three with its number too far away.

@@ -130,3 +130,33 @@ def test_fragments_are_taken_once(spark):
     refs = match.references(spark.createDataFrame([("TE-100", 1)], "reference string, ref_seq int"))
     got = [(r["seq"], r["last_seq"], r["text"], r["x"], r["w"]) for r in spatial.joined_fragments(spans, refs).orderBy("seq").collect()]
     assert got == [(0, 2, "TE - 10", 0, 40), (3, 3, "0", 42, 5), (4, 4, "TE-7", 60, 30), (5, 5, "TE", 100, 20), (6, 6, "5", 200, 5)]
+
+
+def test_splits_come_in_one_stream(spark):
+    """Groups that go over batches, spans without words and repeated spans, against a plain search for each span; no sort of words for each span in Python."""
+    rng = random.Random(8)
+    spans = [("a", p, k, 0, 100 * k, 600, 20, f"TE-{rng.randrange(2)} FT-{rng.randrange(2)}", 0.9) for p in range(6) for k in range(5)]
+    words = [("a", p, 10 * k + j, rng.randrange(0, 400), 100 * k + rng.randrange(3), 20, 9, t, rng.random())
+             for p in range(5) for k in range(5) for j, t in enumerate(rng.choices(["TE-0", "TE-1", "TE", "0", "1", "FT-0", "FT-1", "FT", "x"], k=rng.randrange(12)))]
+    spans.append(spans[0])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        given = spark.createDataFrame(spans, SPANS).withColumns({"candidates": F.split("text", " "), "alone": F.col("seq") == 4})
+        out = spatial.split_spans(given, spark.createDataFrame(words, SPANS))
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for s in spans:
+        own = sorted((w[4], w[3], w[2], *w[5:7], w[8], w[7]) for w in words if w[1] == s[1] and s[4] - 2 <= w[4] <= s[4] + 11)
+        own = [w for w in own for _ in range(1 + (s is spans[0] or s is spans[-1]))]
+        made = None if s[2] == 4 else spatial.dealt_words(s[7].split(), [(w[0], w[1], *w[3:]) for w in own])
+        want += [(*s[:3], k, x, y, w, h, t, c) for k, (y, x, w, h, c, t) in enumerate(made)] if made else [(*s[:3], 0, *s[3:])]
+    assert got == sorted(want)
+    assert len(got) > len(spans)
+    assert "Pandas" not in out._jdf.queryExecution().toString() and "ArrowEvalPython" not in out._jdf.queryExecution().toString()
+
+
+def test_views_of_lines_number_them_once(spark):
+    for name in ("t11_split_spans", "j13_s15_words_inside"):
+        assert "l_linenumber" not in sheets.query.__globals__["QUERIES"][name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
