@@ -280,36 +280,52 @@ def joined_fragments(spans: DataFrame, refs: DataFrame, known: str = "known") ->
     h, text, confidence. The column ``known`` says that a span holds an identifier by itself; it neither starts nor joins a run.
 
     In reading order each span may be followed by up to seven: each overlaps its predecessor's height by half and begins close after it. The
-    shortest run that spells a member wins, and the spans of a run don't start another: the runs of a page, few and small, are taken in order."""
-    order = Window.partitionBy(*PAGE).orderBy("y", "x", "seq")
-    one = F.struct("seq", "x", "y", "w", "h", "text", "confidence", F.col(known).alias("known"))
-    rows = spans.withColumn("at", F.row_number().over(order)).withColumn("me", one).withColumn("next", F.collect_list("me").over(order.rowsBetween(1, FOLLOWERS)))
-
-    def goes_on(a: Column, b: Column) -> Column:
-        gap, high = b["x"] - a["x"] - a["w"], F.greatest(a["h"], b["h"])
-        over = F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"])
-        return ~b["known"] & (over >= OVERLAP * F.least(a["h"], b["h"])) & (gap >= -SLACK) & (gap <= GAP_HEIGHTS * high)
-
-    longer = lambda s, b: F.struct(F.concat(s["run"], F.array(b)).alias("run"), F.lit(True).alias("open"))
-    ended = lambda s: F.struct(s["run"].alias("run"), F.lit(False).alias("open"))
-    start = F.struct(F.array("me").alias("run"), F.lit(True).alias("open"))
-    chain = F.aggregate("next", start, lambda s, b: F.when(s["open"] & goes_on(F.element_at(s["run"], -1), b), longer(s, b)).otherwise(ended(s)))["run"]
-    runs = rows.filter(~F.col(known)).select(*PAGE, "at", "seq", chain.alias("run")).filter(F.size("run") > 1)
-    tried = runs.withColumn("k", F.explode(F.sequence(F.lit(2), F.size("run")))).withColumn("run", F.slice("run", F.lit(1), F.col("k"))).withColumn("text", F.array_join(F.transform("run", lambda b: b["text"]), " "))
-    tried = stored(tried)
-    fits = tried.join(match.members(tried.select("text"), refs, "text"), "text", "left_semi")
-    shortest = fits.groupBy(*PAGE, "at").agg(F.min("k").alias("k"), F.min_by("run", "k").alias("run"), F.min_by("text", "k").alias("text"))
-    step = F.struct(F.col("at"), F.col("k"), "run", "text")
-    take = F.aggregate(
-        F.array_sort(F.collect_list(step)), F.struct(F.lit(0).alias("free"), F.array().cast("array<int>").alias("kept")),
-        lambda s, r: F.when(r["at"] >= s["free"], F.struct((r["at"] + r["k"]).alias("free"), F.concat(s["kept"], F.array(r["at"])).alias("kept"))).otherwise(s),
-    )["kept"]
-    kept = shortest.groupBy(*PAGE).agg(take.alias("kept")).select(*PAGE, F.explode("kept").alias("at"))
-    made = shortest.join(kept, [*PAGE, "at"])
-    least = lambda f: F.array_min(F.transform("run", f))
-    most = lambda f: F.array_max(F.transform("run", f))
-    x, y = least(lambda b: b["x"]), least(lambda b: b["y"])
-    out = made.select(*PAGE, F.get("run", F.lit(0))["seq"].alias("seq"), F.element_at("run", -1)["seq"].alias("last_seq"), x.alias("x"), y.alias("y"), (most(lambda b: b["x"] + b["w"]) - x).alias("w"),
-                      (most(lambda b: b["y"] + b["h"]) - y).alias("h"), "text", least(lambda b: b["confidence"]).alias("confidence"))
-    gone = made.select(*PAGE, F.explode(F.transform("run", lambda b: b["seq"])).alias("seq"))
-    return spans.join(gone, [*PAGE, "seq"], "left_anti").select(*PAGE, "seq", F.col("seq").alias("last_seq"), "x", "y", "w", "h", "text", "confidence").unionByName(out)
+    shortest run that spells a member wins, and the spans of a run don't start another.
+
+    Families ask for digits, not for certain ones, so a run's texts count by their shapes, with 0 for every digit, and a span by the shapes of
+    its runs, the shortest first. Of these there are few however many spans there are; they are held against the families, and the spans of a
+    page then come in one stream with the length of the run that each may start."""
+    order = Window.partitionBy(*NUMBER_FIRST).orderBy("y", "x", "seq")
+    after = lambda c: F.lead(c).over(order)
+    box = ["x", "y", "w", "h", "text", "confidence"]
+    gap, high = after("x") - F.col("x") - F.col("w"), F.greatest("h", after("h"))
+    over = F.least(F.col("y") + F.col("h"), after("y") + after("h")) - F.greatest(F.col("y"), after("y"))
+    goes_on = ~after(known) & (over >= OVERLAP * F.least("h", after("h"))) & (gap >= -SLACK) & (gap <= GAP_HEIGHTS * high)
+    rows = spans.select(*PAGE, "seq", *box, F.col(known).alias("known"), F.coalesce(goes_on, F.lit(False)).alias("goes_on"))
+    ahead = order.rowsBetween(0, FOLLOWERS)
+    rows = rows.withColumns({"texts": F.collect_list(F.coalesce("text", F.lit(""))).over(ahead), "on": F.collect_list("goes_on").over(order.rowsBetween(0, FOLLOWERS - 1))})
+    stop = F.array_position("on", F.lit(False))
+    size = F.when(stop > 0, stop).otherwise(F.size("on") + 1).cast("int")
+    shape = lambda k: F.translate(F.upper(F.trim(F.array_join(F.slice("texts", F.lit(1), k), " "))), "123456789", "0" * 9)
+    starts = F.coalesce(~F.col("known"), F.lit(False)) & F.col("goes_on")
+    rows = rows.withColumn("shapes", F.when(starts, F.transform(F.sequence(F.lit(2), F.when(starts, size).otherwise(2)), shape))).select(*PAGE, "seq", *box, "shapes")
+    every = stored(rows.filter("shapes is not null").select("shapes").distinct())
+    each = every.select("shapes", F.posexplode("shapes").alias("k", "text"))
+    fits = each.join(match.members(each.select("text"), refs, "text"), "text", "left_semi")
+    lengths = stored(fits.groupBy("shapes").agg((F.min("k") + 2).alias("k")))
+    # The place asks for whole pages in order, however the lengths were joined.
+    rows = rows.join(lengths, "shapes", "left").select(*PAGE, "seq", *box, "k", F.row_number().over(order).alias("at")).sortWithinPartitions(*NUMBER_FIRST, "y", "x", "seq")
+    out = T.StructType([*(rows.schema[c] for c in (*PAGE, "seq")), T.StructField("last_seq", rows.schema["seq"].dataType), *(rows.schema[c] for c in box)])
+    return rows.mapInArrow(partial(_joined, schema=to_arrow_schema(out)), out)
+
+
+def _joined(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Spans of whole pages in order with the length k of the run that each may start: what joined_fragments gives for them."""
+    for rows, starts in _whole_groups(batches, PAGE):
+        k = pc.fill_null(rows["k"], 0).to_numpy()
+        low, high, free = [], [], 0
+        for at in np.flatnonzero(k).tolist():
+            if at >= free:
+                free = at + int(k[at])
+                low.append(at)
+                high.append(free)
+        inner = np.zeros(len(rows) + 1, np.int64)
+        np.add.at(inner, low, 1)
+        np.add.at(inner, high, -1)
+        kept = rows.filter(pa.array(np.cumsum(inner)[:-1] == 0))
+        yield _batch(schema, {n: kept["seq" if n == "last_seq" else n] for n in schema.names})
+        if low:
+            first, last = pa.array(low), pa.array(np.array(high) - 1)
+            words = rows["text"].to_pylist()
+            made = {n: rows[n].take(first) for n in (*PAGE, "seq")} | {"last_seq": rows["seq"].take(last)} | _boxes({n: rows[n] for n in rows.schema.names}, np.array(low), np.array(high))
+            yield _batch(schema, made | {"text": pa.array([" ".join(words[a:b]) for a, b in zip(low, high, strict=True)], pa.string())})

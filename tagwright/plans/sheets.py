@@ -188,7 +188,7 @@ j AS (SELECT f.*, n, n % 3 > 0 AND seq % 10 < 4 AS joined FROM f JOIN l ON f.pdf
 SELECT pdf, page, seq, seq AS last_seq, text, x, w FROM j WHERE NOT joined
 UNION ALL SELECT pdf, page, seq, seq + 2, CASE WHEN n % 2 = 0 THEN 'TE - ' ELSE 'TE ' END || CAST(n AS VARCHAR), 100, CASE WHEN n % 2 = 0 THEN 70 ELSE 65 END FROM j WHERE joined AND seq % 10 = 1""")
 def j09_joined_fragments(spark, sf):
-    spans = A.view(spark, sf, FRAGMENTS).withColumn("known", F.col("text").rlike(drawing.TAG))
+    spans = _of_lines(_lines(spark, sf), FRAGMENTS).withColumn("known", F.col("text").rlike(drawing.TAG))
     return spatial.joined_fragments(spans, _refs(spark, sf)).select("pdf", "page", "seq", "last_seq", "text", "x", "w")
 
 

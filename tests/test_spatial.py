@@ -158,5 +158,21 @@ def test_splits_come_in_one_stream(spark):
 
 
 def test_views_of_lines_number_them_once(spark):
-    for name in ("t11_split_spans", "j13_s15_words_inside"):
+    for name in ("t11_split_spans", "j09_joined_fragments", "j13_s15_words_inside"):
         assert "l_linenumber" not in sheets.query.__globals__["QUERIES"][name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_runs_count_by_their_shapes(spark, monkeypatch):
+    """Pages over several batches; what is held against the families doesn't grow with the numbers."""
+    rows = [("a", p, 10 * k + j, x, 40 * k, w, 10, t, 1.0) for p in range(4) for k in range(30) for j, (t, x, w) in enumerate([("TE", 0, 20), ("-", 22, 5), (str(100 + 37 * k + p), 30, 10), ("9", 90, 5)])]
+    spans = spark.createDataFrame(rows, SPANS).withColumn("known", F.lit(False))
+    seen = []
+    members = match.members
+    monkeypatch.setattr(match, "members", lambda tags, refs, column: seen.append(tags.distinct().count()) or members(tags, refs, column))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted((r["page"], r["seq"], r["last_seq"], r["text"], r["x"], r["w"]) for r in spatial.joined_fragments(spans, match.references(spark.createDataFrame([("TE-100", 1)], "reference string, ref_seq int"))).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(p, 10 * k, 10 * k + 2, f"TE - {100 + 37 * k + p}", 0, 40) for p in range(4) for k in range(30)] + [(p, 10 * k + 3, 10 * k + 3, "9", 90, 5) for p in range(4) for k in range(30)]
+    assert got == sorted(want) and seen == [5]  # TE -, TE - 000, TE - 0000, - 000, - 0000
