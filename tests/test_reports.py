@@ -97,3 +97,10 @@ def test_owners(spark):
     assert ids(store.owned_projects(projects, runs, "Admin")) == [1, 2, 3] and ids(store.owned_runs(runs, "v")) == [11, 12]
     artifacts = spark.createDataFrame([(10, "x"), (12, "y"), (99, "z")], "run_id int, path string")
     assert ids(store.permitted(artifacts, runs, "v")) == [12] and ids(store.permitted(artifacts, runs, "admin")) == [10, 12, 99]
+
+
+def test_intermediate_rows_are_dealt_once_by_page(made):
+    spans, _, verdicts, _ = made
+    motors = spans.filter("kind = 'MC'").select("pdf", "page", F.col("token").alias("motor"))
+    plan = reports.intermediate_table(spans, verdicts, motors)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning(pdf") == 1 and "hashpartitioning(pdf" not in plan
