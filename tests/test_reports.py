@@ -104,3 +104,14 @@ def test_intermediate_rows_are_dealt_once_by_page(made):
     motors = spans.filter("kind = 'MC'").select("pdf", "page", F.col("token").alias("motor"))
     plan = reports.intermediate_table(spans, verdicts, motors)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange rangepartitioning(pdf") == 1 and "hashpartitioning(pdf" not in plan
+
+
+def test_final_table_reads_its_rows_once_and_makes_texts_last(spark, made):
+    spans, refs, verdicts, inter = made
+    io = spark.createDataFrame([(1, "TE-100", "old"), (2, "te 101", "old"), (3, "PT-7", "own")], "seq int, tag string, jb string")
+    motors = spans.filter("kind = 'MC'").select("pdf", "page", F.col("token").alias("motor"))
+    plan = reports.final_table(io, reports.intermediate_table(spans, verdicts, motors), refs)._jdf.queryExecution().executedPlan().toString()
+    assert "partitioning(pdf" not in plan
+    late = reports.final_table(io, reports.intermediate_rows(spans, verdicts, motors), refs, columns=reports.intermediate_columns(terminals="T{2*x-1}, SCR {x}, T{2*x}"))
+    want = reports.final_table(io, inter, refs)
+    assert late.columns == want.columns and sorted(map(repr, late.collect())) == sorted(map(repr, want.collect()))
